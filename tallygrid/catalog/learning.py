@@ -8,10 +8,14 @@ from tallygrid.catalog.registry import SQL_CUSTOMERS, customer_facts, query, rnd
 from tallygrid.operators import models, nearest, summary, windows
 from tallygrid.sources.files import load
 
-FEATURES = ["acctbal", "n_orders", "log_spend"]
+FEATURES = ["acctbal_std", "n_orders_std", "log_spend_std"]
 SPACE = {"logreg": {"C": [0.001, 0.1, 1.0, 10.0]}, "rf": {"n_estimators": [10, 20], "max_depth": [3, 5]}}
 
 
+def scaled_customers(spark, d):
+    return models.standardize(customer_facts(spark, d), ["acctbal", "n_orders", "log_spend"], ddof=1)
+
+
 @query("k1_encode_formula")
 def _(spark, d):
     from pyspark.ml.functions import vector_to_array
@@ -68,34 +72,34 @@ def _(spark, d):
 
 @query("k7_gradient_boosting")
 def _(spark, d):
-    return models.fit_score(customer_facts(spark, d), FEATURES, "y", "gboost", maxIter=10).select("c_custkey", "prob", "pred")
+    return models.fit_score(scaled_customers(spark, d), FEATURES, "y", "gboost", maxIter=10).select("c_custkey", "prob", "pred")
 
 
 @query("k8_random_search")
 def _(spark, d):
-    return models.random_search(customer_facts(spark, d), FEATURES, "y", "c_custkey", "logreg", SPACE["logreg"], n_iter=3)[1]
+    return models.random_search(scaled_customers(spark, d), FEATURES, "y", "c_custkey", "logreg", SPACE["logreg"], n_iter=3)[1]
 
 
 @query("k9_out_of_fold")
 def _(spark, d):
-    folded = windows.stratified_folds(customer_facts(spark, d), "y", "c_custkey", 5)
+    folded = windows.stratified_folds(scaled_customers(spark, d), "y", "c_custkey", 5)
     return models.oof_predict(folded, FEATURES, "y", "fold", "logreg").select("c_custkey", "fold", "prob")
 
 
 @query("k9_cv_scores")
 def _(spark, d):
-    return models.cv_scores(customer_facts(spark, d), FEATURES, "y", "c_custkey")
+    return models.cv_scores(scaled_customers(spark, d), FEATURES, "y", "c_custkey")
 
 
 @query("k10_compare_models")
 def _(spark, d):
     settings = {"rf": {"n_estimators": 20, "max_depth": 5}, "gboost": {"n_estimators": 5}}
-    return models.compare_models(customer_facts(spark, d), FEATURES, "y", "c_custkey", settings=settings)
+    return models.compare_models(scaled_customers(spark, d), FEATURES, "y", "c_custkey", settings=settings)
 
 
 @query("k11_fit_score")
 def _(spark, d):
-    return models.fit_score(customer_facts(spark, d), FEATURES, "y").select("c_custkey", "prob", "pred")
+    return models.fit_score(scaled_customers(spark, d), FEATURES, "y").select("c_custkey", "prob", "pred")
 
 
 @query("k12_kmeans_auto")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrid.functions.scalars import ratio
@@ -35,10 +35,14 @@ def _flag(c: str) -> Column:
     return F.col(c).cast("int")
 
 
-def confusion_counts(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
+def _confusion(label: str, pred: str) -> dict[str, Column]:
     y, p = _flag(label) == 1, _flag(pred) == 1
     cases = {"tp": y & p, "fp": ~y & p, "tn": ~y & ~p, "fn": y & ~p}
-    return df.groupBy(*by).agg(*[F.count_if(c).cast("bigint").alias(n) for n, c in cases.items()])
+    return {n: F.count_if(c).cast("bigint") for n, c in cases.items()}
+
+
+def confusion_counts(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*by).agg(*[c.alias(n) for n, c in _confusion(label, pred).items()])
 
 
 def _zero_ratio(num: Column, den: Column) -> Column:
@@ -87,26 +91,36 @@ def curve_counts(df: DataFrame, label: str, prob: str, by: Sequence[str] = ()) -
     return attach_scalars(run, totals, "__t").select("*", F.col("__t.p").alias("p"), F.col("__t.q").alias("q")).drop("__t")
 
 
-def roc_auc(df: DataFrame, label: str, prob: str, by: Sequence[str] = ()) -> DataFrame:
-    """Share of (positive, negative) pairs in the right order, ties one half; NULL for one class."""
-    c = curve_counts(df, label, prob, by)
+def _roc_area() -> Column:
     below = F.col("q") - F.col("fp")
     wins = F.col("pos") * (below + (F.col("n") - F.col("pos")) / F.lit(2.0))
-    return c.groupBy(*by).agg(ratio(F.sum(wins), F.max(F.col("p").cast("double") * F.col("q"))).alias("roc_auc"))
+    return ratio(F.sum(wins), F.max(F.col("p").cast("double") * F.col("q")))
+
+
+def _average_precision() -> Column:
+    step = F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))
+    return ratio(F.sum(step), F.max("p"))
+
+
+def roc_auc(df: DataFrame, label: str, prob: str, by: Sequence[str] = ()) -> DataFrame:
+    """Share of (positive, negative) pairs in the right order, ties one half; NULL for one class."""
+    return curve_counts(df, label, prob, by).groupBy(*by).agg(_roc_area().alias("roc_auc"))
 
 
 def pr_auc(df: DataFrame, label: str, prob: str, by: Sequence[str] = ()) -> DataFrame:
     """Average precision: Σ (recall step) · precision, without interpolation."""
-    c = curve_counts(df, label, prob, by)
-    step = F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))
-    return c.groupBy(*by).agg(ratio(F.sum(step), F.max("p")).alias("pr_auc"))
+    return curve_counts(df, label, prob, by).groupBy(*by).agg(_average_precision().alias("pr_auc"))
 
 
-def probability_losses(df: DataFrame, label: str, prob: str, by: Sequence[str] = (), eps: float = 1e-15) -> DataFrame:
+def _losses(label: str, prob: str, eps: float) -> dict[str, Column]:
     y, p = F.col(label).cast("double"), F.col(prob).cast("double")
     clipped = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
     loss = -(y * F.log(clipped) + (1 - y) * F.log(1 - clipped))
-    return df.groupBy(*by).agg(F.avg((p - y) * (p - y)).alias("brier"), F.avg(loss).alias("log_loss"))
+    return {"brier": F.avg((p - y) * (p - y)), "log_loss": F.avg(loss)}
+
+
+def probability_losses(df: DataFrame, label: str, prob: str, by: Sequence[str] = (), eps: float = 1e-15) -> DataFrame:
+    return df.groupBy(*by).agg(*[c.alias(n) for n, c in _losses(label, prob, eps).items()])
 
 
 def roc_points(df: DataFrame, label: str, prob: str, by: Sequence[str] = ()) -> DataFrame:
@@ -146,20 +160,17 @@ def threshold_counts(
     place = grid_position(p, lo, hi, n)
     known = df.filter(F.col(prob).isNotNull() & F.col(label).isNotNull())
     cells = known.groupBy(*by, place.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos"))
-    packed = cells.groupBy(*by).agg(
-        F.collect_list(F.struct("at", "n", "pos")).alias("cells"),
-        F.sum("n").alias("rows"),
-        F.sum("pos").alias("p"),
-    )
+    totals = cells.groupBy(*by).agg(F.sum("n").alias("rows"), F.sum("pos").alias("p"))
     grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("threshold")) for i, v in enumerate(grid_values(lo, hi, n))])
-    each = packed.select("*", F.inline(grid))
+    each = totals.select("*", F.inline(grid))
+    # Interval i+1 holds the scores from threshold i up to the next one.
+    counted = join_on_keys(each, cells.withColumn("i", F.col("at") - 1).drop("at"), [*by, "i"], "left")
+    upward = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    def above(field: str) -> Column:
-        return F.aggregate(
-            F.filter("cells", lambda c: c["at"] > F.col("i")), F.lit(0).cast("bigint"), lambda s, c: s + c[field]
-        )
+    def above(c: str) -> Column:
+        return F.coalesce(F.sum(c).over(upward), F.lit(0)).cast("bigint")
 
-    hits = each.withColumns({"tp": above("pos"), "called": above("n")})
+    hits = counted.select(*by, "i", "threshold", "rows", "p", above("pos").alias("tp"), above("n").alias("called"))
     fp = F.col("called") - F.col("tp")
     return hits.select(
         *by, "i", "threshold", "tp", fp.alias("fp"), (F.col("rows") - F.col("p") - fp).alias("tn"), (F.col("p") - F.col("tp")).alias("fn")
@@ -204,18 +215,13 @@ def calibration_curve(df: DataFrame, label: str, prob: str, bins: int = 10, by:
 
 
 def evaluate(df: DataFrame, label: str, prob: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
-    """Every scalar metric in one row per group."""
+    """Every scalar metric in one row per group: one pass for counts and losses, one for the curve."""
     by = list(by)
-    parts = [
-        classification_metrics(df, label, pred, by),
-        roc_auc(df, label, prob, by),
-        pr_auc(df, label, prob, by),
-        probability_losses(df, label, prob, by),
-    ]
-    out = parts[0]
-    for i, part in enumerate(parts[1:]):
-        if by:
-            out = join_on_keys(out, part, by)
-        else:
-            out = attach_scalars(out, part, f"__p{i}").select("*", *[F.col(f"__p{i}.{c}") for c in part.columns]).drop(f"__p{i}")
-    return out
+    parts = _confusion(label, pred) | _losses(label, prob, 1e-15)
+    sums = df.groupBy(*by).agg(*[c.alias(n) for n, c in parts.items()])
+    areas = curve_counts(df, label, prob, by).groupBy(*by).agg(
+        _roc_area().alias("roc_auc"), _average_precision().alias("pr_auc")
+    )
+    both = join_on_keys(sums, areas, by, "left") if by else attach_scalars(sums, areas, "__a").select("*", "__a.*").drop("__a")
+    cols = metric_columns(*[F.col(c) for c in COUNTS])
+    return both.select(*by, *COUNTS, *[c.alias(n) for n, c in cols.items()], "roc_auc", "pr_auc", "brier", "log_loss")

@@ -18,7 +18,8 @@ def assemble_panel(
     """Join wide indicator tables into (key, labels, year, one column per indicator).
 
     Only fully observed (key, year) cells remain. The first table may list a key
-    several times and supplies ``labels``; the others are reduced to one row per key.
+    several times and supplies ``labels``; the others are reduced to
+    one row per key (the largest, so that the choice repeats).
     Each is made long and dropped of empty cells before it is joined, and all joins
     share the (key, year) partitioning.
     """
@@ -28,7 +29,9 @@ def assemble_panel(
         present = [str(y) for y in years if str(y) in wide.columns]
         slim = wide.select(key, *(labels if first else []), *[f"`{y}`" for y in present])
         if not first:
-            slim = slim.dropDuplicates([key])
+            rest = [c for c in slim.columns if c != key]
+            one = slim.groupBy(key).agg(F.max(F.struct(*[f"`{c}`" for c in rest])).alias("__r"))
+            slim = one.select(key, "__r.*")
         long = unpivot_years(slim, [key, *(labels if first else [])], years, name)
         out = long if first else out.join(long, [key, "year"], "inner")
     return out

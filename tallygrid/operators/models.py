@@ -83,7 +83,7 @@ def build_model(name: str, n_rows: int | None = None, **params: Any):
     if name == "logreg":
         c = float(p.pop("C", 1.0))
         reg = p.pop("regParam", 1.0 / (c * n_rows) if n_rows else 0.0)
-        return LogisticRegression(**({"maxIter": 2000, "standardization": False, "tol": 1e-8, "regParam": reg} | p))
+        return LogisticRegression(**({"maxIter": 2000, "standardization": False, "tol": 1e-6, "regParam": reg} | p))
     if name == "gboost":
         names = {"n_estimators": "maxIter", "learning_rate": "stepSize", "max_depth": "maxDepth"}
         p = {names.get(k, k): v for k, v in p.items()}
@@ -171,13 +171,20 @@ def oof_predict(
     df: DataFrame, features: Sequence[str], label: str, fold: str, name: str = "logreg", folds: int = 5, **params: Any
 ) -> DataFrame:
     """Out-of-fold probability of every row: each fold scored by a model fitted on the others."""
-    d = _with_features(df, features, label).persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = {r[fold]: r["count"] for r in d.groupBy(fold).count().collect()}
-    n = sum(sizes.values())
+    plain = _with_features(df, features, label)
+    d = plain.select("__x", "__y", fold).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sizes = {r[fold]: r["count"] for r in d.groupBy(fold).count().collect()}
+        n = sum(sizes.values())
+        fitted = {}
+        for f in sorted(sizes):
+            est = _wired(build_model(name, n - sizes[f], **params))
+            fitted[f] = est.fit(d.filter(F.col(fold) != f))
+    finally:
+        d.unpersist()
     out = None
-    for f in sorted(sizes):
-        est = _wired(build_model(name, n - sizes[f], **params))
-        part = _score(est.fit(d.filter(F.col(fold) != f)), d.filter(F.col(fold) == f)).drop("__x", "__y")
+    for f, model in fitted.items():
+        part = _score(model, plain.filter(F.col(fold) == f)).drop("__x", "__y")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -222,7 +229,12 @@ def score_models(
 def compare_models(df: DataFrame, features: Sequence[str], label: str, row_id: str, **kwargs: Any) -> DataFrame:
     """Metrics of each model over its out-of-fold scores, best ROC AUC first; all models in one pass."""
     scored = score_models(df, features, label, row_id, **kwargs).persist(StorageLevel.MEMORY_AND_DISK)
-    return evaluate(scored, "y", "prob", "pred", ["model"]).orderBy(F.desc("roc_auc"), "model")
+    try:
+        table = evaluate(scored, "y", "prob", "pred", ["model"])
+        rows = table.collect()  # one row per model
+    finally:
+        scored.unpersist()
+    return df.sparkSession.createDataFrame(rows, table.schema).orderBy(F.desc("roc_auc"), "model")
 
 
 def kmeans_auto(
@@ -252,20 +264,23 @@ def kmeans_auto(
     x = VectorAssembler(inputCols=[f"{c}__z" for c in features], outputCol="__x").transform(std)
     x = x.drop(*[f"{c}__z" for c in features]).persist(StorageLevel.MEMORY_AND_DISK)
     scores, models = [], {}
-    for k in ks:
-        if k >= n:
-            continue
-        models[k] = KMeans(k=k, seed=seed, featuresCol="__x", predictionCol="cluster").fit(x)
-        clustered = models[k].transform(x)
-        if clustered.select("cluster").distinct().count() < 2:
-            continue
-        if measure == "euclidean":
-            pts = clustered.select(row_id, vector_to_array("__x").alias("__v"), "cluster")
-            value = euclidean_silhouette(pts, "__v", "cluster", row_id).first()[0]
-        else:
-            judge = ClusteringEvaluator(featuresCol="__x", predictionCol="cluster", distanceMeasure="squaredEuclidean")
-            value = judge.evaluate(clustered)
-        scores.append((k, value))
+    try:
+        for k in ks:
+            if k >= n:
+                continue
+            models[k] = KMeans(k=k, seed=seed, featuresCol="__x", predictionCol="cluster").fit(x)
+            clustered = models[k].transform(x)
+            if clustered.select("cluster").distinct().count() < 2:
+                continue
+            if measure == "euclidean":
+                pts = clustered.select(row_id, vector_to_array("__x").alias("__v"), "cluster")
+                value = euclidean_silhouette(pts, "__v", "cluster", row_id).first()[0]
+            else:
+                judge = ClusteringEvaluator(featuresCol="__x", predictionCol="cluster", distanceMeasure="squaredEuclidean")
+                value = judge.evaluate(clustered)
+            scores.append((k, value))
+    finally:
+        x.unpersist()
     if not scores:
         raise ValueError("no k gave at least two clusters")
     best = max(scores, key=lambda s: (s[1], -s[0]))[0]

@@ -78,7 +78,8 @@ def nearest(
     carry: Sequence[str] = (),
     distance: str | Metric = "euclidean",
     exclude: str | None = None,
-    block: int = 20_000,
+    train_block: int = 100_000,
+    query_block: int = 20_000,
 ) -> DataFrame:
     """(query_id, rank, train_id, distance, carried train columns): k nearest, ties by train id.
 
@@ -89,7 +90,7 @@ def nearest(
     extra = [exclude] if exclude else []
     t = train.select(F.col(train_id).alias("id"), vector(train, features).alias("v"), *carry, *[F.col(c).alias("__ex") for c in extra])
     q = query.select(F.col(query_id).alias("id"), vector(query, features).alias("v"), *[F.col(c).alias("__ex") for c in extra])
-    tn, qn = _blocks(train.count(), block), _blocks(query.count(), block)
+    tn, qn = _blocks(train.count(), train_block), _blocks(query.count(), query_block)
     left = _spread(q, "qb", qn, "tb", tn)
     right = _spread(t, "tb", tn, "qb", qn)
     kinds = dict(train.dtypes)
@@ -137,10 +138,10 @@ def knn_regress(
     train_id: str,
     query_id: str,
     distance: str | Metric = "euclidean",
-    block: int = 20_000,
+    **blocks: int,
 ) -> DataFrame:
     """Mean y of the k nearest train rows for several k from one search."""
-    near = nearest(train, query, features, max(ks), train_id, query_id, [y], distance, block=block)
+    near = nearest(train, query, features, max(ks), train_id, query_id, [y], distance, **blocks)
     wide = near.groupBy(query_id).agg(*[F.avg(F.when(F.col("rank") <= k, F.col(y))).alias(f"k{k}") for k in ks])
     return wide.unpivot([query_id], [f"k{k}" for k in ks], "k", "y_hat").withColumn("k", F.regexp_replace("k", "^k", "").cast("int"))
 
@@ -154,13 +155,13 @@ def knn_vote(near: DataFrame, query_id: str, label: str, ks: Sequence[int]) -> D
 
 
 def knn_cv_predictions(
-    df: DataFrame, features: str | Sequence[str], label: str, fold: str, ks: Sequence[int], row_id: str, block: int = 20_000
+    df: DataFrame, features: str | Sequence[str], label: str, fold: str, ks: Sequence[int], row_id: str, **blocks: int
 ) -> DataFrame:
     """(id, fold, actual, k, pred): each row voted on by the rows of the other folds."""
     missing = [c for c in (label, fold, row_id) if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    near = nearest(df, df, features, max(ks), row_id, row_id, [label], exclude=fold, block=block)
+    near = nearest(df, df, features, max(ks), row_id, row_id, [label], exclude=fold, **blocks)
     votes = knn_vote(near, row_id, label, ks)
     return df.select(row_id, fold, F.col(label).alias("actual")).join(votes, row_id)
 

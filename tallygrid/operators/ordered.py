@@ -16,6 +16,7 @@ is ``tallygrid.rowsPerTask`` in the session's settings.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Mapping, Sequence
 
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 2_000_000
 SMALL_PLAN_BYTES = 64 << 20
-MAX_CELLS = 1024
-TIE_CELLS = 256
+MAX_CELLS = 16_384
+TIE_CELLS = 1024
 
 
 def rows_per_task(df: DataFrame) -> int:
@@ -41,15 +42,18 @@ def plan_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    """True when the table is small by the planner's estimate, else by a count."""
+def rows_beyond_one_task(df: DataFrame) -> int | None:
+    """None when the table fits one task by the planner's estimate or by a count, else its row count."""
     limit = rows_per_task(df)
-    if limit <= 0:
-        return False
     size = plan_bytes(df)
-    if size is not None and size <= SMALL_PLAN_BYTES:
-        return True
-    return df.count() <= limit
+    if limit > 0 and size is not None and size <= SMALL_PLAN_BYTES:
+        return None
+    n = df.count()
+    return n if n > limit else None
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    return rows_beyond_one_task(df) is None
 
 
 def require_at_most(df: DataFrame, limit: int, what: str) -> int:
@@ -80,21 +84,22 @@ def attach_scalars(df: DataFrame, aggregate: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, aggregate.select(F.struct("*")).scalar())
 
 
-def _cuts(df: DataFrame, expr: Column, wanted: int) -> tuple[list[float], list[float]]:
-    """Distinct cut points of ``expr`` and the values that fill whole cells alone."""
-    if wanted < 2:
-        return [], []
-    probs = [i / wanted for i in range(1, wanted)]
-    row = df.agg(F.percentile_approx(expr, probs, 20 * MAX_CELLS)).first()
-    values = [v for v in (row[0] or []) if v is not None and math.isfinite(v)]
-    seen: set[float] = set()
-    hot: set[float] = set()
-    for v in values:
-        (hot if v in seen else seen).add(v)
-    points = set(seen)
-    for v in hot:
-        points.add(math.nextafter(v, math.inf))
-    return sorted(p for p in points if math.isfinite(p)), sorted(hot)
+def _cuts(df: DataFrame, exprs: Sequence[Column], wanted: Sequence[int]) -> list[tuple[list[float], list[float]]]:
+    """Per expression: distinct cut points, and the values that fill whole cells alone. One job."""
+    sketches = []
+    for e, n in zip(exprs, wanted):
+        probs = [i / n for i in range(1, n)]
+        sketches.append(F.percentile_approx(e, probs, max(10_000, 4 * n)))
+    out = []
+    for values in df.agg(*sketches).first():
+        seen: set[float] = set()
+        hot: set[float] = set()
+        for v in values or []:
+            if math.isfinite(v):
+                (hot if v in seen else seen).add(v)
+        points = seen | {math.nextafter(v, math.inf) for v in hot}
+        out.append((sorted(p for p in points if math.isfinite(p)), sorted(hot)))
+    return out
 
 
 def _bucket(df: DataFrame, expr: Column, points: Sequence[float], out: str) -> DataFrame:
@@ -107,25 +112,23 @@ def _bucket(df: DataFrame, expr: Column, points: Sequence[float], out: str) -> D
     return bucketizer.transform(df.withColumn(tmp, expr)).withColumn(out, F.col(out).cast("int")).drop(tmp)
 
 
-def _cell_count(df: DataFrame) -> int:
-    limit = rows_per_task(df)
-    if limit <= 0:
-        return 8
-    return max(2, min(MAX_CELLS, math.ceil(df.count() / limit)))
-
-
-def with_cells(df: DataFrame, order: str, tie: str | None = None, descending: bool = False) -> DataFrame:
+def with_cells(df: DataFrame, rows: int, order: str, tie: str | None = None, descending: bool = False) -> DataFrame:
     """Add ``__b`` and ``__s``: rows compare by (__b, __s) as they do by (order, tie)."""
+    limit = rows_per_task(df)
+    wanted = 8 if limit <= 0 else max(2, min(MAX_CELLS, math.ceil(rows / limit)))
     key = F.col(order).cast("double")
     key = -key if descending else key
-    n = _cell_count(df)
-    points, hot = _cuts(df, key, n)
+    exprs, sizes = [key], [wanted]
+    if tie is not None:
+        exprs.append(F.col(tie).cast("double"))
+        sizes.append(min(wanted, TIE_CELLS))
+    found = _cuts(df, exprs, sizes)
+    points, hot = found[0]
     out = _bucket(df, key, points, "__b")
     if tie is None or not hot:
         return out.withColumn("__s", F.lit(0))
-    hot_cells = [points.index(v) + 1 for v in hot]
-    tie_points, _ = _cuts(df, F.col(tie).cast("double"), min(n, TIE_CELLS))
-    out = _bucket(out, F.col(tie).cast("double"), tie_points, "__t")
+    hot_cells = [bisect.bisect_left(points, v) + 1 for v in hot]
+    out = _bucket(out, exprs[1], found[1][0], "__t")
     return out.withColumn("__s", F.when(F.col("__b").isin(hot_cells), F.col("__t")).otherwise(0)).drop("__t")
 
 
@@ -150,11 +153,12 @@ def prefix_sums(
     ordering = _order_columns(order, tie, descending)
     keyed = df.select("*", *[m.alias(f"__m_{k}") for k, m in measures.items()])
     temp = [f"__m_{k}" for k in measures]
-    if fits_one_task(df):
+    rows = rows_beyond_one_task(df)
+    if rows is None:
         w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*ordering)
         w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return keyed.select("*", *[F.sum(f"__m_{k}").over(w).alias(k) for k in measures]).drop(*temp)
-    cells = with_cells(keyed, order, tie, descending)
+    cells = with_cells(keyed, rows, order, tie, descending)
     keys = [*by, "__b", "__s"]
     totals = cells.groupBy(*keys).agg(*[F.sum(t).alias(f"{t}_t") for t in temp])
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__b", "__s")
@@ -190,11 +194,12 @@ def neighbours(
     by, cols = list(by), list(cols)
     ordering = _order_columns(order, tie, False)
     packed = df.withColumn("__row", F.struct(*cols))
-    if fits_one_task(df):
+    rows = rows_beyond_one_task(df)
+    if rows is None:
         w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*ordering)
         out = packed.select("*", F.lag("__row").over(w).alias("prev"), F.lead("__row").over(w).alias("next"))
         return out.drop("__row")
-    cells = with_cells(packed, order, tie)
+    cells = with_cells(packed, rows, order, tie)
     keys = [*by, "__b", "__s"]
     place = F.struct(*[c for c in (order, tie) if c is not None])
     ends = cells.groupBy(*keys).agg(F.min_by("__row", place).alias("__first"), F.max_by("__row", place).alias("__last"))

@@ -218,13 +218,20 @@ def quantile_regression(
         ((F.col(c).cast("double") - F.lit(float(mu))) / F.lit(float(s))).alias(a)
         for a, c, mu, s in zip(names, [*xs, y], m.mean, sd)
     ]
-    data = complete_rows(df, [*xs, y]).select(*scaled).persist(StorageLevel.MEMORY_AND_DISK)
     k = len(xs)
+    # Coefficients are read from an array at a stored position: they stay out of the
+    # generated code, which is then compiled once instead of once per iteration.
+    data = complete_rows(df, [*xs, y]).select(*scaled, (F.col(y) * 0).cast("int").alias("__at"))
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     beta = np.concatenate([[0.0], fit.coefs * sd[:k] / sd[k]])
     iterations = 0
     try:
         for iterations in range(1, max_iter + 1):
-            r = F.col("__y") - linear(names[:k], beta[1:], beta[0])
+            held = F.array(*[F.lit(float(b)) for b in beta])
+            line = F.get(held, F.col("__at"))
+            for i in range(k):
+                line = line + F.get(held, F.col("__at") + (i + 1)) * F.col(names[i])
+            r = F.col("__y") - line
             w = F.when(r < 0, F.lit(1 - tau)).otherwise(F.lit(tau)) / F.greatest(F.abs(r), F.lit(1e-6))
             z = [F.lit(1.0), *[F.col(c) for c in names[:k]]]
             work = data.withColumn("__w", w)
