@@ -28,12 +28,8 @@ def query(name: str, sql: str | None = None):
 
 
 def rnd(df: DataFrame, **places: int) -> DataFrame:
-    """Round the named double columns, since addition order differs between engines."""
-    return df.withColumns({c: F.round(c, n) for c, n in places.items()})
-
-
-def cents(c: Column) -> Column:
-    return F.round(c, 2)
+    """Round the named double columns, since addition order differs between engines; no negative zero."""
+    return df.withColumns({c: F.round(c, n) + F.lit(0.0) for c, n in places.items()})
 
 
 def purchases(spark: SparkSession, d: str) -> DataFrame:

@@ -338,14 +338,14 @@ def _(spark, d):
     return joins.value_pairs(load(spark, d, "part"), "p_brand")
 
 
-@query("w1_demean", "SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey), 8) AS o_totalprice_dev FROM orders")
+@query("w1_demean", "WITH t AS (SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey), 8) AS dev FROM orders) SELECT o_orderkey, CASE WHEN dev = 0 THEN 0.0::DOUBLE ELSE dev END AS o_totalprice_dev FROM t")
 def _(spark, d):
     o = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return rnd(windows.demean(o, "o_custkey", ["o_totalprice"]).select("o_orderkey", "o_totalprice_dev"), o_totalprice_dev=8)
 
 
 @query("w2_trajectory", f"""WITH {SQL_PANEL} SELECT n_name, year, round(x, 9) AS x, round(y, 9) AS y, year = min(year) OVER (PARTITION BY n_name) AS is_first, year = max(year) OVER (PARTITION BY n_name) AS is_last,
- round(x - lag(x) OVER w, 9) AS dx, round(y - lag(y) OVER w, 9) AS dy FROM panel WINDOW w AS (PARTITION BY n_name ORDER BY year)""")
+ CASE WHEN round(x - lag(x) OVER w, 9) = 0 THEN 0.0::DOUBLE ELSE round(x - lag(x) OVER w, 9) END AS dx, CASE WHEN round(y - lag(y) OVER w, 9) = 0 THEN 0.0::DOUBLE ELSE round(y - lag(y) OVER w, 9) END AS dy FROM panel WINDOW w AS (PARTITION BY n_name ORDER BY year)""")
 def _(spark, d):
     return rnd(windows.trajectory(nation_panel(spark, d), "n_name", "year", "x", "y"), x=9, y=9, dx=9, dy=9)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrid.functions.scalars import ratio
-from tallygrid.operators.frames import grid_position, grid_values
+from tallygrid.operators.frames import double_array, grid_position, grid_values
 from tallygrid.operators.ordered import attach_scalars, join_on_keys, prefix_sums
 
 
@@ -161,8 +161,7 @@ def threshold_counts(
     known = df.filter(F.col(prob).isNotNull() & F.col(label).isNotNull())
     cells = known.groupBy(*by, place.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos"))
     totals = cells.groupBy(*by).agg(F.sum("n").alias("rows"), F.sum("pos").alias("p"))
-    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("threshold")) for i, v in enumerate(grid_values(lo, hi, n))])
-    each = totals.select("*", F.inline(grid))
+    each = totals.select("*", F.posexplode(double_array(grid_values(lo, hi, n))).alias("i", "threshold"))
     # Interval i+1 holds the scores from threshold i up to the next one.
     counted = join_on_keys(each, cells.withColumn("i", F.col("at") - 1).drop("at"), [*by, "i"], "left")
     upward = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)

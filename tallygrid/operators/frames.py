@@ -156,6 +156,11 @@ def number_grid(spark: SparkSession, lo: float, hi: float, n: int, name: str = "
     return spark.range(n).select(F.col("id").alias("i"), value.alias(name))
 
 
+def double_array(values: Sequence[float]) -> Column:
+    """A literal array of doubles, built in one call however long it is."""
+    return F.expr("array(" + ", ".join(f"double('{float(v)!r}')" for v in values) + ")")
+
+
 def grid_values(lo: float, hi: float, n: int) -> list[float]:
     step = (hi - lo) / (n - 1)
     return [lo + i * step for i in range(n - 1)] + [float(hi)]
@@ -167,7 +172,7 @@ def grid_position(value: Column, lo: float, hi: float, n: int) -> Column:
     Arithmetic gives the place up to rounding; comparing with the grid's own
     doubles on both sides makes it exact.
     """
-    points = F.array(*[F.lit(v) for v in grid_values(lo, hi, n)])
+    points = double_array(grid_values(lo, hi, n))
     step = (hi - lo) / (n - 1)
     guess = F.floor((value - lo) / step).cast("int") + 1
     guess = F.greatest(F.lit(0), F.least(F.lit(n), guess))

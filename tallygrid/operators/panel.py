@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions.distributions import t_quantile, t_two_sided
+from tallygrid.operators.frames import double_array
 from tallygrid.operators.gram import complete_rows
 from tallygrid.operators.ordered import require_at_most
 
@@ -67,7 +68,7 @@ def _period_system(rows: DataFrame, entity: str, t: int) -> tuple[np.ndarray, np
 
 
 def _at(values: np.ndarray) -> Column:
-    return F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("__t"))
+    return F.get(double_array(values), F.col("__t"))
 
 
 def fit_panel(df: DataFrame, y: str, x: str, entity: str, period: str, factor: float = 1.0, max_periods: int = 400) -> PanelFit:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions.distributions import Z975, chi2_tail, f_tail, normal_two_sided
 from tallygrid.functions.scalars import ratio
+from tallygrid.operators.frames import double_array
 from tallygrid.operators.gram import Moments, complete_rows, linear, moments, quadratic_form, solve
 from tallygrid.operators.ordered import attach_scalars, exact_quantiles
 from tallygrid.operators.topk import n_largest
@@ -209,8 +210,8 @@ def quantile_regression(
     for the iterations; each is one aggregate of weighted cross-products.
     """
     xs = list(xs)
-    fit = fit_ols(df, y, xs)
     m = moments(df, [*xs, y])
+    fit = fit_from_moments(m, y, xs)
     sd = np.sqrt(np.diag(m.cross) / m.n)
     sd[sd == 0] = 1.0
     names = [f"__x{i}" for i in range(len(xs))] + ["__y"]
@@ -227,17 +228,15 @@ def quantile_regression(
     iterations = 0
     try:
         for iterations in range(1, max_iter + 1):
-            held = F.array(*[F.lit(float(b)) for b in beta])
-            line = F.get(held, F.col("__at"))
-            for i in range(k):
-                line = line + F.get(held, F.col("__at") + (i + 1)) * F.col(names[i])
-            r = F.col("__y") - line
-            w = F.when(r < 0, F.lit(1 - tau)).otherwise(F.lit(tau)) / F.greatest(F.abs(r), F.lit(1e-6))
-            z = [F.lit(1.0), *[F.col(c) for c in names[:k]]]
-            work = data.withColumn("__w", w)
-            aggs = [F.sum(F.col("__w") * z[i] * z[j]).alias(f"a{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
-            aggs += [F.sum(F.col("__w") * z[i] * F.col("__y")).alias(f"b{i}") for i in range(k + 1)]
-            row = work.agg(*aggs).first()
+            held = double_array(beta)
+            line = " + ".join(["b[__at]", *[f"b[__at + {i + 1}] * {c}" for i, c in enumerate(names[:k])]])
+            work = data.withColumn("b", held).selectExpr("*", f"__y - ({line}) AS r").selectExpr(
+                "*", f"(CASE WHEN r < 0 THEN {1 - tau}D ELSE {tau}D END) / greatest(abs(r), 1e-6D) AS w"
+            )
+            z = ["1", *names[:k]]
+            aggs = [f"sum(w * {z[i]} * {z[j]}) AS a{i}_{j}" for i in range(k + 1) for j in range(i, k + 1)]
+            aggs += [f"sum(w * {z[i]} * __y) AS b{i}" for i in range(k + 1)]
+            row = work.selectExpr(*aggs).first()
             a = np.zeros((k + 1, k + 1))
             for i in range(k + 1):
                 for j in range(i, k + 1):

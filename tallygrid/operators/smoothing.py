@@ -8,15 +8,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrid.operators.frames import grid_position, grid_values
+from tallygrid.operators.frames import double_array, grid_position, grid_values
 from tallygrid.operators.gram import complete_rows
 from tallygrid.operators.ordered import exact_quantiles, prefix_sums
 
 
 def _bandwidths(values: DataFrame, points: Sequence[float], k: int) -> dict[int, float]:
     """Distance from each grid point to its k-th nearest row, from counts of distinct x."""
-    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(g).alias("g")) for i, g in enumerate(points)])
-    far = values.select("c", "x", F.inline(grid)).groupBy("i", F.abs(F.col("x") - F.col("g")).alias("d")).agg(F.sum("c").alias("c"))
+    far = values.select("c", "x", F.posexplode(double_array(points)).alias("i", "g")).groupBy("i", F.abs(F.col("x") - F.col("g")).alias("d")).agg(F.sum("c").alias("c"))
     run = prefix_sums(far, "d", {"cum": F.col("c")}, ["i"])
     return {r["i"]: r["h"] for r in run.filter(F.col("cum") >= k).groupBy("i").agg(F.min("d").alias("h")).collect()}
 
@@ -37,9 +36,8 @@ def lowess_grid(df: DataFrame, x: str, y: str, frac: float = 0.6, n_grid: int =
     points = grid_values(lo, hi, n_grid)
     k = max(2, int(frac * n + 1e-10))
     reach = _bandwidths(d.groupBy("x").agg(F.count(F.lit(1)).alias("c")), points, k)
-    grid = F.array(
-        *[F.struct(F.lit(i).alias("i"), F.lit(g).alias("g"), F.lit(max(reach[i], 1e-300)).alias("h")) for i, g in enumerate(points)]
-    )
+    widths = double_array([max(reach[i], 1e-300) for i in range(n_grid)])
+    grid = F.transform(double_array(points), lambda g, i: F.struct(i.alias("i"), g.alias("g"), F.get(widths, i).alias("h")))
     weighted = d.withColumn("rw", F.lit(1.0))
     for step in range(robust + 1):
         fits = _local_lines(weighted, grid, n_grid)
@@ -83,7 +81,7 @@ def _local_lines(weighted: DataFrame, grid, n_grid: int) -> list[float]:
 def _interpolate(fits: Sequence[float], points: Sequence[float], lo: float, hi: float):
     n = len(points)
     at = F.least(F.greatest(grid_position(F.col("x"), lo, hi, n) - 1, F.lit(0)), F.lit(n - 2))
-    g, v = F.array(*[F.lit(float(p)) for p in points]), F.array(*[F.lit(float(f)) for f in fits])
+    g, v = double_array(points), double_array(fits)
     share = (F.col("x") - F.get(g, at)) / F.lit((hi - lo) / (n - 1))
     return F.get(v, at) + share * (F.get(v, at + 1) - F.get(v, at))
 

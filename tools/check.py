@@ -24,7 +24,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def normal(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else v + 0.0
+        return "nan" if math.isnan(v) else v
     return v
 
 
