@@ -21,7 +21,7 @@ from tallygrid.operators.evaluation import EvaluationConfig, evaluate
 from tallygrid.operators.frames import label_by_threshold
 from tallygrid.operators.gram import complete_rows
 from tallygrid.operators.joins import attach_global
-from tallygrid.operators.nearest import euclidean_silhouette
+from tallygrid.operators.nearest import euclidean_silhouettes
 from tallygrid.operators.ordered import attach_scalars
 from tallygrid.operators.windows import stratified_folds
 
@@ -263,22 +263,23 @@ def kmeans_auto(
     std = standardize(d, features, 0, "__z")
     x = VectorAssembler(inputCols=[f"{c}__z" for c in features], outputCol="__x").transform(std)
     x = x.drop(*[f"{c}__z" for c in features]).persist(StorageLevel.MEMORY_AND_DISK)
-    scores, models = [], {}
+    models = {}
     try:
+        labelled = x
         for k in ks:
-            if k >= n:
-                continue
-            models[k] = KMeans(k=k, seed=seed, featuresCol="__x", predictionCol="cluster").fit(x)
-            clustered = models[k].transform(x)
-            if clustered.select("cluster").distinct().count() < 2:
-                continue
-            if measure == "euclidean":
-                pts = clustered.select(row_id, vector_to_array("__x").alias("__v"), "cluster")
-                value = euclidean_silhouette(pts, "__v", "cluster", row_id).first()[0]
-            else:
-                judge = ClusteringEvaluator(featuresCol="__x", predictionCol="cluster", distanceMeasure="squaredEuclidean")
-                value = judge.evaluate(clustered)
-            scores.append((k, value))
+            if k < n:
+                models[k] = KMeans(k=k, seed=seed, featuresCol="__x", predictionCol=f"__k{k}").fit(x)
+                labelled = models[k].transform(labelled)
+        sizes = labelled.agg(*[F.count_distinct(f"__k{k}").alias(f"__k{k}") for k in models]).first() if models else {}
+        usable = [k for k in models if sizes[f"__k{k}"] >= 2]
+        if measure == "euclidean" and usable:
+            pts = labelled.withColumn("__v", vector_to_array("__x"))
+            found = euclidean_silhouettes(pts, "__v", [f"__k{k}" for k in usable], row_id)
+            value = {r["clustering"]: r["silhouette"] for r in found.collect()}
+            scores = [(k, value[f"__k{k}"]) for k in usable]
+        else:
+            judge = ClusteringEvaluator(featuresCol="__x", distanceMeasure="squaredEuclidean")
+            scores = [(k, judge.setPredictionCol(f"__k{k}").evaluate(labelled)) for k in usable]
     finally:
         x.unpersist()
     if not scores:
@@ -287,7 +288,7 @@ def kmeans_auto(
     table = df.sparkSession.createDataFrame(
         [(k, measure, float(v), k == best) for k, v in scores], "k int, measure string, silhouette double, chosen boolean"
     )
-    return models[best].transform(x).drop("__x"), table
+    return models[best].setPredictionCol("cluster").transform(x).drop("__x"), table
 
 
 def mean_model(train: DataFrame, query: DataFrame, y: str, out: str = "y_hat") -> DataFrame:

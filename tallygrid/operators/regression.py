@@ -201,13 +201,42 @@ def most_influential(df: DataFrame, y: str, xs: Sequence[str], row_id: str, k: i
     return n_largest(influence(df, y, xs), "cooks_d", k, row_id)
 
 
+def _weighted_passes(
+    data: DataFrame, xs: Sequence[str], tried: Sequence[np.ndarray], tau: float
+) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Check loss and reweighted normal equations at each candidate, in one aggregate."""
+    p = len(xs) + 1
+    z = ["1", *xs]
+    work = data.withColumn("b", double_array(np.concatenate(tried)))
+    resid = [f"__y - ({' + '.join(f'b[__at + {c * p + i}] * {z[i]}' for i in range(p))}) AS r{c}" for c in range(len(tried))]
+    work = work.selectExpr("__y", *xs, *resid)
+    tilt = [f"(CASE WHEN r{c} < 0 THEN {1 - tau}D ELSE {tau}D END)" for c in range(len(tried))]
+    weights = [f"{tilt[c]} / greatest(abs(r{c}), 1e-6D) AS w{c}" for c in range(len(tried))]
+    work = work.selectExpr("*", *weights)
+    aggs = []
+    for c in range(len(tried)):
+        aggs.append(f"sum({tilt[c]} * abs(r{c}))")
+        aggs += [f"sum(w{c} * {z[i]} * {z[j]})" for i in range(p) for j in range(i, p)]
+        aggs += [f"sum(w{c} * {z[i]} * __y)" for i in range(p)]
+    row = iter(work.selectExpr(*[f"{e} AS s{n}" for n, e in enumerate(aggs)]).first())
+    out = []
+    for _ in tried:
+        loss, a = next(row), np.zeros((p, p))
+        for i in range(p):
+            for j in range(i, p):
+                a[i, j] = a[j, i] = next(row)
+        out.append((loss, a, np.array([next(row) for _ in range(p)])))
+    return out
+
+
 def quantile_regression(
     df: DataFrame, y: str, xs: Sequence[str], tau: float = 0.5, tol: float = 1e-6, max_iter: int = 500
 ) -> DataFrame:
     """Coefficients of the τ-quantile line by iteratively reweighted least squares.
 
     The needed columns are centred, scaled and kept in the cluster's memory or disk
-    for the iterations; each is one aggregate of weighted cross-products.
+    for the iterations. Each pass scores the plain update and a few longer steps in
+    its direction at once and goes on from the best, which saves most of the passes.
     """
     xs = list(xs)
     m = moments(df, [*xs, y])
@@ -225,26 +254,20 @@ def quantile_regression(
     data = complete_rows(df, [*xs, y]).select(*scaled, (F.col(y) * 0).cast("int").alias("__at"))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     beta = np.concatenate([[0.0], fit.coefs * sd[:k] / sd[k]])
+    step = np.zeros(k + 1)
     iterations = 0
     try:
         for iterations in range(1, max_iter + 1):
-            held = double_array(beta)
-            line = " + ".join(["b[__at]", *[f"b[__at + {i + 1}] * {c}" for i, c in enumerate(names[:k])]])
-            work = data.withColumn("b", held).selectExpr("*", f"__y - ({line}) AS r").selectExpr(
-                "*", f"(CASE WHEN r < 0 THEN {1 - tau}D ELSE {tau}D END) / greatest(abs(r), 1e-6D) AS w"
-            )
-            z = ["1", *names[:k]]
-            aggs = [f"sum(w * {z[i]} * {z[j]}) AS a{i}_{j}" for i in range(k + 1) for j in range(i, k + 1)]
-            aggs += [f"sum(w * {z[i]} * __y) AS b{i}" for i in range(k + 1)]
-            row = work.selectExpr(*aggs).first()
-            a = np.zeros((k + 1, k + 1))
-            for i in range(k + 1):
-                for j in range(i, k + 1):
-                    a[i, j] = a[j, i] = row[f"a{i}_{j}"]
-            new = solve(a, np.array([row[f"b{i}"] for i in range(k + 1)]))
-            moved = float(np.max(np.abs(new - beta)))
-            beta = new
-            if moved < tol:
+            stretches = (1.0,) if iterations == 1 else (1.0, 2.0, 4.0, 10.0, 30.0)
+            tried = [beta + s * step for s in stretches]
+            passes = _weighted_passes(data, names[:k], tried, tau)
+            best = min(range(len(tried)), key=lambda c: (passes[c][0], c))
+            _, a, b = passes[best]
+            beta = tried[best]
+            new = solve(a, b)
+            step = new - beta
+            if float(np.max(np.abs(step))) < tol:
+                beta = new
                 break
     finally:
         data.unpersist()
