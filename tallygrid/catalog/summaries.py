@@ -19,6 +19,7 @@ from tallygrid.catalog.registry import (
     scored_orders,
 )
 from tallygrid.operators import summary
+from tallygrid.operators.ordered import attach_scalars, exact_quantiles
 from tallygrid.sources.files import load
 
 
@@ -64,7 +65,18 @@ def _(spark, d):
 @query("d8_brand_stats", f"""WITH {SQL_PURCHASES} SELECT p_brand, count(*)::BIGINT AS n_people, sum(l_quantity) AS total_qty, round(avg(l_quantity), 8) AS avg_qty,
  round(sum(l_extendedprice), 2) AS total_spend, round(avg(l_extendedprice), 6) AS avg_spend, round(sum(l_extendedprice) / sum(l_quantity), 6) AS spend_per_unit FROM purchases GROUP BY 1""")
 def _(spark, d):
-    out = summary.brand_stats(purchases(spark, d), ["p_brand"], "l_quantity", "l_extendedprice")
+    items = load(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_quantity", "l_extendedprice")
+    out = summary.brand_stats_joined(items, load(spark, d, "part"), "p_partkey", ["p_brand"], "l_quantity", "l_extendedprice")
+    return rnd(out, avg_qty=8, total_spend=2, avg_spend=6, spend_per_unit=6)
+
+
+@query("d8_heavy_brand_stats", f"""WITH {SQL_PURCHASES}, q AS (SELECT quantile_cont(l_quantity, 0.75) AS q75 FROM purchases) SELECT p_brand, count(*)::BIGINT AS n_people, sum(l_quantity) AS total_qty, round(avg(l_quantity), 8) AS avg_qty,
+ round(sum(l_extendedprice), 2) AS total_spend, round(avg(l_extendedprice), 6) AS avg_spend, round(sum(l_extendedprice) / sum(l_quantity), 6) AS spend_per_unit FROM purchases, q WHERE l_quantity >= q75 GROUP BY 1""")
+def _(spark, d):
+    p = purchases(spark, d)
+    marked = attach_scalars(p, exact_quantiles(load(spark, d, "lineitem"), ["l_quantity"], [0.75]), "edge")
+    heavy = marked.filter(F.col("l_quantity") >= F.col("edge.q_l_quantity")[0])
+    out = summary.brand_stats(heavy, ["p_brand"], "l_quantity", "l_extendedprice")
     return rnd(out, avg_qty=8, total_spend=2, avg_spend=6, spend_per_unit=6)
 
 

@@ -83,7 +83,8 @@ def curve_counts(df: DataFrame, label: str, prob: str, by: Sequence[str] = ()) -
     by = list(by)
     counts = score_counts(df, label, prob, by)
     run = prefix_sums(
-        counts, "score", {"tp": F.col("pos"), "fp": F.col("n") - F.col("pos")}, by, descending=True
+        counts, "score", {"tp": F.col("pos"), "fp": F.col("n") - F.col("pos")}, by, descending=True,
+        source=df.select(F.col(prob).cast("double").alias("score")),
     )
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     if by:

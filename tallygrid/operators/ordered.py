@@ -102,18 +102,26 @@ def _cuts(df: DataFrame, exprs: Sequence[Column], wanted: Sequence[int]) -> list
     return out
 
 
-def _bucket(df: DataFrame, expr: Column, points: Sequence[float], out: str) -> DataFrame:
-    if not points:
-        return df.withColumn(out, F.lit(0))
-    tmp = f"{out}_in"
-    bucketizer = Bucketizer(
-        splits=[-math.inf, *points, math.inf], inputCol=tmp, outputCol=out, handleInvalid="keep"
-    )
-    return bucketizer.transform(df.withColumn(tmp, expr)).withColumn(out, F.col(out).cast("int")).drop(tmp)
-
+def _bucket(df: DataFrame, expr: Column, points: Sequence[float], out: str, descending: bool = False) -> DataFrame:
+    """Number of the interval between cut points; NaN sorts as the largest number and NULL comes last."""
+    place, tmp = F.lit(0), f"{out}_in"
+    cut = df.withColumn(tmp, expr)
+    if points:
+        splits = [-math.inf, *points, math.inf]
+        cut = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep").transform(cut)
+        place = F.col(out).cast("int")
+    nan = -1 if descending else len(points) + 1
+    place = F.when(F.col(tmp).isNull(), len(points) + 2).when(F.isnan(tmp), nan).otherwise(place)
+    return cut.withColumn(out, place).drop(tmp)
+
+
+def with_cells(
+    df: DataFrame, rows: int, order: str, tie: str | None = None, descending: bool = False, source: DataFrame | None = None
+) -> DataFrame:
+    """Add ``__b`` and ``__s``: rows compare by (__b, __s) as they do by (order, tie).
 
-def with_cells(df: DataFrame, rows: int, order: str, tie: str | None = None, descending: bool = False) -> DataFrame:
-    """Add ``__b`` and ``__s``: rows compare by (__b, __s) as they do by (order, tie)."""
+    Cut points come from ``source`` (default ``df``), which needs the same columns.
+    """
     limit = rows_per_task(df)
     wanted = 8 if limit <= 0 else max(2, min(MAX_CELLS, math.ceil(rows / limit)))
     key = F.col(order).cast("double")
@@ -122,9 +130,9 @@ def with_cells(df: DataFrame, rows: int, order: str, tie: str | None = None, des
     if tie is not None:
         exprs.append(F.col(tie).cast("double"))
         sizes.append(min(wanted, TIE_CELLS))
-    found = _cuts(df, exprs, sizes)
+    found = _cuts(df if source is None else source, exprs, sizes)
     points, hot = found[0]
-    out = _bucket(df, key, points, "__b")
+    out = _bucket(df, key, points, "__b", descending)
     if tie is None or not hot:
         return out.withColumn("__s", F.lit(0))
     hot_cells = [bisect.bisect_left(points, v) + 1 for v in hot]
@@ -144,21 +152,24 @@ def prefix_sums(
     by: Sequence[str] = (),
     tie: str | None = None,
     descending: bool = False,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add running sums (this row included) of ``measures`` along ``order`` within ``by``.
 
-    (by, order, tie) must be unique and ``order``/``tie`` must cast to double.
+    (by, order, tie) must be unique and ``order``/``tie`` must cast to double. For an
+    aggregated ``df``, ``source`` may name the rows it was made from: sizes and cut
+    points then come from a scan of those instead of another run of the aggregate.
     """
     by = list(by)
     ordering = _order_columns(order, tie, descending)
     keyed = df.select("*", *[m.alias(f"__m_{k}") for k, m in measures.items()])
     temp = [f"__m_{k}" for k in measures]
-    rows = rows_beyond_one_task(df)
+    rows = rows_beyond_one_task(df if source is None else source)
     if rows is None:
         w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*ordering)
         w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return keyed.select("*", *[F.sum(f"__m_{k}").over(w).alias(k) for k in measures]).drop(*temp)
-    cells = with_cells(keyed, rows, order, tie, descending)
+    cells = with_cells(keyed, rows, order, tie, descending, source)
     keys = [*by, "__b", "__s"]
     totals = cells.groupBy(*keys).agg(*[F.sum(t).alias(f"{t}_t") for t in temp])
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__b", "__s")
@@ -247,7 +258,7 @@ def exact_quantiles(
     long = df.select(*by, F.inline(pairs)).filter(F.col("__v").isNotNull())
     counts = long.groupBy(*by, "__var", "__v").agg(F.count(F.lit(1)).alias("__n"))
     keys = [*by, "__var"]
-    ranked = prefix_sums(counts, "__v", {"__cum": F.col("__n")}, keys)
+    ranked = prefix_sums(counts, "__v", {"__cum": F.col("__n")}, keys, source=long)
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     placed = join_on_keys(ranked, totals, keys)
     low_high = []
@@ -277,6 +288,7 @@ def exact_quantiles(
 
 def average_ranks(df: DataFrame, col: str, out: str = "rank") -> DataFrame:
     """One row per distinct value of ``col`` with the mean rank its rows share."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    ranked = prefix_sums(counts, col, {"__cum": F.col("n")})
+    known = df.filter(F.col(col).isNotNull())
+    counts = known.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    ranked = prefix_sums(counts, col, {"__cum": F.col("n")}, source=known)
     return ranked.select(col, "n", (F.col("__cum") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)).alias(out))

@@ -100,6 +100,30 @@ def brand_stats(df: DataFrame, keys: Sequence[str], qty: str, spend: str, dropna
     )
 
 
+def brand_stats_joined(
+    facts: DataFrame, lookup: DataFrame, on: str, keys: Sequence[str], qty: str, spend: str, dropna: bool = True
+) -> DataFrame:
+    """``brand_stats`` of facts whose group sits in a lookup table with one row per ``on``.
+
+    Facts are summed per join key before the join: a key with very many rows leaves
+    each task as one row, and the join moves sums only.
+    """
+    per_key = facts.groupBy(on).agg(
+        _rows().alias("n"), F.sum(qty).alias("q"), F.count(qty).alias("nq"), F.sum(spend).alias("s"), F.count(spend).alias("ns")
+    )
+    named = _without_null_keys(per_key.join(lookup.select(on, *keys), on), keys, dropna)
+    sums = named.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "q", "nq", "s", "ns")])
+    return sums.select(
+        *keys,
+        F.col("n").alias("n_people"),
+        F.col("q").alias("total_qty"),
+        ratio(F.col("q"), F.col("nq")).alias("avg_qty"),
+        F.col("s").alias("total_spend"),
+        ratio(F.col("s"), F.col("ns")).alias("avg_spend"),
+        ratio(F.col("s"), F.col("q")).alias("spend_per_unit"),
+    ).orderBy(F.desc_nulls_last("total_qty"), *keys)
+
+
 def top_groups(df: DataFrame, key: str, measure: str, n: int = 1, dropna: bool = True) -> DataFrame:
     sums = _without_null_keys(df, [key], dropna).groupBy(key).agg(F.sum(measure).alias("total"))
     return sums.orderBy(F.desc_nulls_last("total"), key).limit(n)

@@ -25,6 +25,23 @@ def test_row_numbers_with_hot_value(spark, plans):
         assert [out[i] for i in ids] == list(range(1, len(ids) + 1))
 
 
+def test_missing_values_come_last(spark, plans):
+    values = [3.0, None, float("nan"), 1.0, None, 2.0, float("nan"), 2.0] + [float(i) for i in range(10, 60)]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v double")
+
+    def place(v, down):
+        if v is None:
+            return (2, 0)
+        if v != v:
+            return (-1, 0) if down else (1, 0)
+        return (0, -v if down else v)
+
+    for down in (False, True):
+        out = {r["id"]: r["pos"] for r in ordered.row_numbers(df, "v", "pos", tie="id", descending=down).collect()}
+        ids = sorted(range(len(values)), key=lambda i: (place(values[i], down), i))
+        assert [out[i] for i in ids] == list(range(1, len(ids) + 1))
+
+
 def test_neighbours(spark, plans):
     rows = _rows()
     df = spark.createDataFrame(rows, "id bigint, g string, v double")
