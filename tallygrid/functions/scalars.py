@@ -51,6 +51,9 @@ def slug(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9_]+", "_"), F.lit("_"))
 
 
+_ASCII_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
 def _fold(s: str | None) -> str | None:
     if s is None:
         return None
@@ -66,8 +69,12 @@ def _fold_key(s: pd.Series) -> pd.Series:
 
 
 def fold_key(c: Column) -> Column:
-    """Accent- and case-insensitive key: trimmed, case-folded, compatibility-decomposed, no marks."""
-    return _fold_key(c)
+    """Accent- and case-insensitive key: trimmed, case-folded, compatibility-decomposed, no marks.
+
+    Plain ASCII text is folded inside the JVM; only other text goes to Python.
+    """
+    plain = ~c.rlike(r"[^\x00-\x7F]")
+    return F.when(plain, F.lower(F.btrim(c, F.lit(_ASCII_SPACE)))).otherwise(_fold_key(F.when(~plain, c)))
 
 
 def folded_equal(a: Column, b: Column) -> Column:

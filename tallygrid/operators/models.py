@@ -24,6 +24,7 @@ from tallygrid.operators.joins import attach_global
 from tallygrid.operators.nearest import euclidean_silhouettes
 from tallygrid.operators.ordered import attach_scalars
 from tallygrid.operators.windows import stratified_folds
+from tallygrid.session import stored
 
 
 def encode_formula(df: DataFrame, formula: str) -> DataFrame:
@@ -189,9 +190,15 @@ def oof_predict(
     return out
 
 
+def _stored_folds(df: DataFrame, features: Sequence[str], label: str, row_id: str, cfg: EvaluationConfig) -> DataFrame:
+    """The needed columns with folds, written once by fold: each fit and each scoring reads only its folds."""
+    slim = df.select(row_id, label, *features)
+    return stored(stratified_folds(slim, label, row_id, cfg.folds, cfg.seed), "folds", "fold")
+
+
 def cv_scores(df: DataFrame, features: Sequence[str], label: str, row_id: str, name: str = "logreg", cfg: EvaluationConfig = EvaluationConfig()) -> DataFrame:
     """Cross-validated accuracy and F1."""
-    folded = stratified_folds(df, label, row_id, cfg.folds, cfg.seed)
+    folded = _stored_folds(df, features, label, row_id, cfg)
     scored = oof_predict(folded, features, label, "fold", name)
     scored = scored.withColumn("__pred", (F.col("prob") >= cfg.threshold).cast("int"))
     return evaluate(scored, label, "prob", "__pred").select("accuracy", "f1")
@@ -209,7 +216,7 @@ def score_models(
     settings: Mapping[str, Mapping[str, Any]] | None = None,
 ) -> DataFrame:
     """Out-of-fold rows (model, id, y, prob, pred) of several models on shared folds."""
-    folded = stratified_folds(df, label, row_id, cfg.folds, cfg.seed)
+    folded = _stored_folds(df, features, label, row_id, cfg)
     out = None
     for name in models:
         if name not in MODELS:

@@ -10,14 +10,41 @@ from pyspark.sql import functions as F
 
 from tallygrid.operators.frames import double_array, grid_position, grid_values
 from tallygrid.operators.gram import complete_rows
-from tallygrid.operators.ordered import exact_quantiles, prefix_sums
+from tallygrid.operators.ordered import exact_quantiles, fits_one_task, prefix_sums
 
 
-def _bandwidths(values: DataFrame, points: Sequence[float], k: int) -> dict[int, float]:
-    """Distance from each grid point to its k-th nearest row, from counts of distinct x."""
-    far = values.select("c", "x", F.posexplode(double_array(points)).alias("i", "g")).groupBy("i", F.abs(F.col("x") - F.col("g")).alias("d")).agg(F.sum("c").alias("c"))
-    run = prefix_sums(far, "d", {"cum": F.col("c")}, ["i"])
-    return {r["i"]: r["h"] for r in run.filter(F.col("cum") >= k).groupBy("i").agg(F.min("d").alias("h")).collect()}
+def _bandwidths(rows: DataFrame, points: Sequence[float], k: int, n: int) -> list[float]:
+    """Distance from each grid point to its k-th nearest row.
+
+    On a large table a sketch of the distances per grid point brackets the wanted one
+    (combined inside the tasks); only rows inside the bracket are ranked. The counts
+    below and inside prove the bracket; where they do not, everything is ranked.
+    """
+    far = rows.select("x", F.posexplode(double_array(points)).alias("i", "g")).select("i", F.abs(F.col("x") - F.col("g")).alias("d"))
+    found: dict[int, float] = {}
+    if not fits_one_task(rows):
+        accuracy = 10_000
+        q = [max(0.0, k / n - 3 / accuracy), min(1.0, k / n + 3 / accuracy)]
+        edges = {r["i"]: r["e"] for r in far.groupBy("i").agg(F.percentile_approx("d", q, accuracy).alias("e")).collect()}
+        low, high = (double_array([edges[i][j] for i in range(len(points))]) for j in (0, 1))
+        below = F.col("d") < F.get(low, F.col("i"))
+        beyond = F.col("d") > F.get(high, F.col("i"))
+        counts = far.groupBy("i").agg(F.count_if(below).alias("below"), F.count_if(~below & ~beyond).alias("inside")).collect()
+        need = {r["i"]: k - r["below"] for r in counts if 0 < k - r["below"] <= r["inside"]}
+        if need:
+            wanted = F.get(F.array(*[F.lit(need.get(i)).cast("bigint") for i in range(len(points))]), F.col("i"))
+            found = _kth(far.filter(~below & ~beyond), wanted)
+    if len(found) < len(points):
+        left = [i for i in range(len(points)) if i not in found]
+        found |= _kth(far.filter(F.col("i").isin(left)), F.lit(k))
+    return [found[i] for i in range(len(points))]
+
+
+def _kth(far: DataFrame, wanted) -> dict[int, float]:
+    counts = far.groupBy("i", "d").agg(F.count(F.lit(1)).alias("c"))
+    run = prefix_sums(counts, "d", {"cum": F.col("c")}, ["i"], source=far)
+    hits = run.filter(F.col("cum") >= wanted).groupBy("i").agg(F.min("d").alias("h")).collect()
+    return {r["i"]: r["h"] for r in hits}
 
 
 def lowess_grid(df: DataFrame, x: str, y: str, frac: float = 0.6, n_grid: int = 50, robust: int = 3) -> DataFrame:
@@ -35,8 +62,8 @@ def lowess_grid(df: DataFrame, x: str, y: str, frac: float = 0.6, n_grid: int =
         raise ValueError("x must vary")
     points = grid_values(lo, hi, n_grid)
     k = max(2, int(frac * n + 1e-10))
-    reach = _bandwidths(d.groupBy("x").agg(F.count(F.lit(1)).alias("c")), points, k)
-    widths = double_array([max(reach[i], 1e-300) for i in range(n_grid)])
+    reach = _bandwidths(d, points, k, n)
+    widths = double_array([max(h, 1e-300) for h in reach])
     grid = F.transform(double_array(points), lambda g, i: F.struct(i.alias("i"), g.alias("g"), F.get(widths, i).alias("h")))
     weighted = d.withColumn("rw", F.lit(1.0))
     for step in range(robust + 1):

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallygrid.functions.scalars import _fold, fold_key
-from tallygrid.operators.joins import exclude_rows
 from tallygrid.operators.ordered import attach_scalars, exact_quantiles
 
 
@@ -57,14 +56,17 @@ def metric_subsets(
 ) -> DataFrame:
     """Long table (subset, …): bottom/top k and K, k nearest the median of the rest, named rows.
 
-    A subset with fewer than two rows is left out. Each ranked subset is one
-    take-ordered; only the named rows can be many, and they are never collected.
+    A subset with fewer than two rows is left out. The lowest and highest max(k, K)
+    rows are taken once and reused; the named rows can be many and are never collected.
     """
     if metric not in df.columns:
         raise ValueError(f"unknown metric {metric!r}; columns are {df.columns}")
     d = df.dropna(subset=[metric])
-    bottom, top = n_smallest(d, metric, k, row_id), n_largest(d, metric, k, row_id)
-    rest = exclude_rows(d, bottom.select(row_id).union(top.select(row_id)).distinct(), [row_id])
+    spark, most = df.sparkSession, max(k, K)
+    low = spark.createDataFrame(n_smallest(d, metric, most, row_id).collect(), df.schema)
+    high = spark.createDataFrame(n_largest(d, metric, most, row_id).collect(), df.schema)
+    bottom, top = n_smallest(low, metric, k, row_id), n_largest(high, metric, k, row_id)
+    rest = d.filter(~F.col(row_id).isin([r[row_id] for r in bottom.union(top).collect()]))
     centre = attach_scalars(rest, exact_quantiles(rest, [metric], [0.5]), "__m")
     gap = F.abs(F.col(metric) - F.col(f"__m.q_{metric}")[0])
     mid = centre.orderBy(gap, F.col(metric), F.col(row_id)).limit(k).drop("__m")
@@ -72,8 +74,8 @@ def metric_subsets(
         f"bottom{k}": bottom,
         f"mid{k}": mid,
         f"top{k}": top,
-        f"bottom{K}": n_smallest(d, metric, K, row_id),
-        f"top{K}": n_largest(d, metric, K, row_id),
+        f"bottom{K}": n_smallest(low, metric, K, row_id),
+        f"top{K}": n_largest(high, metric, K, row_id),
     }
     if aliases:
         wanted = sorted({_fold(a) for a in aliases})

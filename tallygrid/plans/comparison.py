@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.operators import evaluation as ev
 from tallygrid.operators.models import MODELS, score_models
-from tallygrid.plans.study import stored
+from tallygrid.session import stored
 
 
 def compare(

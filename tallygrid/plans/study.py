@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallygrid.operators import correlation, models, panel, regression, smoothing, summary, topk, windows
 from tallygrid.operators.frames import clean_and_feature
 from tallygrid.operators.joins import assemble_panel, keep_named, lookup_table
-from tallygrid.session import shared_path
+from tallygrid.session import stored
 
 PCT, LOG_PC, LOG_AREA = "higher_ed_pct", "log_gdp_pc", "log_area"
 MIN_ROWS = 4
@@ -25,13 +25,6 @@ def build_panel(tables: Mapping[str, DataFrame], key: str, name: str, last_year:
     return clean_and_feature(assemble_panel(tables, key, years, [name]))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table that many analyses read to the shared folder and read it back."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def cross_section(panel_df: DataFrame, key: str, name: str) -> DataFrame:
     """One row per entity: medians over its years."""
     return summary.entity_medians(panel_df, [key, name], [PCT, LOG_PC, LOG_AREA])

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, name: str = "tallygrid", partitions: int | None = None) -> SparkSession:
@@ -40,3 +40,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+    """Write a table that many jobs read to the shared folder and read it back.
+
+    This also ends its lineage: a lost executor costs a re-read, not a recomputation.
+    """
+    path = shared_path(df.sparkSession, label)
+    writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.parquet(path).select(*df.columns)

@@ -221,6 +221,16 @@ def test_lowess_reproduces_a_line(spark, plans):
         assert r["y_hat"] == pytest.approx(2 * r["x"] + 1)
 
 
+def test_lowess_neighbourhoods(spark, plans):
+    rng = np.random.default_rng(8)
+    xs = np.round(rng.normal(0, 1, 500), 2)
+    rows = spark.createDataFrame([(float(x),) for x in xs], "x double")
+    points = [-2.0, -0.5, 0.0, 0.7, 3.0]
+    for k in (1, 50, 300, 500):
+        want = [float(np.sort(np.abs(xs - g))[k - 1]) for g in points]
+        assert smoothing._bandwidths(rows, points, k, 500) == pytest.approx(want)
+
+
 def test_lowess_resists_outliers(spark):
     df = spark.createDataFrame([(float(i), 2.0 * i + (500.0 if i % 20 == 7 else 0.0)) for i in range(100)], "x double, y double")
     fit = smoothing.lowess_grid(df, "x", "y", n_grid=9, robust=3).collect()
