@@ -16,13 +16,17 @@ def scaled_customers(spark, d):
     return models.standardize(customer_facts(spark, d), ["acctbal", "n_orders", "log_spend"], ddof=1)
 
 
-@query("k1_encode_formula")
+_LEVELS = ["MACHINERY", "HOUSEHOLD", "FURNITURE", "BUILDING"]
+
+
+@query("k1_encode_formula", f"WITH {SQL_CUSTOMERS} SELECT c_custkey, acctbal, n_orders::DOUBLE AS n_orders, y::DOUBLE AS label, " + ", ".join(f"CASE WHEN c_mktsegment = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS {v.lower()}" for v in _LEVELS) + " FROM cust")
 def _(spark, d):
     from pyspark.ml.functions import vector_to_array
 
     c = customer_facts(spark, d).select("c_custkey", "y", "acctbal", "n_orders", "c_mktsegment")
-    out = models.encode_formula(c, "y ~ acctbal + n_orders + c_mktsegment")
-    return out.select("c_custkey", vector_to_array("features").alias("features"), "label")
+    x = models.encode_formula(c, "y ~ acctbal + n_orders + c_mktsegment").withColumn("x", vector_to_array("features"))
+    names = ["acctbal", "n_orders", *[v.lower() for v in _LEVELS]]
+    return x.select("c_custkey", *[F.col("x")[i].alias(n) for i, n in enumerate(names)], "label")
 
 
 @query("k2_standardize", f"""WITH {SQL_CUSTOMERS} SELECT c_custkey, round((acctbal - avg(acctbal) OVER ()) / stddev_pop(acctbal) OVER (), 8) AS acctbal_std, round((n_orders - avg(n_orders) OVER ()) / stddev_pop(n_orders) OVER (), 8) AS n_orders_std FROM cust""")

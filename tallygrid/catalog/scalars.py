@@ -82,20 +82,33 @@ def _(spark, d):
     )
 
 
-@query("h11_collections", """WITH t AS (SELECT conv_id, list(role ORDER BY turn, role) AS roles, list(turn ORDER BY turn) AS turns FROM (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY 1, 2) u GROUP BY 1)
-SELECT conv_id, list_contains(roles, 'system') AS has_system, roles[1] AS first_role, roles[len(roles)] AS last_role, array_to_string(roles[1:2], ',') AS first_two, len(roles)::INTEGER AS n, turns[len(turns)] AS last_key FROM t""")
-def _(spark, d):
-    # A conversation's turns are few by nature; one role per turn is kept first.
-    turns = load(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
-    pairs = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    m = turns.groupBy("conv_id").agg(F.map_from_entries(pairs).alias("m"))
-    roles = F.map_values("m")
-    return m.select(
-        "conv_id", F.array_contains(roles, "system").alias("has_system"), F.element_at(roles, 1).alias("first_role"), F.element_at(roles, -1).alias("last_role"),
-        F.array_join(F.slice(roles, 1, 2), ",").alias("first_two"), F.size(roles).alias("n"), F.element_at(F.map_keys("m"), -1).alias("last_key"),
+@query("h11_collections", """WITH t AS (SELECT doc_id, string_split(text, ' ') AS words FROM documents)
+SELECT doc_id, list_contains(words, 'the') AS has_the, words[1] AS first_word, words[len(words)] AS last_word, array_to_string(words[1:3], '|') AS first_three, len(words)::BIGINT AS n_words, contains(array_to_string(words, ' '), 'copyright') AS mentions FROM t""")
+def _(spark, d):
+    w = F.split("text", " ")
+    t = load(spark, d, "documents").select("doc_id", "text", w.alias("w"))
+    return t.select(
+        "doc_id", F.array_contains("w", "the").alias("has_the"), F.element_at("w", 1).alias("first_word"), F.element_at("w", -1).alias("last_word"),
+        F.array_join(F.slice("w", 1, 3), "|").alias("first_three"), F.size("w").cast("bigint").alias("n_words"), F.col("text").contains("copyright").alias("mentions"),
     )
 
 
+@query("h11_maps", """SELECT event_id, (json_extract_string(props, '$.k'))::BIGINT AS k, list_contains(json_keys(props), 'k') AS has_k, list_contains(json_keys(props), 'z') AS has_z, json_keys(props)[1] AS first_key FROM events""")
+def _(spark, d):
+    m = F.from_json("props", "map<string,string>")
+    e = load(spark, d, "events").select("event_id", m.alias("m"))
+    return e.select(
+        "event_id", F.element_at("m", "k").cast("bigint").alias("k"), F.map_contains_key("m", "k").alias("has_k"),
+        F.map_contains_key("m", "z").alias("has_z"), F.element_at(F.map_keys("m"), 1).alias("first_key"),
+    )
+
+
+@query("h11_enumerate", """WITH t AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) SELECT i::INTEGER AS pos, w[i + 1] AS word, count(*)::BIGINT AS n FROM t, range(10) r(i) WHERE i < len(w) GROUP BY 1, 2""")
+def _(spark, d):
+    words = load(spark, d, "part").select(F.posexplode(F.split("p_name", " ")).alias("pos", "word"))
+    return words.groupBy("pos", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("h12_conditions", """SELECT o_orderkey, (o_totalprice > 100000 AND o_orderstatus = 'F') OR NOT (o_orderpriority = '1-URGENT') AS flag, o_totalprice BETWEEN 50000 AND 150000 AS mid,
  CASE WHEN o_totalprice >= 300000 THEN 'A' WHEN o_totalprice >= 150000 THEN 'B' WHEN o_totalprice >= 50000 THEN 'C' ELSE 'D' END AS grade FROM orders""")
 def _(spark, d):

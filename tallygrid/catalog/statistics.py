@@ -58,9 +58,13 @@ def _(spark, d):
     return rnd(regression.breusch_pagan(customer_facts(spark, d), "log_spend", ["acctbal"]).select("lm", "f"), lm=7, f=7)
 
 
-@query("j8_reset_test")
+# x² and x³ span the same columns as the fitted value's powers; they are orthogonalized in turn.
+@query("j8_reset_test", f"""{_FIT}, z AS (SELECT e, (x - mx) / sqrt(sxx / n) AS u, n FROM r, f), c AS (SELECT avg(u * u) AS a0, avg(u * u * u) AS a1, avg(u * u * u) AS b0, avg(u * u * u * u) AS b1 FROM z),
+q AS (SELECT e, n, u * u - a0 - a1 * u AS p, u * u * u - b0 - b1 * u AS k FROM z, c), g AS (SELECT sum(p * k) / sum(p * p) AS w FROM q), t AS (SELECT e, n, p, k - w * p AS k FROM q, g),
+s AS (SELECT pow(sum(e * p), 2) / sum(p * p) + pow(sum(e * k), 2) / sum(k * k) AS gain, sum(e * e) AS rss, max(n) AS n FROM t)
+SELECT round((gain / 2) / ((rss - gain) / (n - 4)), 7) AS f, 2::INTEGER AS df1, (n - 4)::INTEGER AS df2 FROM s""")
 def _(spark, d):
-    return regression.reset_test(customer_facts(spark, d), "log_spend", ["acctbal"])
+    return rnd(regression.reset_test(customer_facts(spark, d), "log_spend", ["acctbal"]).drop("p"), f=7)
 
 
 @query("j9_jarque_bera", f"""{_FIT}, m AS (SELECT count(*) AS n, avg(e) AS mu FROM r), k AS (SELECT max(n) AS n, avg(pow(e - mu, 2)) AS m2, avg(pow(e - mu, 3)) AS m3, avg(pow(e - mu, 4)) AS m4 FROM r, m)
@@ -109,6 +113,15 @@ def _(spark, d):
     return smoothing.lowess_grid(customer_facts(spark, d), "acctbal", "log_spend")
 
 
+@query("j15_local_lines", f"""WITH {SQL_CUSTOMERS}, e AS (SELECT min(acctbal) AS lo, max(acctbal) AS hi, CAST(floor(0.6::DOUBLE * count(*) + 1e-10) AS BIGINT) AS k FROM cust),
+g AS (SELECT i, k, CASE WHEN i = 19 THEN hi ELSE lo + i * ((hi - lo) / 19) END AS g FROM range(20) r(i), e), d AS (SELECT i, g, k, acctbal AS x, log_spend AS y, abs(acctbal - g) AS d, row_number() OVER (PARTITION BY i ORDER BY abs(acctbal - g)) AS rn FROM g, cust),
+h AS (SELECT i, max(d) AS h FROM d WHERE rn <= k GROUP BY 1), w AS (SELECT d.i, g, x - g AS u, y, pow(1 - pow(d / h, 3), 3) AS w FROM d JOIN h ON d.i = h.i WHERE d <= h),
+s AS (SELECT i, max(g) AS x, sum(w) AS w, sum(w * u) / sum(w) AS mu, sum(w * y) / sum(w) AS my, sum(w * u * u) / sum(w) AS uu, sum(w * u * y) / sum(w) AS uy FROM w GROUP BY 1)
+SELECT i::INTEGER AS i, round(x, 6) AS x, round(my - (uy - mu * my) / (uu - mu * mu) * mu, 7) AS y_hat FROM s""")
+def _(spark, d):
+    return rnd(smoothing.lowess_grid(customer_facts(spark, d), "acctbal", "log_spend", n_grid=20, robust=0), x=6, y_hat=7)
+
+
 @query("j16_smearing_fit", f"""WITH {SQL_CUSTOMERS}, f AS (SELECT count(*)::BIGINT AS n, regr_slope(log_spend, acctbal) AS b, regr_intercept(log_spend, acctbal) AS a FROM cust)
 SELECT max(n) AS n, round(max(b) * 1e6, 6) AS slope_ppm, round(max(a), 8) AS intercept, round(avg(exp(log_spend - a - b * acctbal)), 8) AS smearing FROM cust, f""")
 def _(spark, d):
