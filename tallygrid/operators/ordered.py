@@ -140,6 +140,18 @@ def with_cells(
     return out.withColumn("__s", F.when(F.col("__b").isin(hot_cells), F.col("__t")).otherwise(0)).drop("__t")
 
 
+def value_cells(df: DataFrame, rows: int, col: str) -> tuple[list[float], int]:
+    """Cut points of a numeric column into cells of about one task's rows."""
+    limit = rows_per_task(df)
+    wanted = 8 if limit <= 0 else max(2, min(MAX_CELLS, math.ceil(rows / limit)))
+    points = _cuts(df, [F.col(col).cast("double")], [wanted])[0][0]
+    return points, len(points) + 1
+
+
+def in_cells(df: DataFrame, col: str, points: Sequence[float], out: str) -> DataFrame:
+    return _bucket(df, F.col(col).cast("double"), points, out)
+
+
 def _order_columns(order: str, tie: str | None, descending: bool) -> list[Column]:
     first = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
     return [first] if tie is None else [first, F.col(tie).asc()]

@@ -89,6 +89,22 @@ def test_lift(scored, plans):
     assert rows[0]["lift"] == pytest.approx(1 / 0.4) and rows[-1]["lift"] == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("shape", ["spread", "hot", "outside"])
+def test_knn_on_line_matches_brute_force(spark, plans, shape):
+    rng = random.Random(4)
+    values = [3.0 if shape == "hot" and rng.random() < 0.5 else round(rng.random() * 20, 1) for _ in range(150)]
+    asks = [round(rng.random() * 20 + (30 if shape == "outside" else 0), 1) for _ in range(60)]
+    train = spark.createDataFrame([(i, v, float(i % 7)) for i, v in enumerate(values)], "id int, x double, y double")
+    query = spark.createDataFrame(list(enumerate(asks)), "q int, x double")
+    for k in (1, 4, 40):
+        got = {}
+        for r in nearest.nearest(train, query, "x", k, "id", "q", ["y"], "absolute").collect():
+            got.setdefault(r["q"], {})[r["rank"]] = (r["neighbour"], r["y"])
+        for j, a in enumerate(asks):
+            want = sorted(range(len(values)), key=lambda i: (abs(values[i] - a), i))[:k]
+            assert [got[j][n + 1] for n in range(k)] == [(i, float(i % 7)) for i in want]
+
+
 def test_knn_1d(spark):
     train = spark.createDataFrame([(1, 1.0, 1.0), (2, 2.0, 4.0), (3, 3.0, 9.0)], "id int, x double, y double")
     query = spark.createDataFrame([(0, 0.5), (1, 2.1), (2, 4.0)], "q int, x double")
@@ -103,10 +119,10 @@ def test_knn_1d(spark):
 
 
 def test_knn_tie_by_id_in_blocks(spark):
-    train = spark.createDataFrame([(i, 1.0 if i % 2 else -1.0, float(i)) for i in range(20)], "id int, x double, y double")
-    query = spark.createDataFrame([(0, 0.0)], "q int, x double")
+    train = spark.createDataFrame([(i, 1.0 if i % 2 else -1.0, 0.0) for i in range(20)], "id int, x double, y double")
+    query = spark.createDataFrame([(0, 0.0, 0.0)], "q int, x double, y double")
     for blocks in ({}, {"train_block": 3, "query_block": 1}):
-        near = nearest.nearest(train, query, ["x"], 4, "id", "q", **blocks).orderBy("rank").collect()
+        near = nearest.nearest(train, query, ["x", "y"], 4, "id", "q", **blocks).orderBy("rank").collect()
         assert [r["neighbour"] for r in near] == [0, 1, 2, 3]
 
 
