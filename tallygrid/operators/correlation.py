@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,9 +110,11 @@ def permutation_corr_test(
     if m.n <= in_memory_rows:
         hits = _permute_in_tasks(centred, B, seed, limit)
     else:
-        hits = sum(
-            _permute_by_shuffle(centred, range(b, min(b + batch, B)), seed, limit) for b in range(0, B, batch)
-        )
+        kept = centred.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            hits = sum(_permute_by_shuffle(kept, range(b, min(b + batch, B)), seed, limit) for b in range(0, B, batch))
+        finally:
+            kept.unpersist()
     return spark.createDataFrame([(m.n, r, B, (1 + hits) / (B + 1))], schema)
 
 

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from tallygrid.functions.distributions import t_quantile, t_two_sided
 from tallygrid.operators.frames import double_array
 from tallygrid.operators.gram import complete_rows
-from tallygrid.operators.ordered import require_at_most
 
 
 @dataclass(frozen=True)
@@ -73,11 +72,15 @@ def _at(values: np.ndarray) -> Column:
 
 def fit_panel(df: DataFrame, y: str, x: str, entity: str, period: str, factor: float = 1.0, max_periods: int = 400) -> PanelFit:
     d = complete_rows(df, [x, y]).dropna(subset=[entity, period])
-    found = d.select(period).distinct()
-    require_at_most(found, max_periods, f"distinct values of {period}")
-    periods = sorted(r[0] for r in found.collect())
-    t = len(periods)
-    centre = d.agg(F.avg(x).alias("x"), F.avg(y).alias("y")).first()
+    per = d.groupBy(period).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"))
+    found = sorted(per.limit(max_periods + 1).collect(), key=lambda r: r[0])
+    if len(found) > max_periods:
+        raise ValueError(f"more than {max_periods} distinct values of {period}")
+    if not found:
+        raise ValueError("no complete rows")
+    periods, t = [r[0] for r in found], len(found)
+    total = sum(r["n"] for r in found)
+    centre = {c: sum(r[c] for r in found) / total for c in ("x", "y")}
     index = F.array_position(F.array(*[F.lit(p) for p in periods]), F.col(period)).cast("int") - 1
     rows = d.select(
         entity, index.alias("__t"), (F.col(x) - F.lit(centre["x"])).alias("__x"), (F.col(y) - F.lit(centre["y"])).alias("__y")

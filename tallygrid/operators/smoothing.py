@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,20 +63,24 @@ def lowess_grid(df: DataFrame, x: str, y: str, frac: float = 0.6, n_grid: int =
         raise ValueError("x must vary")
     points = grid_values(lo, hi, n_grid)
     k = max(2, int(frac * n + 1e-10))
-    reach = _bandwidths(d, points, k, n)
-    widths = double_array([max(h, 1e-300) for h in reach])
-    grid = F.transform(double_array(points), lambda g, i: F.struct(i.alias("i"), g.alias("g"), F.get(widths, i).alias("h")))
-    weighted = d.withColumn("rw", F.lit(1.0))
-    for step in range(robust + 1):
-        fits = _local_lines(weighted, grid, n_grid)
-        if step == robust:
-            break
-        resid = d.withColumn("r", F.abs(F.col("y") - _interpolate(fits, points, lo, hi)))
-        scale = exact_quantiles(resid, ["r"], [0.5]).first()[0][0]
-        if not scale:
-            break
-        u = F.col("r") / F.lit(6.0 * scale)
-        weighted = resid.withColumn("rw", F.when(u < 1, F.pow(1 - u * u, F.lit(2.0))).otherwise(0.0))
+    d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        reach = _bandwidths(d, points, k, n)
+        widths = double_array([max(h, 1e-300) for h in reach])
+        grid = F.transform(double_array(points), lambda g, i: F.struct(i.alias("i"), g.alias("g"), F.get(widths, i).alias("h")))
+        weighted = d.withColumn("rw", F.lit(1.0))
+        for step in range(robust + 1):
+            fits = _local_lines(weighted, grid, n_grid)
+            if step == robust:
+                break
+            resid = d.withColumn("r", F.abs(F.col("y") - _interpolate(fits, points, lo, hi)))
+            scale = exact_quantiles(resid, ["r"], [0.5]).first()[0][0]
+            if not scale:
+                break
+            u = F.col("r") / F.lit(6.0 * scale)
+            weighted = resid.withColumn("rw", F.when(u < 1, F.pow(1 - u * u, F.lit(2.0))).otherwise(0.0))
+    finally:
+        d.unpersist()
     rows = [(i, g, v) for i, (g, v) in enumerate(zip(points, fits))]
     return df.sparkSession.createDataFrame(rows, schema)
 
