@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 2_000_000
-SMALL_PLAN_BYTES = 64 << 20
+SMALL_PLAN_BYTES = 32 << 20
 MAX_CELLS = 16_384
 TIE_CELLS = 1024
 
