@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallygrid.catalog import evaluation, learning, relational, scalars, statistics, summaries
+from tallygrid.catalog import evaluation, flows, learning, relational, scalars, statistics, summaries
 from tallygrid.catalog.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "learning", "relational", "scalars", "statistics", "summaries"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "flows", "learning", "relational", "scalars", "statistics", "summaries"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.catalog.registry import SQL_CUSTOMERS, customer_facts, query, rnd
 from tallygrid.operators import models, nearest, summary, windows
+from tallygrid.operators.ordered import attach_scalars
 from tallygrid.sources.files import load
 
 FEATURES = ["acctbal_std", "n_orders_std", "log_spend_std"]
@@ -109,7 +110,9 @@ def _(spark, d):
 @query("k12_kmeans_auto")
 def _(spark, d):
     rows, table = models.kmeans_auto(customer_facts(spark, d), ["acctbal", "log_spend"], "c_custkey")
-    return summary.cluster_summary(rows, "cluster", "acctbal", ["log_spend"]).join(table.filter("chosen").select("k", "measure", "silhouette"), F.lit(True))
+    clusters = summary.cluster_summary(rows, "cluster", "acctbal", ["log_spend"])
+    out = attach_scalars(clusters, table.filter("chosen").select("k", "measure", "silhouette"), "t")
+    return out.select("*", "t.k", "t.measure", "t.silhouette").drop("t")
 
 
 @query("k13_mean_model", "SELECT s_suppkey, round((SELECT avg(p_retailprice) FROM part), 6) AS y_hat FROM supplier")

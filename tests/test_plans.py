@@ -77,3 +77,16 @@ def test_survey(spark):
     assert out["heavy_brand_stats"].agg({"n_people": "sum"}).first()[0] == sum(r[4] >= 6 for r in rows)
     for name, table in out.items():
         assert table.count() > 0, name
+
+
+def test_column_names_as_people_write_them(spark):
+    from tallygrid.operators import summary
+
+    rows = [("S" + str(i % 3), "K" + str(i % 2), "A" + str(i % 4), "B" + str(i % 5), i % 7 + 1, float(i) * 10) for i in range(40)]
+    names = ["State", "Coffee Type", "Age Group", "Preferred Coffee Brand", "Daily Cups Consumed", "Monthly Coffee Expense (INR)"]
+    df = spark.createDataFrame(rows, names)
+    for name, table in survey.survey_report(df, *names).items():
+        assert table.count() > 0, name
+    basket = spark.createDataFrame([("a", 0.5, 2.0), ("b", 2.7, 1.0)], ["PRODUTO", "QUANTIDADE", "PRECO UNIT. (R$)"])
+    r = summary.basket_totals(basket, "PRODUTO", "QUANTIDADE", "`PRECO UNIT. (R$)`").first()
+    assert (float(r["total_value"]), r["units"], r["dearest"]) == (3.7, 3, "a")
