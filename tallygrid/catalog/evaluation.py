@@ -68,7 +68,7 @@ def _(spark, d):
     return rnd(ev.pr_points(scored_orders(spark, d), "y", "prob", BY), precision=9, recall=9, lift=9)
 
 
-@query("l9_calibration_curve", f"WITH {SQL_SCORED} SELECT o_orderpriority, least(greatest(ceil(prob * 10) - 1, 0), 9)::INTEGER AS bin, round(avg(prob), 9) AS mean_prob, round(avg(y), 9) AS frac_positive, count(*)::BIGINT AS n FROM scored GROUP BY 1, 2")
+@query("l9_calibration_curve", f"WITH {SQL_SCORED}, b AS (SELECT *, (SELECT count(*) FROM range(1, 10) t(i) WHERE i * 0.1::DOUBLE < prob) AS bin FROM scored) SELECT o_orderpriority, bin::INTEGER AS bin, round(avg(prob), 9) AS mean_prob, round(avg(y), 9) AS frac_positive, count(*)::BIGINT AS n FROM b GROUP BY 1, 2")
 def _(spark, d):
     return rnd(ev.calibration_curve(scored_orders(spark, d), "y", "prob", by=BY), mean_prob=9, frac_positive=9)
 

@@ -213,12 +213,18 @@ def _(spark, d):
     return rnd(summary.level_and_spread({"customer": c, "supplier": s}, ["acctbal"]), mean_acctbal=6, sd_acctbal=6)
 
 
-@query("d26_histogram", """WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(*) AS n FROM lineitem), c AS (SELECT least(floor((l_extendedprice - lo) / ((hi - lo) / 20)), 19)::BIGINT AS bin, count(*) AS k FROM lineitem, e GROUP BY 1)
+@query("d26_histogram", """WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(*) AS n FROM lineitem), b AS (SELECT i, lo + i * ((hi - lo) / 20) AS a, lo + (i + 1) * ((hi - lo) / 20) AS z FROM range(20) t(i), e), c AS (SELECT i AS bin, count(*) AS k FROM lineitem, b WHERE l_extendedprice >= a AND (l_extendedprice < z OR i = 19) GROUP BY 1)
 SELECT i AS bin, round(lo + i * ((hi - lo) / 20), 6) AS lo, round(lo + (i + 1) * ((hi - lo) / 20), 6) AS hi, coalesce(k, 0)::BIGINT AS count, round(coalesce(k, 0) / (n * ((hi - lo) / 20)), 12) AS density FROM range(20) t(i) LEFT JOIN c ON bin = i, e""")
 def _(spark, d):
     return rnd(summary.histogram(load(spark, d, "lineitem"), "l_extendedprice", 20), lo=6, hi=6, density=12)
 
 
+@query("d26_histogram_whole_numbers", """WITH e AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, count(*) AS n FROM lineitem), b AS (SELECT i, lo + i * ((hi - lo) / 49) AS a, lo + (i + 1) * ((hi - lo) / 49) AS z FROM range(49) t(i), e), c AS (SELECT i AS bin, count(*) AS k FROM lineitem, b WHERE l_quantity >= a AND (l_quantity < z OR i = 48) GROUP BY 1)
+SELECT i AS bin, coalesce(k, 0)::BIGINT AS count FROM range(49) t(i) LEFT JOIN c ON bin = i""")
+def _(spark, d):
+    return summary.histogram(load(spark, d, "lineitem"), "l_quantity", 49).select("bin", "count")
+
+
 @query("d27_box_stats", """WITH q AS (SELECT o_orderstatus AS g, quantile_cont(o_totalprice, 0.25) AS q25, quantile_cont(o_totalprice, 0.5) AS md, quantile_cont(o_totalprice, 0.75) AS q75 FROM orders GROUP BY 1)
 SELECT o_orderstatus, count(*)::BIGINT AS n, round(max(q25), 4) AS q25, round(max(md), 4) AS median, round(max(q75), 4) AS q75,
  round(min(o_totalprice) FILTER (o_totalprice BETWEEN q25 - 1.5::DOUBLE * (q75 - q25) AND q75 + 1.5::DOUBLE * (q75 - q25)), 4) AS whisker_low, round(max(o_totalprice) FILTER (o_totalprice BETWEEN q25 - 1.5::DOUBLE * (q75 - q25) AND q75 + 1.5::DOUBLE * (q75 - q25)), 4) AS whisker_high,

@@ -208,8 +208,14 @@ def best_threshold(
 def calibration_curve(df: DataFrame, label: str, prob: str, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """Mean score and share of positives per right-closed bin of [0, 1]; empty bins are left out."""
     p = F.col(prob).cast("double")
-    place = F.least(F.greatest(F.ceil(p * bins) - 1, F.lit(0)), F.lit(bins - 1))
-    return df.groupBy(*by, place.cast("int").alias("bin")).agg(
+    guess = F.least(F.greatest(F.ceil(p * bins) - 1, F.lit(0)), F.lit(bins - 1)).cast("int")
+    # Arithmetic may miss an edge by rounding; the edges themselves decide.
+    edges = double_array(grid_values(0.0, 1.0, bins + 1))
+    down = (guess > 0) & (p <= F.get(edges, guess))
+    up = (guess < bins - 1) & (p > F.get(edges, guess + 1))
+    place = F.when(down, guess - 1).when(up, guess + 1).otherwise(guess)
+    known = df.filter(F.col(prob).isNotNull() & F.col(label).isNotNull())
+    return known.groupBy(*by, place.alias("bin")).agg(
         F.avg(p).alias("mean_prob"), F.avg(F.col(label).cast("double")).alias("frac_positive"), F.count(F.lit(1)).cast("bigint").alias("n")
     )
 

@@ -87,11 +87,12 @@ def attach_scalars(df: DataFrame, aggregate: DataFrame, name: str) -> DataFrame:
 def _cuts(df: DataFrame, exprs: Sequence[Column], wanted: Sequence[int]) -> list[tuple[list[float], list[float]]]:
     """Per expression: distinct cut points, and the values that fill whole cells alone. One job."""
     sketches = []
-    for e, n in zip(exprs, wanted):
-        probs = [i / n for i in range(1, n)]
-        sketches.append(F.percentile_approx(e, probs, max(10_000, 4 * n)))
+    for i, n in enumerate(wanted):
+        # As text, so that thousands of shares are one call.
+        shares = ", ".join(f"{j / n!r}D" for j in range(1, n))
+        sketches.append(f"percentile_approx(k{i}, array({shares}), {max(10_000, 4 * n)}) AS s{i}")
     out = []
-    for values in df.agg(*sketches).first():
+    for values in df.select(*[e.alias(f"k{i}") for i, e in enumerate(exprs)]).selectExpr(*sketches).first():
         seen: set[float] = set()
         hot: set[float] = set()
         for v in values or []:
@@ -136,8 +137,9 @@ def with_cells(
     if tie is None or not hot:
         return out.withColumn("__s", F.lit(0))
     hot_cells = [bisect.bisect_left(points, v) + 1 for v in hot]
+    is_hot = F.expr(f"__b IN ({', '.join(map(str, hot_cells))})")
     out = _bucket(out, exprs[1], found[1][0], "__t")
-    return out.withColumn("__s", F.when(F.col("__b").isin(hot_cells), F.col("__t")).otherwise(0)).drop("__t")
+    return out.withColumn("__s", F.when(is_hot, F.col("__t")).otherwise(0)).drop("__t")
 
 
 def value_cells(df: DataFrame, rows: int, col: str) -> tuple[list[float], int]:

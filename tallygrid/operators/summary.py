@@ -336,10 +336,14 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
         "n",
     )
     rows = attach_scalars(df.select(v.alias("v")).filter(F.col("v").isNotNull()), ends, "e")
-    place = F.floor((F.col("v") - F.col("e.lo")) / ((F.col("e.hi") - F.col("e.lo")) / bins))
-    counts = rows.groupBy(F.least(place, F.lit(bins - 1)).alias("id")).agg(_rows().alias("n"))
-    all_bins = attach_scalars(df.sparkSession.range(bins), ends, "e")
     width = (F.col("e.hi") - F.col("e.lo")) / bins
+    guess = F.least(F.floor((F.col("v") - F.col("e.lo")) / width), F.lit(bins - 1))
+    # Arithmetic may miss an edge by rounding; the edges themselves decide.
+    down = (guess > 0) & (F.col("v") < F.col("e.lo") + guess * width)
+    up = (guess < bins - 1) & (F.col("v") >= F.col("e.lo") + (guess + 1) * width)
+    place = F.when(down, guess - 1).when(up, guess + 1).otherwise(guess)
+    counts = rows.groupBy(place.alias("id")).agg(_rows().alias("n"))
+    all_bins = attach_scalars(df.sparkSession.range(bins), ends, "e")
     out = all_bins.join(counts, "id", "left")
     n = F.coalesce(F.col("n"), F.lit(0)).cast("bigint")
     return out.select(

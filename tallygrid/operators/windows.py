@@ -19,8 +19,6 @@ from tallygrid.operators.ordered import (
     row_numbers,
 )
 
-HASH_CELLS = 1024
-
 
 def demean(df: DataFrame, key: str, cols: Sequence[str], suffix: str = "_dev") -> DataFrame:
     """Deviation from the group mean. Means are aggregated and joined, so a hot group can be split."""
@@ -59,8 +57,8 @@ def cumulative_lift(df: DataFrame, prob: str, label: str, row_id: str) -> DataFr
 def hash_ranks(df: DataFrame, by: Sequence[str], row_id: str, seed: int | Column, out: str, size: str) -> DataFrame:
     """Rank of each row in its group's hash order, and the group size.
 
-    The hash spreads rows evenly over cells by itself, so no cut points are needed;
-    a hot group is ranked by many tasks at once.
+    The top bits of the hash spread rows evenly over 16 384 cells, so no cut points are
+    needed; a hot group is ranked by many tasks at once.
     """
     by = list(by)
     seed = seed if isinstance(seed, Column) else F.lit(seed)
@@ -69,7 +67,7 @@ def hash_ranks(df: DataFrame, by: Sequence[str], row_id: str, seed: int | Column
         w = Window.partitionBy(*by)
         rank = F.row_number().over(w.orderBy("__h", row_id))
         return hashed.select("*", rank.cast("bigint").alias(out), F.count(F.lit(1)).over(w).alias(size)).drop("__h")
-    cells = hashed.withColumn("__c", F.shiftright(F.col("__h"), 54))
+    cells = hashed.withColumn("__c", F.shiftright(F.col("__h"), 50))
     totals = cells.groupBy(*by, "__c").agg(F.count(F.lit(1)).alias("__n"))
     group = Window.partitionBy(*by)
     before = group.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)

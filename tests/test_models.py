@@ -84,6 +84,15 @@ def test_calibration_edges(spark):
     assert [(r["bin"], r["n"]) for r in rows] == [(0, 2), (1, 1), (4, 1)]
 
 
+def test_calibration_bins_follow_the_edges(spark):
+    edges = np.linspace(0, 1, 11)
+    values = sorted({float(np.nextafter(e, d)) for e in edges[1:-1] for d in (0, 1)} | {float(e) for e in edges} | {i / 10 for i in range(11)})
+    df = spark.createDataFrame([(v, 1) for v in values], "prob double, y int")
+    got = {r["bin"]: r["n"] for r in ev.calibration_curve(df, "y", "prob", 10).collect()}
+    want = np.bincount(np.searchsorted(edges[1:-1], values), minlength=10)
+    assert [got.get(i, 0) for i in range(10)] == list(want)
+
+
 def test_lift(scored, plans):
     rows = windows.cumulative_lift(scored, "prob", "y", "id").orderBy("rank").collect()
     assert rows[0]["lift"] == pytest.approx(1 / 0.4) and rows[-1]["lift"] == pytest.approx(1.0)

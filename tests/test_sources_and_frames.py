@@ -230,6 +230,23 @@ def test_histogram(spark):
     assert [(r["lo"], r["hi"], r["count"]) for r in flat] == [(3.5, 4.0, 0), (4.0, 4.5, 3)]
 
 
+def test_histogram_follows_numpy(spark):
+    import numpy as np
+
+    values = [round(i * 0.1, 10) for i in range(31)] + [0.7000000000000001, 1.2000000000000002]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for bins in (3, 7, 10, 30):
+        got = [r["count"] for r in summary.histogram(df, "v", bins).orderBy("bin").collect()]
+        assert got == list(np.histogram(values, bins)[0])
+
+
+def test_approximate_distinct(spark):
+    df = spark.createDataFrame([(i % 5, None if i % 2 else "x") for i in range(50)], "a int, b string")
+    exact = {r["column"]: r["n_distinct"] for r in summary.count_distinct(df, ["a", "b"]).collect()}
+    near = {r["column"]: r["n_distinct"] for r in summary.count_distinct(df, ["a", "b"], approximate=True).collect()}
+    assert exact == near == {"a": 5, "b": 1}
+
+
 def test_crosstab(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "y"), (None, "y")], "r string, c string")
     assert [tuple(r) for r in summary.crosstab_pct(df, "r", "c").orderBy("r").collect()] == [("a", pytest.approx(2 / 3), pytest.approx(1 / 3)), ("b", 0.0, 1.0)]
