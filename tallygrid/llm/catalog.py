@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, tokens
+from tallygrid.llm import decontaminate, line_dedup, tokens
 from tallygrid.llm.textkit import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,18 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 @query("op3_token_counts")
 def op3_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return tokens.count_tokens(table(spark, d, "documents"), WORD_BPE)
+
+
+SQL_LINES = r"""
+WITH lines AS (SELECT doc_id, line, pos, translate(trim(line, E' \t\n\u000b\f\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), E'\n')) AS line, generate_subscripts(string_split(coalesce(text, ''), E'\n'), 1) AS pos FROM documents)),
+shared AS (SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT l.*, s.k IS NOT NULL AND l.doc_id <> s.keeper AS gone FROM lines l LEFT JOIN shared s ON l.k = s.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, E'\n' ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+
+@query("op6_line_dedup", SQL_LINES)
+def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, d, "documents"))

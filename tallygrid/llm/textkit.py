@@ -74,3 +74,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 def starts_of(lengths: np.ndarray) -> np.ndarray:
     """Offsets at which consecutive runs of these lengths begin, and the end of the last."""
     return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
