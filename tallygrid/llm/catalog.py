@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, line_dedup, tokens
+from tallygrid.llm import decontaminate, line_dedup, quality, tokens
 from tallygrid.llm.textkit import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ FROM marked GROUP BY doc_id"""
 @query("op6_line_dedup", SQL_LINES)
 def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return line_dedup.line_report(table(spark, d, "documents"))
+
+
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    return quality.scores(table(spark, d, "documents"), table(spark, d, "labels"))
