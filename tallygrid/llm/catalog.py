@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, line_dedup, quality, tokens
+from tallygrid.llm import decontaminate, line_dedup, packing, quality, tokens
 from tallygrid.llm.textkit import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,13 @@ def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query("op8_quality_classifier")
 def op8_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return quality.scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packed(table(spark, d, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = packing.pack(docs, WORD_BPE)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
