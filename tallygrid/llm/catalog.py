@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, line_dedup, packing, quality, tokens
+from tallygrid.llm import decontaminate, line_dedup, near_dedup, packing, quality, tokens
 from tallygrid.llm.textkit import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op10_packing(spark: SparkSession, d: str) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     pieces = packing.pack(docs, WORD_BPE)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op5_minhash_near_dedup")
+def op5_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return near_dedup.duplicates(table(spark, d, "documents"), width=3, threshold=0.85)
