@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, line_dedup, near_dedup, packing, quality, tokens
+from tallygrid.llm import decontaminate, line_dedup, near_dedup, packing, quality, tokens, topk
 from tallygrid.llm.textkit import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,17 @@ def packed(docs: DataFrame) -> DataFrame:
 @query("op5_minhash_near_dedup")
 def op5_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return near_dedup.duplicates(table(spark, d, "documents"), width=3, threshold=0.85)
+
+
+SQL_TOP = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.c, v.c), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+@query("op9_exact_top_k", SQL_TOP)
+def op9_exact_top_k(spark: SparkSession, d: str) -> DataFrame:
+    return topk.search(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -26,7 +26,7 @@ from pyspark.sql import Window
 
 from tallygrid.llm.components import components
 from tallygrid.llm.sketches import band_keys, bands, shingle_sets, sketch
-from tallygrid.llm.textkit import WordHashes, byte_strings, chunks, free_name, stored
+from tallygrid.llm.textkit import WordHashes, byte_strings, chunks, free_name, runs, stored
 
 SKETCH = 512
 BANDED = 256
@@ -80,23 +80,6 @@ def _full_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, n long, shingles binary, sketch binary")
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Consecutive rows with one value in the first column, as tables."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for a, b in zip(edges, edges[1:]):
-            if held and held[0].column(0)[0].as_py() != keys[a]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def forest(nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, low: np.ndarray, least: float, threshold: float) -> list[tuple[int, int]]:
     """Maximum spanning forest over the shares of equal coordinates (Prim), without links below ``least``."""
     best, by = np.full(len(nodes), -1), np.zeros(len(nodes), np.int64)
