@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, line_dedup, near_dedup, packing, quality, tokens, topk
+from tallygrid.llm import decontaminate, line_dedup, near_dedup, packing, quality, tokens, topk, warc
 from tallygrid.llm.textkit import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,23 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 @query("op9_exact_top_k", SQL_TOP)
 def op9_exact_top_k(spark: SparkSession, d: str) -> DataFrame:
     return topk.search(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+SQL_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+bits AS (SELECT page_id, html, array_to_string(list_transform(string_split(sha1(html), ''),
+  lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * strpos('0123456789abcdef', c) - 3, 4)), '') AS b FROM p),
+dig AS (SELECT page_id, html, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
+  + 16 * CAST(substr(b, 5 * i + 1, 1) AS BIGINT) + 8 * CAST(substr(b, 5 * i + 2, 1) AS BIGINT) + 4 * CAST(substr(b, 5 * i + 3, 1) AS BIGINT)
+  + 2 * CAST(substr(b, 5 * i + 4, 1) AS BIGINT) + CAST(substr(b, 5 * i + 5, 1) AS BIGINT) AS BIGINT), 1)), '') AS d FROM bits),
+least_id AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM dig)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, true AS verified FROM least_id"""
+
+
+@query("op2_warc", SQL_WARC)
+def op2_warc(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    kind = pages.schema["page_id"].dataType
+    read = warc.round_trip(pages)
+    return read.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "verified")
