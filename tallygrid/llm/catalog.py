@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, line_dedup, near_dedup, ngrams, packing, quality, tokens, topk, warc
+from tallygrid.llm import decontaminate, line_dedup, near_dedup, ngrams, packing, pages, quality, tokens, topk, warc
 from tallygrid.llm.textkit import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,12 +121,17 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, d AS payload_dige
 
 @query("op2_warc", SQL_WARC)
 def op2_warc(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages")
-    kind = pages.schema["page_id"].dataType
-    read = warc.round_trip(pages)
+    html = table(spark, d, "pages")
+    kind = html.schema["page_id"].dataType
+    read = warc.round_trip(html)
     return read.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "verified")
 
 
 @query("op1_ngram_scores")
 def op1_ngram_scores(spark: SparkSession, d: str) -> DataFrame:
     return ngrams.scores(table(spark, d, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
+
+
+@query("op4_main_text")
+def op4_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return pages.extract(table(spark, d, "pages"))
