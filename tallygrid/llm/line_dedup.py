@@ -181,7 +181,7 @@ def _kept(text: bytes, lost: list[bytes]) -> tuple[list[bytes], int]:
 
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with shared lines taken out; all columns stay."""
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +191,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col:
             ]
             columns = batch.columns[:-1]
             columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return _with_lost(docs, id_col, text_col, min_docs, min_chars).mapInArrow(run, docs.schema)
 
