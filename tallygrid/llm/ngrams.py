@@ -13,7 +13,7 @@ where h' is the context without its first word. Contexts begin with a mark befor
    successors, and quantised frequencies, all memory-mapped. Every blob is then looked up: its context, and among that context's successors its
    word. The codes go back to the block.
 3. The block meets its codes and scores its texts. Counts below ``EXACT`` are kept as they are, larger ones on a logarithmic scale with
-   steps of 0.02 %; single words keep full counts, which the base score needs.
+   steps of 0.05 %; single words keep full counts, which the base score needs.
 
 The smoothing weights need counts of one level only, so quantised frequencies are stored and smoothed when read. Block ids are hashes of
 the block's content; the input must come in the same order in both passes, as a stored table does, and is refused otherwise.
@@ -40,7 +40,7 @@ from tallygrid.llm.textkit import WordHashes, byte_strings, chunks, mix, stored
 BLOCK_BYTES = 16 << 20
 SPREAD = 16
 EXACT = 1 << 14
-STEPS_PER_E = 5000
+STEPS_PER_E = 2000
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 HALF = np.uint64(32)

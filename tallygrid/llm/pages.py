@@ -5,7 +5,7 @@ a token says how often each page of a host holds it. Tokens with one vector form
 pages and the sum of a hash of (page, count), which tasks add up for their own pages before anything is shuffled, so no host is ever
 gathered in one place. A class is frequent if (nearly) all pages of a host hold it and large if it has several tokens. Classes
 that occur once a page are the outline; the others are nested into the outline's gaps by their mean position. A page that keeps the
-outline's order is read with the template: text tokens of the template are fixed labels and go, and the remaining slots are
+outline's order is read with the template: blocks made of its text tokens are fixed labels and go, and the remaining slots are
 extracted. A slot that lies in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments,
 by the elements around it, is not main text. Where slots lie in an ``article`` or ``main`` element, only those are taken.
 
@@ -159,16 +159,16 @@ def main_text(page: str, outline: list[int] | None, nested: list[int] | None) ->
         met = [rank[t] for t in tokens if t in rank]
         if all(a < b for a, b in zip(met, met[1:])):  # valid here: the outline's tokens come in its order
             labels = frozenset([*rank, *(t & 0xFFFFFFFFFFFFFFFF for t in nested or ())])
-    slots = [(kind, text, furniture or bool(labels) and kind == "text" and token(kind, path, text) in labels, article) for kind, path, text, furniture, article in found]
-    only_article = any(kind == "text" and article and not gone for kind, _, gone, article in slots)
-    blocks, open_ = [], []
-    for kind, text, gone, article in slots:
+    only_article = any(kind == "text" and article and not furniture for kind, _, _, furniture, article in found)
+    blocks, open_, fixed = [], [], True
+    for kind, path, text, furniture, article in [*found, ("tag", "", "", False, False)]:
         if kind == "tag":
-            blocks.append("".join(open_))
-            open_ = []
-        elif not gone and (article or not only_article):
+            if not fixed:  # a block of labels only belongs to the template
+                blocks.append("".join(open_))
+            open_, fixed = [], True
+        elif not furniture and (article or not only_article):
             open_.append(text)
-    blocks.append("".join(open_))
+            fixed = fixed and bool(labels) and token(kind, path, text) in labels
     cleaned = (" ".join(html.unescape(b).split()) for b in blocks if b)
     return "\n".join(b for b in cleaned if b)
 
