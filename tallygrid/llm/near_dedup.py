@@ -16,6 +16,7 @@ by ``duplicates`` and kept by ``keep_first``.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from tallygrid.llm.components import components
 from tallygrid.llm.sketches import band_keys, bands, shingle_sets, sketch
 from tallygrid.llm.textkit import WordHashes, byte_strings, chunks, free_name, runs, stored
 
-SKETCH = 512
+SKETCH = 1024
 BANDED = 256
 CELL_ROWS = 4096
 SIGMAS = 4.0
@@ -63,73 +64,106 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, thresho
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, node long, bands array<long>")
 
 
-def _full_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(node, n, shingles, sketch) of each text; shingles as 64-bit words, sketches by the lowest byte of each coordinate."""
+def _full_sets(texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(node, n, shingles, sketch, bands) of each text; shingles and band keys as 64-bit words, sketches by the lowest byte of each coordinate."""
+    count, rows = bands(BANDED, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for _, sets in _sets(byte_strings(batch.column(0)), width, hashes):
-                low = (sketch(sets, SKETCH) & np.uint64(255)).astype(np.uint8)
+                full = sketch(sets, SKETCH)
+                low = (full & np.uint64(255)).astype(np.uint8)
+                keys = band_keys(full, count, rows)
                 columns = [
                     pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in low], pa.binary()),
+                    pa.array([k.tobytes() for k in keys], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "shingles", "sketch"])
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "shingles", "sketch", "bands"])
+
+    return texts.mapInArrow(run, "node long, n long, shingles binary, sketch binary, bands binary")
+
+
+@dataclass
+class Cell:
+    """Classes of a bucket, or of two blocks of a large one."""
 
-    return texts.mapInArrow(run, "node long, n long, shingles binary, sketch binary")
+    nodes: np.ndarray
+    roots: np.ndarray
+    sizes: np.ndarray
+    low: np.ndarray
+    bands: np.ndarray
+    blocks: np.ndarray
+    band: int
+    one_block: bool
 
 
-def forest(nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, low: np.ndarray, least: float, threshold: float) -> list[tuple[int, int]]:
-    """Maximum spanning forest over the shares of equal coordinates (Prim), without links below ``least``."""
-    best, by = np.full(len(nodes), -1), np.zeros(len(nodes), np.int64)
-    left, at, out = np.ones(len(nodes), bool), 0, []
-    for _ in range(len(nodes) - 1):
+def forest(cell: Cell, threshold: float) -> list[tuple[int, int]]:
+    """Maximum spanning forest over the shares of equal coordinates (Prim), without links that are likely too weak."""
+    least = SKETCH * threshold - deviation(threshold)
+    n = len(cell.nodes)
+    best, by = np.full(n, -1), np.zeros(n, np.int64)
+    left, at, out = np.ones(n, bool), 0, []
+    for _ in range(n - 1):
         left[at] = False
-        equal = (low == low[at]).sum(1)
+        equal = (cell.low == cell.low[at]).sum(1)
         better = left & (equal > best)
         best[better], by[better] = equal[better], at
         at = int(np.where(left, best, -1).argmax())
         if best[at] >= least:
-            out.append((int(nodes[by[at]]), int(nodes[at])))
+            out.append((int(cell.nodes[by[at]]), int(cell.nodes[at])))
     return out
 
 
-def open_pairs(nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, low: np.ndarray, least: float, threshold: float) -> list[tuple[int, int]]:
-    """Pairs in different components that may be similar enough by their sizes and sketches."""
+def open_pairs(cell: Cell, threshold: float) -> list[tuple[int, int]]:
+    """Pairs in different components that may be similar enough by their sizes and sketches.
+
+    A pair that shares several buckets is given by the first of its bands, one within a block by that block's own cell.
+    """
+    least = SKETCH * threshold - SIGMAS * deviation(threshold)
     out = []
-    for i in range(len(nodes) - 1):
-        other = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
-        other = other[np.minimum(sizes[other], sizes[i]) >= threshold * np.maximum(sizes[other], sizes[i]) - 1e-9]
-        other = other[(low[other] == low[i]).sum(1) >= least]
-        out.extend((int(nodes[i]), int(nodes[j])) for j in other)
+    for i in range(len(cell.nodes) - 1):
+        other = np.flatnonzero(cell.roots[i + 1 :] != cell.roots[i]) + i + 1
+        if not cell.one_block:
+            other = other[cell.blocks[other] != cell.blocks[i]]
+        other = other[np.minimum(cell.sizes[other], cell.sizes[i]) >= threshold * np.maximum(cell.sizes[other], cell.sizes[i]) - 1e-9]
+        other = other[(cell.low[other] == cell.low[i]).sum(1) >= least]
+        other = other[(cell.bands[other] == cell.bands[i]).argmax(1) == cell.band]
+        out.extend((int(cell.nodes[i]), int(cell.nodes[j])) for j in other)
     return out
 
 
+def deviation(threshold: float) -> float:
+    """Standard deviation of the number of equal coordinates at the threshold."""
+    return float(np.sqrt(SKETCH * threshold * (1 - threshold)))
+
+
 def _candidates(members: DataFrame, sets: DataFrame, roots: DataFrame | None, threshold: float, choose: Callable) -> DataFrame:
     """Candidate links (a, b), a < b, of every bucket, chosen by ``choose``."""
-    least = SKETCH * (threshold - SIGMAS * np.sqrt(threshold * (1 - threshold) / SKETCH))
     members = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     key = Window.partitionBy("key")
     live = members.select("*", F.min("root").over(key).alias("r0"), F.max("root").over(key).alias("r1"), F.count(F.lit(1)).over(key).alias("rows")).where("r0 <> r1")
     parts = F.ceil(F.col("rows") / CELL_ROWS)
     block = F.pmod(F.xxhash64("node"), parts)
-    dealt = live.select("key", "node", "root", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    dealt = live.select("key", "band", "node", "root", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
     cell = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    rows = dealt.select(cell.alias("cell"), "node", "root").join(sets.select("node", "n", "sketch"), "node")
+    rows = dealt.select(cell.alias("cell"), "band", "node", "root", "block").join(sets.select("node", "n", "sketch", "bands"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches):
             if group.num_rows < 2:
                 continue
-            nodes, roots, sizes = (group.column(i).to_numpy() for i in (1, 2, 3))
-            low = np.frombuffer(b"".join(group.column(4).to_pylist()), np.uint8).reshape(-1, SKETCH)
+            band, nodes, roots, blocks, sizes = (group.column(i).to_numpy() for i in range(1, 6))
+            low = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint8).reshape(-1, SKETCH)
+            keys = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint64).reshape(len(low), -1)
             own, first = np.unique(nodes, return_index=True)
-            pairs = choose(own, roots[first], sizes[first], low[first], least, threshold)
+            one = len(np.unique(blocks)) == 1
+            pairs = choose(Cell(own, roots[first], sizes[first], low[first], keys[first], blocks[first], int(band[0]), one), threshold)
             a, b = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    ordered = rows.select("cell", "node", "root", "n", "sketch").repartition("cell").sortWithinPartitions("cell")
+    ordered = rows.select("cell", "band", "node", "root", "block", "n", "sketch", "bands").repartition("cell").sortWithinPartitions("cell")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -182,12 +216,12 @@ def duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col:
     signed = stored(_signatures(docs, id_col, text_col, width, threshold), "signatures")
     classes = stored(signed.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("first")), "classes")
     key = Window.partitionBy("key")
-    keys = signed.where("bands is not null").select(F.explode("bands").alias("key"), "node")
-    shared = keys.select("key", "node", F.min("node").over(key).alias("low"), F.max("node").over(key).alias("high")).where("low <> high")
-    members = stored(shared.select("key", "node").distinct(), "buckets")
+    keys = signed.where("bands is not null").select(F.posexplode("bands").alias("band", "key"), "node")
+    shared = keys.select("key", "band", "node", F.min("node").over(key).alias("low"), F.max("node").over(key).alias("high")).where("low <> high")
+    members = stored(shared.select("key", "band", "node").distinct(), "buckets")
     wanted = stored(members.select("node").distinct().join(classes, "node").select(F.col("first").alias(free_name(docs, "wanted"))).distinct(), "bucketed")
     texts = docs.select(id_col, text_col).join(wanted.hint("shuffle_hash"), F.col(id_col) == F.col(wanted.columns[0]), "left_semi")
-    sets = stored(_full_sets(texts.select(text_col), width).dropDuplicates(["node"]), "shingle-sets")
+    sets = stored(_full_sets(texts.select(text_col), width, threshold).dropDuplicates(["node"]), "shingle-sets")
     first = stored(verified(stored(_candidates(members, sets, None, threshold, forest), "candidates"), sets, None, threshold), "verified")
     roots = stored(components(first), "roots")
     rest = stored(_candidates(members, sets, roots, threshold, open_pairs), "candidates")
