@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tallygrid.llm.textkit import byte_strings, mix, stored
-from tallygrid.llm.tokens import Ids
+from tallygrid.llm.tokens import Ids, tokenizer, whole_tokens
 
 BUCKETS = 256
 DIMS = 4
@@ -52,14 +52,18 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
+def hashed_tokens(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and sign of every token id below ``size``."""
+    h = mix(np.arange(1, size + 1, dtype=np.uint64))
+    return (h % np.uint64(BUCKETS)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
+
+
+def curve_keys(ids: list[np.ndarray], bucket: np.ndarray, sign: np.ndarray) -> np.ndarray:
     """Hilbert keys of documents given by their token ids."""
     directions = np.random.default_rng(7).standard_normal((BUCKETS, DIMS))
     counts = np.zeros((len(ids), BUCKETS))
     for row, own in zip(counts, ids):
-        h = mix(own.astype(np.uint64) + np.uint64(1))
-        sign = np.where(h >> np.uint64(63), 1.0, -1.0)
-        row += np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), sign, BUCKETS)
+        row += np.bincount(bucket[own], sign[own], BUCKETS)
     counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-12)
     places = 1 / (1 + np.exp(-1.7 * counts @ directions))
     return hilbert_keys(np.minimum((places * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
@@ -68,17 +72,19 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
 def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """(id, key, ids) of every document; ids as little-endian bytes of 2 or 4 by the size of the vocabulary."""
     kind = docs.schema[id_col].dataType.simpleString()
+    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
-            _encoders[path] = Ids(path)
+            _encoders[path] = Ids(path, whole.value)
         encoder = _encoders[path]
+        bucket, sign = hashed_tokens(max(end_id + 1, encoder.tokenizer.get_vocab_size()))
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             ids = [b + end for b in encoder.of(byte_strings(batch.column(1)))]
             for lo in range(0, len(ids), 512):
                 part = ids[lo : lo + 512]
-                keys = curve_keys([np.frombuffer(b, encoder.dtype) for b in part])
+                keys = curve_keys([np.frombuffer(b, encoder.dtype) for b in part], bucket, sign)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 512), pa.array(keys), pa.array(part, pa.binary())], ["id", "key", "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, key long, ids binary")
@@ -119,7 +125,7 @@ class Layout:
 
 def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of documents: id, start, length, ids (little-endian 32-bit), tokens of the document, sequence, offset in it."""
-    wide = np.dtype(Ids(path).dtype)
+    wide = np.dtype("<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4")
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 

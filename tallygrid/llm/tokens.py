@@ -2,8 +2,9 @@
 
 The tokenizer splits at white space before anything else, so a text is a sequence of pieces between ASCII white space
 and each piece has its own tokens. Offline, every vocabulary string is put through the library; those that come back
-as one token are *whole*. A pre-token found among them counts as one token; only the rest is merged by the library. What
-a piece has come to is remembered within the task, up to a fixed number of pieces.
+as one token are *whole*. A pre-token found among them counts as one token; only the rest is merged, by the ranks in the tokenizer's file.
+Pieces with characters beyond ASCII and Latin-1 letters, and special strings, go to the library itself. What a piece has come to is
+remembered within the task, up to a fixed number of pieces.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; special strings inside a text are what the library makes of
 them; texts of any length are counted whole; repeated rows each give a row; columns beside the named ones are ignored.
@@ -11,6 +12,7 @@ them; texts of any length are counted whole; repeated rows each give a row; colu
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -42,8 +44,8 @@ def tokenizer(path: str) -> Tokenizer:
     return t
 
 
-def whole_tokens(path: str) -> frozenset[str]:
-    """Vocabulary strings that, encoded alone, are one token. Bounded by the vocabulary."""
+def whole_tokens(path: str) -> dict[str, int]:
+    """Vocabulary strings that, encoded alone, are one token, and its id. Bounded by the vocabulary."""
     t = tokenizer(path)
     alphabet = {c: b for b, c in zip(range(256), _byte_letters())}
     words = []
@@ -55,7 +57,7 @@ def whole_tokens(path: str) -> frozenset[str]:
             continue
         if PLAIN.fullmatch(word) and PRE_TOKEN.fullmatch(word):
             words.append(word)
-    return frozenset(w for w, e in zip(words, t.encode_batch(words, add_special_tokens=False)) if len(e.ids) == 1)
+    return {w: e.ids[0] for w, e in zip(words, t.encode_batch(words, add_special_tokens=False)) if len(e.ids) == 1}
 
 
 def _byte_letters() -> list[str]:
@@ -85,35 +87,112 @@ class Pieces(dict):
         raise NotImplementedError
 
 
-class Counts(Pieces):
-    def __init__(self, path: str, whole: frozenset[str]):
-        super().__init__(path)
-        self.whole = whole
+class Merger:
+    """Byte-pair merges of many lower-cased pre-tokens at a time.
 
-    def learn(self, new: list[bytes]) -> None:
-        parts, rest = [], {}
-        for piece in new:
-            text = piece.decode()
-            own = PRE_TOKEN.findall(text.lower()) if PLAIN.fullmatch(text) and "<|" not in text else [text]
-            own_rest = [p for p in own if p not in self.whole] if len(own) > 1 or own[0] is not text else own
-            parts.append((len(own) - len(own_rest), own_rest))
-            rest.update(dict.fromkeys(own_rest))
-        encoded = self.tokenizer.encode_batch_fast(list(rest), add_special_tokens=False)
-        rest = {p: len(e) for p, e in zip(rest, encoded)}
-        for piece, (n_whole, own_rest) in zip(new, parts):
-            self[piece] = n_whole + sum(rest[p] for p in own_rest)
-
-
-class Ids(Pieces):
-    """Token ids of pieces as little-endian bytes of ``dtype``."""
+    Every round merges in each word the pair of lowest rank, wherever it stands. A pair made by a merge ranks after that merge, so the
+    order within a round does not matter.
+    """
 
     def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocabulary = model["vocab"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.size = len(vocabulary)
+        keys = np.array([vocabulary[a] * self.size + vocabulary[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = np.append(keys[order], np.iinfo(np.int64).max), order
+        self.made = np.array([vocabulary[a + b] for a, b in pairs], np.int64)
+        letters = _byte_letters()
+        self.single = np.array([vocabulary[c] for c in letters], np.int64)
+        self.last = np.array([vocabulary[c + END_OF_WORD] for c in letters], np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.size + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[np.minimum(at, len(self.ranks) - 1)], len(self.ranks))
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words (none is empty), one after another, and where each begins."""
+        none = len(self.ranks)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        tokens, ends = self.single[letters], np.cumsum(lengths) - 1
+        tokens[ends] = self.last[letters[ends]]
+        word = np.repeat(np.arange(len(words)), lengths)
+        finished = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        while len(tokens):
+            rank = np.full(len(tokens), none)
+            inside = np.flatnonzero(word[1:] == word[:-1])
+            rank[inside] = self._rank(tokens[inside], tokens[inside + 1])
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            least = np.minimum.reduceat(rank, first)
+            spans = np.diff(np.append(first, len(tokens)))
+            done = np.repeat(least == none, spans)
+            finished.append((word[done], tokens[done]))
+            least = np.repeat(least, spans)
+            hit = np.flatnonzero((rank == least) & ~done)
+            if len(hit) > 1:  # of overlapping pairs every second one, from the left
+                run = np.concatenate([[True], np.diff(hit) != 1])
+                start = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
+                hit = hit[(np.arange(len(hit)) - start) % 2 == 0]
+            tokens[hit] = self.made[rank[hit]]
+            keep = ~done
+            keep[hit + 1] = False
+            tokens, word = tokens[keep], word[keep]
+        owner, tokens = (np.concatenate(parts) for parts in zip(*finished))
+        order = np.argsort(owner, kind="stable")
+        return tokens[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+
+
+class Learned(Pieces):
+    """Pieces by their pre-tokens: whole ones from the table, the rest merged; the library sees pieces that are not plain."""
+
+    def __init__(self, path: str, whole: dict[str, int]):
         super().__init__(path)
+        self.merger = Merger(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.whole = {w.encode(): np.array([i], self.dtype).tobytes() for w, i in whole.items()}
+
+    def value(self, ids: bytes):
+        raise NotImplementedError
 
     def learn(self, new: list[bytes]) -> None:
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-            self[piece] = np.array(e.ids, self.dtype).tobytes()
+        single, several, odd = {}, {}, []
+        for piece in new:
+            if piece.isalpha():  # ASCII letters only
+                single[piece] = piece.lower()
+                continue
+            text = piece.decode()
+            if PLAIN.fullmatch(text) and "<|" not in text:
+                several[piece] = [p.encode() for p in PRE_TOKEN.findall(text.lower())]
+            else:
+                odd.append(piece)
+        rest = list({*single.values(), *(p for parts in several.values() for p in parts)} - self.whole.keys())
+        tokens, begin = self.merger.merge(rest)
+        ids = tokens.astype(self.dtype).tobytes()
+        at = (begin * self.dtype.itemsize).tolist()
+        known = {p: ids[a:b] for p, a, b in zip(rest, at, at[1:])}
+        whole, value = self.whole, self.value
+        for piece, part in single.items():
+            self[piece] = value(known[part] if part in known else whole[part])
+        for piece, parts in several.items():
+            self[piece] = value(b"".join([known[p] if p in known else whole[p] for p in parts]))
+        for piece, e in zip(odd, self.tokenizer.encode_batch_fast([p.decode() for p in odd], add_special_tokens=False)):
+            self[piece] = value(np.array(e.ids, self.dtype).tobytes())
+
+
+class Counts(Learned):
+    def value(self, ids: bytes) -> int:
+        return len(ids) // self.dtype.itemsize
+
+
+class Ids(Learned):
+    """Token ids of pieces as little-endian bytes of ``dtype``."""
+
+    def value(self, ids: bytes) -> bytes:
+        return ids
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         for pieces in self.split(texts):
