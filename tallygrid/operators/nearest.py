@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallygrid.operators.ordered import in_cells, rows_beyond_one_task, rows_per_task, value_cells
+from tallygrid.operators.ordered import in_cells, rows_per_task, value_cells
 from tallygrid.operators.windows import nearest_rank
 
 Metric = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -168,14 +168,11 @@ def _nearest_on_line(
     q = number(query, F.col(query_id).alias("qid"))
     asked = q.select("x").distinct()
     spots = number(train).unionByName(number(query))
-    rows = rows_beyond_one_task(spots)
-    points, copies, merged = [], [1], [0]
     limit = max(1, rows_per_task(spots))
-    if rows is not None:
-        points, cells = value_cells(spots, rows, "x")
-        tc = {r[0]: r[1] for r in in_cells(t, "x", points, "b").groupBy("b").count().collect()}
-        qc = {r[0]: r[1] for r in in_cells(asked, "x", points, "b").groupBy("b").count().collect()}
-        merged, copies = _merged_cells([tc.get(i, 0) for i in range(cells)], [qc.get(i, 0) for i in range(cells)], k, limit)
+    points, cells = value_cells(spots, "x")
+    tc = {r[0]: r[1] for r in in_cells(t, "x", points, "b").groupBy("b").count().collect()}
+    qc = {r[0]: r[1] for r in in_cells(asked, "x", points, "b").groupBy("b").count().collect()}
+    merged, copies = _merged_cells([tc.get(i, 0) for i in range(cells)], [qc.get(i, 0) for i in range(cells)], k, limit)
 
     def placed(df: DataFrame) -> DataFrame:
         lookup = F.expr("array(" + ", ".join(map(str, merged)) + ")")

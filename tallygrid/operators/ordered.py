@@ -1,59 +1,46 @@
 """Order-based work that stays parallel: prefix sums, exact quantiles, ranks, neighbours.
 
 A window without a partition key, or with one hot key, runs in a single task.
-The functions here cut the order into cells instead. Cut points come from a
-mergeable quantile sketch, so only a bounded list of numbers reaches the driver,
-and every row's cell is a pure function of its own values. Each cell is summed,
-the small table of cell totals is accumulated, and the offsets go back to the
-rows of their cell. The sketch decides how even the cells are, never the result.
-
-An order value that repeats very often gets a cell of its own, and that cell is
-cut again by the tie-break column.
-
-Tables that provably fit one task skip the cells (``fits_one_task``). The limit
-is ``tallygrid.rowsPerTask`` in the session's settings.
+The functions here cut the order into cells instead, about one per
+``tallygrid.rowsPerTask`` rows; a small table is one cell of the same plan. Cut
+points come from a random sample of a few rows per cell, so a short list of
+numbers reaches the driver, and every row's cell is a pure function of its own
+values. Each cell is summed, the small table of cell totals is accumulated, and
+the offsets go back to the rows of their cell. The sample decides how even the
+cells are, never the result.
+
+Orders and tie-breaks may be numbers, booleans, dates, timestamps or text. A
+cell is found from a number that never decreases along the order; inside a cell
+rows are sorted by their own values. An order value that repeats very often gets
+a cell of its own, and that cell is cut again by the tie-break column.
 """
 
 from __future__ import annotations
 
 import bisect
 import math
+import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_TASK = 2_000_000
-SMALL_PLAN_BYTES = 32 << 20
-MAX_CELLS = 16_384
-TIE_CELLS = 1024
+SAMPLE_PER_CELL = 24
+#: Whole numbers beyond this lose digits as doubles.
+EXACT_DOUBLE = float(1 << 53)
 
 
 def rows_per_task(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("tallygrid.rowsPerTask", str(ROWS_PER_TASK)))
 
 
-def plan_bytes(df: DataFrame) -> int | None:
-    """Size estimate of the optimized plan, or None where the session has none."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
-
-
-def rows_beyond_one_task(df: DataFrame) -> int | None:
-    """None when the table fits one task by the planner's estimate or by a count, else its row count."""
+def cells_for(df: DataFrame, rows: int) -> int:
+    """Number of cells for so many rows; a limit of 0 asks for eight, for tests."""
     limit = rows_per_task(df)
-    size = plan_bytes(df)
-    if limit > 0 and size is not None and size <= SMALL_PLAN_BYTES:
-        return None
-    n = df.count()
-    return n if n > limit else None
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    return rows_beyond_one_task(df) is None
+    return 8 if limit <= 0 else max(1, math.ceil(rows / limit))
 
 
 def require_at_most(df: DataFrame, limit: int, what: str) -> int:
@@ -84,23 +71,62 @@ def attach_scalars(df: DataFrame, aggregate: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, aggregate.select(F.struct("*")).scalar())
 
 
-def _cuts(df: DataFrame, exprs: Sequence[Column], wanted: Sequence[int]) -> list[tuple[list[float], list[float]]]:
-    """Per expression: distinct cut points, and the values that fill whole cells alone. One job."""
-    sketches = []
-    for i, n in enumerate(wanted):
-        # As text, so that thousands of shares are one call.
-        shares = ", ".join(f"{j / n!r}D" for j in range(1, n))
-        sketches.append(f"percentile_approx(k{i}, array({shares}), {max(10_000, 4 * n)}) AS s{i}")
+def _is_text(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.StringType, T.BinaryType))
+
+
+def _as_number(c: Column, kind: T.DataType, skip: int = 0) -> Column:
+    """A double that never decreases along the order of ``c``; of text, the six bytes after the first ``skip``."""
+    if _is_text(kind):
+        part = F.substring(c.cast("binary"), skip + 1, 6)
+        return F.conv(F.rpad(F.hex(part), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(kind, T.BooleanType):
+        return c.cast("int").cast("double")
+    if isinstance(kind, T.NumericType):
+        return c.cast("double")
+    raise TypeError(f"cannot order by a column of type {kind.simpleString()}")
+
+
+def _tells_apart(kind: T.DataType, value: float) -> bool:
+    """Whether different values of the type near ``value`` have different doubles."""
+    if isinstance(kind, T.DecimalType):
+        return kind.precision <= 15
+    return not _is_text(kind) and (isinstance(kind, (T.DoubleType, T.FloatType)) or abs(value) < EXACT_DOUBLE)
+
+
+def _cuts(df: DataFrame, cols: Sequence[str]) -> tuple[list[Column], list[tuple[list[float], list[float]]]]:
+    """Per column its number, and the distinct cut points with the values that fill whole cells alone.
+
+    One count, which also finds the prefix that all texts share; a sample if there is more than one cell.
+    """
+    kinds = [df.schema[c].dataType for c in cols]
+    texts = [c for c, kind in zip(cols, kinds) if _is_text(kind)]
+    ends = [f(F.col(c).cast("binary")).alias(f"{name}_{c}") for c in texts for name, f in (("low", F.min), ("high", F.max))]
+    facts = df.agg(F.count(F.lit(1)).alias("__rows"), *ends).first()
+    skips = {c: len(os.path.commonprefix([bytes(facts[f"low_{c}"] or b""), bytes(facts[f"high_{c}"] or b"")])) for c in texts}
+    numbers = [_as_number(F.col(c), kind, skips.get(c, 0)) for c, kind in zip(cols, kinds)]
+    rows = facts["__rows"]
+    cells = cells_for(df, rows)
+    if cells == 1 or not rows:
+        return numbers, [([], [])] * len(cols)
+    picked = df.select(*[n.alias(f"k{i}") for i, n in enumerate(numbers)]).sample(min(1.0, SAMPLE_PER_CELL * cells / rows), seed=42).collect()
     out = []
-    for values in df.select(*[e.alias(f"k{i}") for i, e in enumerate(exprs)]).selectExpr(*sketches).first():
+    for i, kind in enumerate(kinds):
+        values = sorted(r[i] for r in picked if r[i] is not None and math.isfinite(r[i]))
         seen: set[float] = set()
         hot: set[float] = set()
-        for v in values or []:
-            if math.isfinite(v):
+        for j in range(1, cells):
+            if values:
+                v = values[j * len(values) // cells]
                 (hot if v in seen else seen).add(v)
+        hot = {v for v in hot if _tells_apart(kind, v)}
         points = seen | {math.nextafter(v, math.inf) for v in hot}
         out.append((sorted(p for p in points if math.isfinite(p)), sorted(hot)))
-    return out
+    return numbers, out
 
 
 def _bucket(df: DataFrame, expr: Column, points: Sequence[float], out: str, descending: bool = False) -> DataFrame:
@@ -116,37 +142,28 @@ def _bucket(df: DataFrame, expr: Column, points: Sequence[float], out: str, desc
     return cut.withColumn(out, place).drop(tmp)
 
 
-def with_cells(
-    df: DataFrame, rows: int, order: str, tie: str | None = None, descending: bool = False, source: DataFrame | None = None
-) -> DataFrame:
+def with_cells(df: DataFrame, order: str, tie: str | None = None, descending: bool = False, source: DataFrame | None = None) -> DataFrame:
     """Add ``__b`` and ``__s``: rows compare by (__b, __s) as they do by (order, tie).
 
-    Cut points come from ``source`` (default ``df``), which needs the same columns.
+    Counts and cut points come from ``source`` (default ``df``), which needs the same columns.
     """
-    limit = rows_per_task(df)
-    wanted = 8 if limit <= 0 else max(2, min(MAX_CELLS, math.ceil(rows / limit)))
-    key = F.col(order).cast("double")
-    key = -key if descending else key
-    exprs, sizes = [key], [wanted]
-    if tie is not None:
-        exprs.append(F.col(tie).cast("double"))
-        sizes.append(min(wanted, TIE_CELLS))
-    found = _cuts(df if source is None else source, exprs, sizes)
+    numbers, found = _cuts(df if source is None else source, [order] if tie is None else [order, tie])
     points, hot = found[0]
-    out = _bucket(df, key, points, "__b", descending)
+    if descending:
+        points, hot = sorted(-p for p in points), sorted(-v for v in hot)
+        points = sorted({*(p for p in points if math.nextafter(p, math.inf) not in hot), *hot, *(math.nextafter(v, math.inf) for v in hot)})
+    out = _bucket(df, -numbers[0] if descending else numbers[0], points, "__b", descending)
     if tie is None or not hot:
         return out.withColumn("__s", F.lit(0))
     hot_cells = [bisect.bisect_left(points, v) + 1 for v in hot]
     is_hot = F.expr(f"__b IN ({', '.join(map(str, hot_cells))})")
-    out = _bucket(out, exprs[1], found[1][0], "__t")
+    out = _bucket(out, numbers[1], found[1][0], "__t")
     return out.withColumn("__s", F.when(is_hot, F.col("__t")).otherwise(0)).drop("__t")
 
 
-def value_cells(df: DataFrame, rows: int, col: str) -> tuple[list[float], int]:
+def value_cells(df: DataFrame, col: str) -> tuple[list[float], int]:
     """Cut points of a numeric column into cells of about one task's rows."""
-    limit = rows_per_task(df)
-    wanted = 8 if limit <= 0 else max(2, min(MAX_CELLS, math.ceil(rows / limit)))
-    points = _cuts(df, [F.col(col).cast("double")], [wanted])[0][0]
+    points = _cuts(df, [col])[1][0][0]
     return points, len(points) + 1
 
 
@@ -170,20 +187,14 @@ def prefix_sums(
 ) -> DataFrame:
     """Add running sums (this row included) of ``measures`` along ``order`` within ``by``.
 
-    (by, order, tie) must be unique and ``order``/``tie`` must cast to double. For an
-    aggregated ``df``, ``source`` may name the rows it was made from: sizes and cut
+    (by, order, tie) must be unique. For an aggregated ``df``, ``source`` may name the rows it was made from: sizes and cut
     points then come from a scan of those instead of another run of the aggregate.
     """
     by = list(by)
     ordering = _order_columns(order, tie, descending)
     keyed = df.select("*", *[m.alias(f"__m_{k}") for k, m in measures.items()])
     temp = [f"__m_{k}" for k in measures]
-    rows = rows_beyond_one_task(df if source is None else source)
-    if rows is None:
-        w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*ordering)
-        w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return keyed.select("*", *[F.sum(f"__m_{k}").over(w).alias(k) for k in measures]).drop(*temp)
-    cells = with_cells(keyed, rows, order, tie, descending, source)
+    cells = with_cells(keyed, order, tie, descending, source)
     keys = [*by, "__b", "__s"]
     totals = cells.groupBy(*keys).agg(*[F.sum(t).alias(f"{t}_t") for t in temp])
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__b", "__s")
@@ -219,12 +230,7 @@ def neighbours(
     by, cols = list(by), list(cols)
     ordering = _order_columns(order, tie, False)
     packed = df.withColumn("__row", F.struct(*cols))
-    rows = rows_beyond_one_task(df)
-    if rows is None:
-        w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*ordering)
-        out = packed.select("*", F.lag("__row").over(w).alias("prev"), F.lead("__row").over(w).alias("next"))
-        return out.drop("__row")
-    cells = with_cells(packed, rows, order, tie)
+    cells = with_cells(packed, order, tie)
     keys = [*by, "__b", "__s"]
     place = F.struct(*[c for c in (order, tie) if c is not None])
     ends = cells.groupBy(*keys).agg(F.min_by("__row", place).alias("__first"), F.max_by("__row", place).alias("__last"))
@@ -258,16 +264,10 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles: one row per ``by`` with an array ``q_<col>`` per column.
 
-    ``extra`` are further aggregates to compute per group. Small tables use the
-    built-in exact percentile. Larger ones collapse to (value, count), accumulate
-    the counts in cells and pick the two values around each wanted position.
+    ``extra`` are further aggregates to compute per group. Rows collapse to (value, count),
+    the counts are accumulated in cells and the two values around each position picked.
     """
     by, cols, probs = list(by), list(cols), [float(p) for p in probs]
-    arr = F.array(*[F.lit(p) for p in probs])
-    if fits_one_task(df):
-        aggs = [F.percentile(_number(c), arr).alias(f"q_{c}") for c in cols]
-        return df.groupBy(*by).agg(*aggs, *extra)
-
     pairs = F.array(*[F.struct(F.lit(c).alias("__var"), _number(c).alias("__v")) for c in cols])
     long = df.select(*by, F.inline(pairs)).filter(F.col("__v").isNotNull())
     counts = long.groupBy(*by, "__var", "__v").agg(F.count(F.lit(1)).alias("__n"))

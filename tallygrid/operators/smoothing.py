@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,33 +12,40 @@ from pyspark.sql import functions as F
 
 from tallygrid.operators.frames import double_array, grid_position, grid_values
 from tallygrid.operators.gram import complete_rows
-from tallygrid.operators.ordered import exact_quantiles, fits_one_task, prefix_sums
+from tallygrid.operators.ordered import exact_quantiles, prefix_sums
+
+
+#: Even bins of x that bracket neighbour distances.
+BINS = 4096
 
 
 def _bandwidths(rows: DataFrame, points: Sequence[float], k: int, n: int) -> list[float]:
     """Distance from each grid point to its k-th nearest row.
 
-    On a large table a sketch of the distances per grid point brackets the wanted one
-    (combined inside the tasks); only rows inside the bracket are ranked. The counts
-    below and inside prove the bracket; where they do not, everything is ranked.
+    Counts in even bins of x bracket the distance and say how many rows are surely nearer. Only rows between meet
+    the grid point; they are a few bins' worth, and the distance is found among them exactly.
     """
-    far = rows.select("x", F.posexplode(double_array(points)).alias("i", "g")).select("i", F.abs(F.col("x") - F.col("g")).alias("d"))
-    found: dict[int, float] = {}
-    if not fits_one_task(rows):
-        accuracy = 10_000
-        q = [max(0.0, k / n - 3 / accuracy), min(1.0, k / n + 3 / accuracy)]
-        edges = {r["i"]: r["e"] for r in far.groupBy("i").agg(F.percentile_approx("d", q, accuracy).alias("e")).collect()}
-        low, high = (double_array([edges[i][j] for i in range(len(points))]) for j in (0, 1))
-        below = F.col("d") < F.get(low, F.col("i"))
-        beyond = F.col("d") > F.get(high, F.col("i"))
-        counts = far.groupBy("i").agg(F.count_if(below).alias("below"), F.count_if(~below & ~beyond).alias("inside")).collect()
-        need = {r["i"]: k - r["below"] for r in counts if 0 < k - r["below"] <= r["inside"]}
-        if need:
-            wanted = F.get(F.array(*[F.lit(need.get(i)).cast("bigint") for i in range(len(points))]), F.col("i"))
-            found = _kth(far.filter(~below & ~beyond), wanted)
-    if len(found) < len(points):
-        left = [i for i in range(len(points)) if i not in found]
-        found |= _kth(far.filter(F.col("i").isin(left)), F.lit(k))
+    lo, hi = points[0], points[-1]
+    width = (hi - lo) / BINS
+    place = F.least(F.floor((F.col("x") - lo) / width), F.lit(BINS - 1)).cast("int")
+    counts = np.zeros(BINS)
+    for r in rows.groupBy(place.alias("bin")).count().collect():
+        counts[r["bin"]] = r["count"]
+    slack = 1e-9 * (hi - lo)
+    left = lo + width * np.arange(BINS)
+    spots = []
+    for i, g in enumerate(points):
+        nearest = np.maximum(0, np.maximum(left - g, g - left - width)) - slack
+        farthest = np.maximum(np.abs(left - g), np.abs(left + width - g)) + slack
+        low, high = (d[o][np.searchsorted(np.cumsum(counts[o]), k)] for d in (nearest, farthest) for o in [np.argsort(d)])
+        sure = np.flatnonzero(farthest < low)
+        first, last = (int(sure[0]), int(sure[-1])) if len(sure) else (0, -1)
+        spots.append((i, float(g), first, last, float(high), int(k - counts[sure].sum())))
+    grid = F.from_json(F.lit(json.dumps([dict(zip(("i", "g", "first", "last", "high"), s)) for s in spots])), F.lit("array<struct<i:int,g:double,first:int,last:int,high:double>>"))
+    binned = rows.withColumn("bin", place)
+    open_ = lambda s: ~F.col("bin").between(s["first"], s["last"]) & (F.abs(F.col("x") - s["g"]) <= s["high"])
+    far = binned.select("x", F.explode(F.filter(grid, open_)).alias("s")).select("s.i", F.abs(F.col("x") - F.col("s.g")).alias("d"))
+    found = _kth(far, F.get(F.array(*[F.lit(s[-1]).cast("bigint") for s in spots]), F.col("i")))
     return [found[i] for i in range(len(points))]
 
 

@@ -12,7 +12,6 @@ from tallygrid.functions.scalars import ratio
 from tallygrid.operators.ordered import (
     attach_scalars,
     average_ranks,
-    fits_one_task,
     join_on_keys,
     neighbours,
     prefix_sums,
@@ -63,10 +62,6 @@ def hash_ranks(df: DataFrame, by: Sequence[str], row_id: str, seed: int | Column
     by = list(by)
     seed = seed if isinstance(seed, Column) else F.lit(seed)
     hashed = df.withColumn("__h", F.xxhash64(F.col(row_id), seed))
-    if fits_one_task(df):
-        w = Window.partitionBy(*by)
-        rank = F.row_number().over(w.orderBy("__h", row_id))
-        return hashed.select("*", rank.cast("bigint").alias(out), F.count(F.lit(1)).over(w).alias(size)).drop("__h")
     cells = hashed.withColumn("__c", F.shiftright(F.col("__h"), 50))
     totals = cells.groupBy(*by, "__c").agg(F.count(F.lit(1)).alias("__n"))
     group = Window.partitionBy(*by)

@@ -15,9 +15,9 @@ def spark():
     s.stop()
 
 
-@pytest.fixture(params=["one task", "cells"])
+@pytest.fixture(params=["one cell", "cells"])
 def plans(request, spark):
-    """Run a test with the single-task plans and with the forced cell plans."""
+    """Run a test with one cell and with eight."""
     if request.param == "cells":
         spark.conf.set("tallygrid.rowsPerTask", "0")
     yield request.param

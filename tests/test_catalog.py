@@ -1,4 +1,4 @@
-"""Every query with SQL agrees with DuckDB; a part of them also with the cell plans forced."""
+"""Every query with SQL agrees with DuckDB; a part of them also with eight cells."""
 
 import math
 from pathlib import Path

@@ -110,3 +110,32 @@ def test_integral_and_derivative(spark, plans, approx_rows):
     approx_rows(windows.integrate_table(df, "x", "y", ["g"]), [("p", 42.5), ("q", 0.0)], ["g"])
     inner = windows.derivative_table(df, "x", "y", ["g"]).filter("dydx is not null").orderBy("x").collect()
     assert [(r["x"], r["dydx"]) for r in inner] == [(x, 2.0 * x) for x in (1.0, 2.0, 3.0, 4.0)]
+
+
+def _typed(spark, kind):
+    """A hot order value in a third of the rows, with text ids as tie-break."""
+    rows = [(i if i % 3 else 0, f"id-{(i * 7919) % 3000:05d}") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "n int, id string")
+    order = {
+        "double": F.col("n").cast("double"), "date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("n")), "decimal": F.col("n").cast("decimal(20,3)") / 8,
+        "timestamp": F.timestamp_seconds(F.col("n") * 3600), "text": F.format_string("key-%06d", F.col("n")), "bigint": F.col("n").cast("bigint") + 2**60,
+    }[kind]
+    return frame.select(order.alias("o"), "id", "n")
+
+
+@pytest.mark.parametrize("kind", ["double", "date", "decimal", "timestamp", "text", "bigint"])
+@pytest.mark.parametrize("descending", [False, True])
+def test_any_sortable_order_with_text_ties(spark, plans, kind, descending):
+    df = _typed(spark, kind)
+    got = {r["id"]: r["row_number"] for r in ordered.row_numbers(df, "o", tie="id", descending=descending).collect()}
+    rows = sorted(((r["n"], r["id"]) for r in df.collect()), key=lambda r: (-r[0] if descending else r[0], r[1]))
+    assert got == {i: p for p, (_, i) in enumerate(rows, 1)}
+
+
+def test_hot_value_is_cut_by_text_ties(spark):
+    spark.conf.set("tallygrid.rowsPerTask", "0")
+    try:
+        cells = ordered.with_cells(_typed(spark, "double"), "o", "id").groupBy("__b", "__s").count().collect()
+    finally:
+        spark.conf.unset("tallygrid.rowsPerTask")
+    assert len(cells) >= 8 and max(r["count"] for r in cells) < 1000

@@ -1,6 +1,6 @@
 """Run every query and compare it with its SQL on DuckDB.
 
-usage: python tools/check.py [sf_dir] [name-part ...]   (env ROWS_PER_TASK forces the cell plans)
+usage: python tools/check.py [sf_dir] [name-part ...]   (env ROWS_PER_TASK=0 asks for eight cells)
 """
 
 from __future__ import annotations
