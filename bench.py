@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -26,7 +27,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = local_session(cpus, "bench")
+    spark = local_session(cpus, "bench", shared=tempfile.mkdtemp(prefix="spark-"))
     QUERIES["d6_group_mean"](spark, sf_dir).collect()
     took = {}
     for name in names:

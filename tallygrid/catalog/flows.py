@@ -37,7 +37,7 @@ def _(spark, d):
 
 @query("flow_study_cross_section", f"{_STUDY} SELECT n_name, round(median(pct), 8) AS higher_ed_pct, round(median(ln(gdp / pop)), 9) AS log_gdp_pc, round(median(ln(area)), 9) AS log_area FROM p GROUP BY 1")
 def _(spark, d):
-    panel = study.stored(study.build_panel(indicators(spark, d), "n_name", "iso", 2024), "panel")
+    panel = study.build_panel(indicators(spark, d), "n_name", "iso", 2024)
     out = study.cross_section(panel, "n_name", "iso").drop("iso")
     return rnd(out, higher_ed_pct=8, log_gdp_pc=9, log_area=9)
 

@@ -43,6 +43,7 @@ def _(spark, d):
     line = (
         F.when(F.col("p_type") == "PROMO", F.concat_ws(";", "p_name", F.lit("n/a"), price))
         .when(F.col("p_type") == "SMALL", F.concat_ws(";", "p_name", "p_size"))
+        .when(F.col("p_type") == "LARGE", F.concat_ws(";", "p_name", "p_size", price, F.lit("more"), F.lit("fields")))
         .otherwise(F.concat_ws(";", F.concat(F.lit(" "), "p_name", F.lit(" ")), F.col("p_size").cast("string"), price))
     )
     p.select(line.alias("value")).write.text(path)

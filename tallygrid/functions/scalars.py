@@ -51,30 +51,51 @@ def slug(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9_]+", "_"), F.lit("_"))
 
 
-_ASCII_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
 
-def _fold(s: str | None) -> str | None:
-    if s is None:
-        return None
-    s = s.strip()
-    if s.isascii():
-        return s.lower()
-    return "".join(ch for ch in unicodedata.normalize("NFKD", s.casefold()) if not unicodedata.combining(ch))
+class _Letters(dict):
+    """What each character folds to, found when first met: its case-folded compatibility letters without marks."""
+
+    def __missing__(self, code: int) -> str:
+        parts = unicodedata.normalize("NFKD", chr(code).casefold())
+        self[code] = letters = parts.translate(self.marks(parts))
+        return letters
+
+    @staticmethod
+    def marks(parts: str) -> dict[int, None]:
+        return {ord(p): None for p in parts if unicodedata.combining(p)}
+
+
+_LETTERS = _Letters()
+#: Marks, Latin, Greek and Cyrillic letters are folded in the JVM; text with others goes to Python.
+_NEAR = range(0x80, 0x530)
+
+
+def fold_text(text: str) -> str:
+    """``fold_key`` of one value."""
+    return text.strip().translate(_LETTERS)
 
 
 @F.pandas_udf(T.StringType())
-def _fold_key(s: pd.Series) -> pd.Series:
-    return s.map(_fold, na_action="ignore")
+def _fold_far(s: pd.Series) -> pd.Series:
+    return s.map(fold_text, na_action="ignore")
 
 
 def fold_key(c: Column) -> Column:
-    """Accent- and case-insensitive key: trimmed, case-folded, compatibility-decomposed, no marks.
+    """Accent- and case-insensitive key: trimmed, case-folded, compatibility letters, no marks.
 
-    Plain ASCII text is folded inside the JVM; only other text goes to Python.
+    A character table made from the Unicode data folds Latin, Greek and Cyrillic text inside the JVM.
     """
-    plain = ~c.rlike(r"[^\x00-\x7F]")
-    return F.when(plain, F.lower(F.btrim(c, F.lit(_ASCII_SPACE)))).otherwise(_fold_key(F.when(~plain, c)))
+    folded = {chr(code): _LETTERS[code] for code in _NEAR}
+    one = {a: b for a, b in folded.items() if len(b) == 1 and a != b}
+    gone = [a for a, b in folded.items() if not b]
+    key = F.translate(F.lower(F.btrim(c, F.lit(_SPACE))), "".join([*one, *gone]), "".join(one.values()))
+    for a, b in folded.items():
+        if len(b) > 1:
+            key = F.replace(key, F.lit(a), F.lit(b))
+    far = c.rlike(r"[^\x{0}-\x{52F}]")
+    return F.when(far, _fold_far(F.when(far, c))).otherwise(key)
 
 
 def folded_equal(a: Column, b: Column) -> Column:

@@ -50,23 +50,17 @@ def pack_cost(area: Column, cover: float = 3.0, pack: float = 18.0, price: float
 def clean_and_feature(
     df: DataFrame, pct: str = "higher_ed_pct", total: str = "gdp", units: str = "population", area: str = "area"
 ) -> DataFrame:
-    """Drop incomplete and out-of-range rows; add logs, the per-unit value and its log.
+    """Rows with positive sizes and a percentage from 0 to 100, with the logs of the sizes, the total per unit and its log.
 
-    One filter and one projection, so the conditions reach the scan.
+    A comparison with NULL is never true, so one predicate also drops incomplete rows and reaches the scan.
     """
-    positive = (F.col(total) > 0) & (F.col(units) > 0) & (F.col(area) > 0)
-    kept = df.dropna(subset=[total, units, area, pct]).filter(F.col(pct).between(0, 100) & positive)
-    per_unit = F.col(total).cast("double") / F.col(units).cast("double")
-    return kept.withColumns(
-        {
-            pct: F.col(pct).cast("double"),
-            f"log_{total}": F.log(F.col(total).cast("double")),
-            f"log_{units}": F.log(F.col(units).cast("double")),
-            f"log_{area}": F.log(F.col(area).cast("double")),
-            f"{total}_pc": per_unit,
-            f"log_{total}_pc": F.when(per_unit > 0, F.log(per_unit)),
-        }
-    ).filter(F.col(f"{total}_pc") > 0)
+    sizes = {name: F.col(name).cast("double") for name in (total, units, area)}
+    usable = F.col(pct).cast("double").between(0, 100)
+    for size in sizes.values():
+        usable = usable & (size > 0) & (size < float("inf"))
+    logs = {f"log_{name}": F.log(size) for name, size in sizes.items()}
+    each = {f"{total}_pc": sizes[total] / sizes[units], f"log_{total}_pc": logs[f"log_{total}"] - logs[f"log_{units}"]}
+    return df.filter(usable).withColumns({pct: F.col(pct).cast("double")} | logs | each)
 
 
 def recode(df: DataFrame, col: str, mapping: Mapping) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrid.functions.scalars import fold_key, _fold
+from tallygrid.functions.scalars import fold_key, fold_text
 from tallygrid.operators.frames import unpivot_years
-from tallygrid.operators.ordered import attach_scalars, require_at_most
+from tallygrid.operators.ordered import attach_scalars
 
 
 def assemble_panel(
@@ -51,7 +51,7 @@ def keep_named(df: DataFrame, col: str, names: Sequence[str], fold: bool = True)
     """Rows whose name is on a short list, by folded spelling or as written."""
     if not fold:
         return df.filter(F.col(col).isin(list(names)))
-    wanted = sorted({_fold(n) for n in names})
+    wanted = sorted({fold_text(n) for n in names})
     return df.filter(fold_key(F.col(col)).isin(wanted))
 
 
@@ -90,14 +90,19 @@ def lookup_table(df: DataFrame, code: str, name: str) -> DataFrame:
     return df.select(code, name).dropna().distinct().orderBy(code, name)
 
 
-def value_pairs(df: DataFrame, col: str, limit: int = 2000) -> DataFrame:
+PAIR_BLOCK = 1000
+
+
+def value_pairs(df: DataFrame, col: str) -> DataFrame:
     """All unordered pairs of a column's distinct values: columns ``a`` < ``b``.
 
-    The result is quadratic in the number of values, so that number is checked
-    first and an error raised beyond ``limit``; rows of ``df`` are never paired.
+    The result is quadratic in the number of values by definition. Values are dealt over blocks, and each pair of blocks
+    meets under a key of its own.
     """
     values = df.select(F.col(col).alias("a")).dropna().distinct()
-    require_at_most(values, limit, f"distinct values of {col}")
-    listed = values.agg(F.collect_set("a").alias("all"))
-    out = attach_scalars(values, listed, "__v")
-    return out.select("a", F.explode(F.filter(F.col("__v.all"), lambda v: v > F.col("a"))).alias("b"))
+    blocks = max(1, -(-values.count() // PAIR_BLOCK))
+    own = F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = values.select("a", own.alias("i"), other.alias("j"))
+    right = values.select(F.col("a").alias("b"), own.alias("j"), other.alias("i"))
+    return left.join(right, ["i", "j"]).where(F.col("a") < F.col("b")).select("a", "b")

@@ -17,11 +17,10 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrid.operators.evaluation import EvaluationConfig, evaluate
+from tallygrid.operators.evaluation import evaluate
 from tallygrid.operators.frames import label_by_threshold
 from tallygrid.operators.gram import complete_rows
 from tallygrid.operators.joins import attach_global
-from tallygrid.operators.nearest import euclidean_silhouettes
 from tallygrid.operators.ordered import attach_scalars
 from tallygrid.operators.windows import stratified_folds
 from tallygrid.session import stored
@@ -48,8 +47,9 @@ def standardize(df: DataFrame, cols: Sequence[str], ddof: int = 0, suffix: str =
 class LogitModel:
     """A fitted formula logistic regression."""
 
-    def __init__(self, encoder, model, names: Sequence[str]) -> None:
+    def __init__(self, encoder, model, names: Sequence[str], levels: Mapping[str, Sequence[str]], numbers: Sequence[str], label: str) -> None:
         self.encoder, self.model, self.names = encoder, model, list(names)
+        self.levels, self.numbers, self.label = dict(levels), list(numbers), label
 
     def coefficients(self) -> DataFrame:
         s = self.model.summary
@@ -59,19 +59,43 @@ class LogitModel:
         spark = self.model.summary.predictions.sparkSession
         return spark.createDataFrame(rows, "term string, estimate double, std_error double, z double, p double")
 
+    def fit_facts(self) -> DataFrame:
+        """Null and residual deviance with their degrees of freedom, AIC and the number of iterations."""
+        s = self.model.summary
+        row = (s.nullDeviance, s.residualDegreeOfFreedomNull, s.deviance, s.residualDegreeOfFreedom, s.aic, s.numIterations)
+        schema = "null_deviance double, df_null bigint, deviance double, df_residual bigint, aic double, iterations int"
+        return s.predictions.sparkSession.createDataFrame([row], schema)
+
     def predict(self, df: DataFrame, out: str = "prob") -> DataFrame:
-        scored = self.model.transform(self.encoder.transform(df))
-        return scored.withColumn(out, F.col("prediction")).drop("features", "label", "prediction")
+        """Every row with its probability; NULL where a predictor is missing or a level was not in the fit."""
+        usable, safe = F.lit(True), {}
+        for c in self.numbers:
+            known = F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+            usable = usable & known
+            safe[c] = F.when(known, F.col(c)).otherwise(F.lit(0).cast(df.schema[c].dataType))
+        for c, levels in self.levels.items():
+            known = F.coalesce(F.col(c).isin(levels), F.lit(False))
+            usable = usable & known
+            safe[c] = F.when(known, F.col(c)).otherwise(F.lit(levels[0]))
+        rows = df.select(F.struct("*").alias("__row"), usable.alias("__usable"), *[e.alias(c) for c, e in safe.items()])
+        if self.label in df.columns:  # the encoder drops rows without a label
+            rows = rows.withColumn(self.label, F.lit(0.0))
+        scored = self.model.transform(self.encoder.transform(rows))
+        return scored.select("__row.*", F.when(F.col("__usable"), F.col("prediction")).alias(out))
 
 
 def fit_logit(df: DataFrame, formula: str, max_iter: int = 50) -> LogitModel:
     """Maximum-likelihood logistic regression with standard errors, z and p per term."""
     encoder = _formula(formula).fit(df)
     data = encoder.transform(df)
+    label, right = (part.strip() for part in formula.split("~"))
+    terms = [c for c in df.columns if c != label] if right == "." else [t.strip() for t in right.split("+")]
+    texts = [c for c in terms if df.schema[c].dataType.simpleString() == "string"]
+    levels = {c: sorted(r[0] for r in data.select(c).distinct().collect()) for c in texts}
     attrs = data.schema["features"].metadata["ml_attr"]["attrs"]
     names = [a["name"] for _, a in sorted((x["idx"], x) for kind in attrs.values() for x in kind)]
     glm = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=max_iter, tol=1e-10)
-    return LogitModel(encoder, glm.fit(data), names)
+    return LogitModel(encoder, glm.fit(data), names, levels, [c for c in terms if c not in levels], label)
 
 
 def build_model(name: str, n_rows: int | None = None, **params: Any):
@@ -100,8 +124,19 @@ MODELS = ("logreg", "gboost", "rf")
 
 
 def _with_features(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    d = complete_rows(df, [*features, label]).withColumn("__y", F.col(label).cast("double"))
-    return VectorAssembler(inputCols=list(features), outputCol="__x").transform(d)
+    """All rows with features ``__x`` and label ``__y``; ``__known`` marks rows without a missing feature."""
+    numbers = {c: F.col(c).cast("double") for c in features}
+    known = F.lit(True)
+    for n in numbers.values():
+        known = known & n.isNotNull() & ~F.isnan(n)
+    filled = [F.when(n.isNotNull() & ~F.isnan(n), n).otherwise(0.0).alias(f"__f{i}") for i, n in enumerate(numbers.values())]
+    d = df.select("*", F.col(label).cast("double").alias("__y"), known.alias("__known"), *filled)
+    names = [f"__f{i}" for i in range(len(features))]
+    return VectorAssembler(inputCols=names, outputCol="__x").transform(d).drop(*names)
+
+
+def _fittable(d: DataFrame) -> DataFrame:
+    return d.filter(F.col("__known") & F.col("__y").isNotNull() & ~F.isnan("__y"))
 
 
 def _wired(est):
@@ -109,17 +144,19 @@ def _wired(est):
 
 
 def _score(model, df: DataFrame, out: str = "prob") -> DataFrame:
+    """Probability of class 1; NULL where a feature is missing."""
     scored = model.transform(df)
-    return scored.withColumn(out, vector_to_array("__p")[1]).drop("__p", "__c", "__r")
+    return scored.withColumn(out, F.when(F.col("__known"), vector_to_array("__p")[1])).drop("__p", "__c", "__r", "__known")
 
 
 def fit_score(
-    df: DataFrame, features: Sequence[str], label: str, name: str = "logreg", cfg: EvaluationConfig = EvaluationConfig(), **params: Any
+    df: DataFrame, features: Sequence[str], label: str, name: str = "logreg", threshold: float = 0.5, positive: str = "yes", **params: Any
 ) -> DataFrame:
-    """Fit a model on the table and add its ``prob`` and thresholded ``pred``."""
+    """Fit a model on the complete rows and add its ``prob`` and thresholded ``pred`` to every row."""
     d = _with_features(df, features, label)
-    model = _wired(build_model(name, d.count(), **params)).fit(d)
-    return label_by_threshold(_score(model, d), "prob", cfg.threshold, cfg.positive_label).drop("__x", "__y")
+    fittable = _fittable(d)
+    model = _wired(build_model(name, fittable.count(), **params)).fit(fittable)
+    return label_by_threshold(_score(model, d), "prob", threshold, positive).drop("__x", "__y")
 
 
 def random_search(
@@ -148,7 +185,8 @@ def random_search(
             at, i = divmod(at, len(space[k]))
             setting[k] = space[k][i]
         tried.append(setting)
-    d = _with_features(stratified_folds(df, label, row_id, folds, seed, "__fold"), features, label).select("__x", "__y", "__fold")
+    every = _with_features(stratified_folds(df, label, row_id, folds, seed, "__fold"), features, label)
+    d = _fittable(every).select("__x", "__y", "__fold")
     d = d.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = d.count()
@@ -169,11 +207,11 @@ def random_search(
 
 
 def oof_predict(
-    df: DataFrame, features: Sequence[str], label: str, fold: str, name: str = "logreg", folds: int = 5, **params: Any
+    df: DataFrame, features: Sequence[str], label: str, fold: str, name: str = "logreg", **params: Any
 ) -> DataFrame:
     """Out-of-fold probability of every row: each fold scored by a model fitted on the others."""
     plain = _with_features(df, features, label)
-    d = plain.select("__x", "__y", fold).persist(StorageLevel.MEMORY_AND_DISK)
+    d = _fittable(plain).select("__x", "__y", fold).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sizes = {r[fold]: r["count"] for r in d.groupBy(fold).count().collect()}
         n = sum(sizes.values())
@@ -190,17 +228,17 @@ def oof_predict(
     return out
 
 
-def _stored_folds(df: DataFrame, features: Sequence[str], label: str, row_id: str, cfg: EvaluationConfig) -> DataFrame:
+def _stored_folds(df: DataFrame, features: Sequence[str], label: str, row_id: str, folds: int, seed: int) -> DataFrame:
     """The needed columns with folds, written once by fold: each fit and each scoring reads only its folds."""
     slim = df.select(row_id, label, *features)
-    return stored(stratified_folds(slim, label, row_id, cfg.folds, cfg.seed), "folds", "fold")
+    return stored(stratified_folds(slim, label, row_id, folds, seed), "folds", "fold")
 
 
-def cv_scores(df: DataFrame, features: Sequence[str], label: str, row_id: str, name: str = "logreg", cfg: EvaluationConfig = EvaluationConfig()) -> DataFrame:
-    """Cross-validated accuracy and F1."""
-    folded = _stored_folds(df, features, label, row_id, cfg)
-    scored = oof_predict(folded, features, label, "fold", name)
-    scored = scored.withColumn("__pred", (F.col("prob") >= cfg.threshold).cast("int"))
+def cv_scores(df: DataFrame, features: Sequence[str], label: str, row_id: str, name: str = "logreg", folds: int = 5, seed: int = 42, threshold: float = 0.5) -> DataFrame:
+    """Cross-validated accuracy and F1 over the rows that have a score."""
+    folded = _stored_folds(df, features, label, row_id, folds, seed)
+    scored = oof_predict(folded, features, label, "fold", name).filter(F.col("prob").isNotNull() & F.col(label).isNotNull())
+    scored = scored.withColumn("__pred", (F.col("prob") >= threshold).cast("int"))
     return evaluate(scored, label, "prob", "__pred").select("accuracy", "f1")
 
 
@@ -211,22 +249,24 @@ def score_models(
     row_id: str,
     models: Sequence[str] = MODELS,
     spaces: Mapping[str, Mapping[str, Sequence]] | None = None,
-    cfg: EvaluationConfig = EvaluationConfig(),
+    folds: int = 5,
+    seed: int = 42,
+    threshold: float = 0.5,
     n_iter: int = 25,
     settings: Mapping[str, Mapping[str, Any]] | None = None,
 ) -> DataFrame:
-    """Out-of-fold rows (model, id, y, prob, pred) of several models on shared folds."""
-    folded = _stored_folds(df, features, label, row_id, cfg)
+    """Out-of-fold rows (model, id, y, prob, pred) of several models on shared folds; prob is NULL where a feature is missing."""
+    folded = _stored_folds(df, features, label, row_id, folds, seed)
     out = None
     for name in models:
         if name not in MODELS:
             continue
         chosen = dict((settings or {}).get(name, {}))
         if spaces and name in spaces:
-            best, _ = random_search(df, features, label, row_id, name, spaces[name], n_iter, cfg.seed)
+            best, _ = random_search(df, features, label, row_id, name, spaces[name], n_iter, seed)
             chosen |= best
         part = oof_predict(folded, features, label, "fold", name, **chosen)
-        part = part.select(F.lit(name).alias("model"), row_id, F.col(label).cast("int").alias("y"), "prob", (F.col("prob") >= cfg.threshold).cast("int").alias("pred"))
+        part = part.select(F.lit(name).alias("model"), row_id, F.col(label).cast("int").alias("y"), "prob", (F.col("prob") >= threshold).cast("int").alias("pred"))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError(f"none of {list(models)} is available; choose from {list(MODELS)}")
@@ -235,7 +275,7 @@ def score_models(
 
 def compare_models(df: DataFrame, features: Sequence[str], label: str, row_id: str, **kwargs: Any) -> DataFrame:
     """Metrics of each model over its out-of-fold scores, best ROC AUC first; all models in one pass."""
-    scored = score_models(df, features, label, row_id, **kwargs).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = score_models(df, features, label, row_id, **kwargs).dropna(subset=["y", "prob"]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         table = evaluate(scored, "y", "prob", "pred", ["model"])
         rows = table.collect()  # one row per model
@@ -250,23 +290,16 @@ def kmeans_auto(
     row_id: str,
     ks: Sequence[int] = (2, 3, 4, 5, 6),
     seed: int = 42,
-    measure: str = "auto",
-    euclidean_rows: int = 20_000,
 ) -> tuple[DataFrame, DataFrame]:
     """Cluster standardized features with the k of the highest silhouette (first on a tie).
 
     Returns the rows with ``cluster`` and the table (k, measure, silhouette, chosen).
-    "euclidean" scores every pair and is used up to ``euclidean_rows``; beyond that
-    "auto" takes "squaredEuclidean", which needs cluster sums only.
+    The silhouette takes squared Euclidean distances, which need cluster sums only.
     """
     d = complete_rows(df, features)
     n = d.count()
     if n < 5:
         raise ValueError(f"{n} complete rows; clustering needs at least 5")
-    if measure == "auto":
-        measure = "euclidean" if n <= euclidean_rows else "squaredEuclidean"
-    if measure not in ("euclidean", "squaredEuclidean"):
-        raise ValueError("measure must be 'auto', 'euclidean' or 'squaredEuclidean'")
     std = standardize(d, features, 0, "__z")
     x = VectorAssembler(inputCols=[f"{c}__z" for c in features], outputCol="__x").transform(std)
     x = x.drop(*[f"{c}__z" for c in features]).persist(StorageLevel.MEMORY_AND_DISK)
@@ -279,21 +312,15 @@ def kmeans_auto(
                 labelled = models[k].transform(labelled)
         sizes = labelled.agg(*[F.count_distinct(f"__k{k}").alias(f"__k{k}") for k in models]).first() if models else {}
         usable = [k for k in models if sizes[f"__k{k}"] >= 2]
-        if measure == "euclidean" and usable:
-            pts = labelled.withColumn("__v", vector_to_array("__x"))
-            found = euclidean_silhouettes(pts, "__v", [f"__k{k}" for k in usable], row_id)
-            value = {r["clustering"]: r["silhouette"] for r in found.collect()}
-            scores = [(k, value[f"__k{k}"]) for k in usable]
-        else:
-            judge = ClusteringEvaluator(featuresCol="__x", distanceMeasure="squaredEuclidean")
-            scores = [(k, judge.setPredictionCol(f"__k{k}").evaluate(labelled)) for k in usable]
+        judge = ClusteringEvaluator(featuresCol="__x", distanceMeasure="squaredEuclidean")
+        scores = [(k, judge.setPredictionCol(f"__k{k}").evaluate(labelled)) for k in usable]
     finally:
         x.unpersist()
     if not scores:
         raise ValueError("no k gave at least two clusters")
     best = max(scores, key=lambda s: (s[1], -s[0]))[0]
     table = df.sparkSession.createDataFrame(
-        [(k, measure, float(v), k == best) for k, v in scores], "k int, measure string, silhouette double, chosen boolean"
+        [(k, "squaredEuclidean", float(v), k == best) for k, v in scores], "k int, measure string, silhouette double, chosen boolean"
     )
     return models[best].setPredictionCol("cluster").transform(x).drop("__x"), table
 

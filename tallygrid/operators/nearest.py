@@ -271,61 +271,4 @@ def knn_cv(df: DataFrame, features: str | Sequence[str], label: str, fold: str,
     return preds.groupBy("k").agg(F.avg(wrong).alias("error"), F.avg(1 - wrong).alias("accuracy"))
 
 
-def euclidean_silhouettes(
-    df: DataFrame, features: str | Sequence[str], clusterings: Sequence[str], row_id: str, block: int = 5_000
-) -> DataFrame:
-    """Exact mean silhouette of several integer label columns: (clustering, silhouette).
-
-    Every pair is scored once, inside block tasks that return sums per (row,
-    clustering, cluster); the work is quadratic, so callers bound the row count first.
-    """
-
-    def points() -> DataFrame:
-        labels = F.array(*[F.col(c).cast("int") for c in clusterings])
-        return df.select(F.col(row_id).alias("id"), F.transform(vector(df, features), lambda x: x).alias("v"), labels.alias("c"))
-
-    n = _blocks(df.count(), block)
-    left, right = _spread(points(), "qb", n, "tb", n), _spread(points(), "tb", n, "qb", n)
-    columns = ["id", "clustering", "own", "c", "s", "n"]
-
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=columns)
-        av, bv = np.array(a["v"].tolist()), np.array(b["v"].tolist())
-        own, labels = np.array(a["c"].tolist()), np.array(b["c"].tolist())
-        present = [np.unique(labels[:, j]) for j in range(labels.shape[1])]
-        hot = np.hstack([(labels[:, j, None] == present[j]).astype(float) for j in range(labels.shape[1])])
-        which = np.concatenate([np.full(len(p), j) for j, p in enumerate(present)])
-        cluster, size = np.concatenate(present), hot.sum(0).astype(int)
-        total = np.vstack([euclidean(av[s : s + 1000], bv) @ hot for s in range(0, len(av), 1000)])
-        m = len(cluster)
-        return pd.DataFrame(
-            {
-                "id": np.repeat(a["id"].to_numpy(), m), "clustering": np.tile(which, len(av)), "own": own[:, which].ravel(),
-                "c": np.tile(cluster, len(av)), "s": total.ravel(), "n": np.tile(size, len(av)),
-            }
-        )
-
-    kind = dict(df.dtypes)[row_id]
-    part = left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInPandas(
-        sums, f"id {kind}, clustering int, own int, c int, s double, n bigint"
-    )
-    per = part.groupBy("id", "clustering", "own", "c").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    mine = F.col("own") == F.col("c")
-    both = per.groupBy("id", "clustering").agg(
-        F.max(F.when(mine & (F.col("n") > 1), F.col("s") / F.nullif(F.col("n") - 1, F.lit(0)))).alias("a"),
-        F.min(F.when(~mine, F.col("s") / F.col("n"))).alias("b"),
-    )
-    value = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(
-        F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))
-    )
-    names = F.array(*[F.lit(c) for c in clusterings])
-    mean = both.groupBy("clustering").agg(F.avg(value).alias("silhouette"))
-    return mean.select(F.get(names, F.col("clustering")).alias("clustering"), "silhouette")
-
-
-def euclidean_silhouette(df: DataFrame, features: str | Sequence[str], cluster: str, row_id: str, block: int = 5_000) -> DataFrame:
-    return euclidean_silhouettes(df, features, [cluster], row_id, block).select("silhouette")
-
-
-__all__ = ["DISTANCES", "euclidean_silhouette", "euclidean_silhouettes", "knn_cv", "knn_cv_predictions", "knn_regress", "knn_vote", "nearest"]
+__all__ = ["DISTANCES", "knn_cv", "knn_cv_predictions", "knn_regress", "knn_vote", "nearest"]

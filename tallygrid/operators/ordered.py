@@ -43,14 +43,6 @@ def cells_for(df: DataFrame, rows: int) -> int:
     return 8 if limit <= 0 else max(1, math.ceil(rows / limit))
 
 
-def require_at_most(df: DataFrame, limit: int, what: str) -> int:
-    """Row count, or an error naming ``what`` when the table exceeds ``limit``."""
-    n = df.count()
-    if n > limit:
-        raise ValueError(f"{what}: {n} rows exceed the limit of {limit}")
-    return n
-
-
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which a null key matches a null key; key columns appear once."""
     if not keys:

@@ -16,7 +16,6 @@ from tallygrid.operators.ordered import (
     attach_scalars,
     exact_quantiles,
     join_on_keys,
-    require_at_most,
 )
 
 
@@ -37,6 +36,13 @@ def count_by(df: DataFrame, keys: Sequence[str], sort: bool = True, dropna: bool
     return out.orderBy(F.desc("n"), *keys) if sort else out
 
 
+def plain_numbers(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """NaN as NULL and -0.0 as 0.0 in the fractional columns among ``cols`` (default all)."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    fractional = [c for c in (cols or kinds) if isinstance(kinds.get(c), (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`") + F.lit(0).cast(kinds[c])) for c in fractional})
+
+
 def value_counts(df: DataFrame, col: str, dropna: bool = False) -> DataFrame:
     """Count and percentage per value. The total is summed from the counts, not from the rows."""
     counts = _without_null_keys(df, [col], dropna).groupBy(col).agg(_rows().alias("count"))
@@ -50,7 +56,8 @@ def distinct_values(df: DataFrame, col: str, n: int | None = None, dropna: bool
 
 
 def count_distinct(df: DataFrame, cols: Sequence[str], dropna: bool = True, approximate: bool = False) -> DataFrame:
-    """Distinct values per column, one row per column; ``dropna=False`` counts NULL as a value."""
+    """Distinct values per column, one row per column; ``dropna=False`` counts NULL as a value. NaN counts as NULL."""
+    df = plain_numbers(df, cols)
     if approximate:
         parts = [
             F.approx_count_distinct(c) + (F.lit(0) if dropna else F.coalesce(F.max(F.col(c).isNull().cast("int")), F.lit(0)))
@@ -131,6 +138,7 @@ def top_groups(df: DataFrame, key: str, measure: str, n: int = 1, dropna: bool =
 
 def stat_summary(df: DataFrame, col: str) -> DataFrame:
     """n, df, mean, median, variance and standard deviation (n-1) of one column."""
+    df = plain_numbers(df, [col])
     extra = [
         F.count(col).cast("bigint").alias("n"),
         (F.count(col) - 1).cast("bigint").alias("df"),
@@ -145,6 +153,7 @@ def stat_summary(df: DataFrame, col: str) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str] | None = None, extended: bool = False) -> DataFrame:
     """count, mean, std, min, quartiles, max per numeric column; ``extended`` adds cv and iqr."""
     cols = list(cols or numeric_columns(df))
+    df = plain_numbers(df, cols)
     extra = []
     for c in cols:
         extra += [
@@ -177,7 +186,11 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, extended: bool =
 
 
 def null_profile(df: DataFrame) -> DataFrame:
-    """dtype, nulls, non-nulls, distinct values (NULL counts as one) and percentage missing per column."""
+    """dtype, nulls, non-nulls, distinct values (NULL counts as one) and percentage missing per column.
+
+    NaN is missing too.
+    """
+    df = plain_numbers(df)
     types = dict(df.dtypes)
     lookup = F.create_map(*[x for c, t in types.items() for x in (F.lit(c), F.lit(t))])
     out = _column_values(df, df.columns).groupBy("column").agg(
@@ -192,7 +205,7 @@ def null_profile(df: DataFrame) -> DataFrame:
 def profile_numbers_by(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     """Per (key, variable): missing, completeness, mean, sd and the five quantiles."""
     cells = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in cols])
-    long = df.select(key, F.inline(cells))
+    long = plain_numbers(df.select(key, F.inline(cells)), ["value"])
     extra = [
         F.count_if(F.col("value").isNull()).cast("bigint").alias("n_missing"),
         (F.count("value") / F.count(F.lit(1))).alias("complete_rate"),
@@ -224,13 +237,16 @@ def profile_categories_by(df: DataFrame, key: str, cols: Sequence[str], top: int
     return join_on_keys(overall, listed, [key, "variable"], "left")
 
 
-def crosstab_pct(df: DataFrame, row: str, col: str, levels: Sequence | None = None, max_levels: int = 1000) -> DataFrame:
-    """Row-normalized cross-table, one column per level of ``col``. Passing ``levels`` saves a job."""
+def crosstab_long(df: DataFrame, row: str, col: str) -> DataFrame:
+    """Shares of a row's total as (row, level, share), one row per pair that occurs; any number of levels."""
+    counts = df.dropna(subset=[row, col]).groupBy(row, col).agg(_rows().alias("n"))
+    totals = counts.groupBy(row).agg(F.sum("n").alias("total"))
+    return join_on_keys(counts, totals, [row]).select(row, F.col(col).alias("level"), (F.col("n") / F.col("total")).alias("share"))
+
+
+def crosstab_pct(df: DataFrame, row: str, col: str, levels: Sequence) -> DataFrame:
+    """Row-normalized cross-table with one column for each of ``levels`` of ``col``; ``crosstab_long`` needs no levels."""
     clean = df.dropna(subset=[row, col])
-    if levels is None:
-        found = clean.select(col).distinct()
-        require_at_most(found, max_levels, f"levels of {col}")
-        levels = sorted(r[0] for r in found.collect())
     counts = clean.groupBy(row).pivot(col, list(levels)).agg(_rows())
     cells = {str(v): F.coalesce(F.col(f"`{v}`"), F.lit(0)) for v in levels}
     total = sum(cells.values(), F.lit(0))
@@ -327,7 +343,8 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
 
     A constant column spreads half a unit to each side.
     """
-    v = F.col(col).cast("double")
+    df = plain_numbers(df.select(F.col(col).cast("double").alias("v")))
+    v = F.col("v")
     ends = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n"))
     same = F.col("lo") == F.col("hi")
     ends = ends.select(
@@ -357,7 +374,7 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
 
 def box_stats(df: DataFrame, key: str, col: str) -> DataFrame:
     """Quartiles, whiskers (last values within 1.5·IQR of the box) and outlier count per group."""
-    slim = df.select(key, F.col(col).cast("double").alias("v")).dropna(subset=["v"])
+    slim = plain_numbers(df.select(key, F.col(col).cast("double").alias("v")), ["v"]).dropna(subset=["v"])
     q = exact_quantiles(slim, ["v"], [0.25, 0.5, 0.75], [key])
     box = q.select(key, F.col("q_v")[0].alias("q25"), F.col("q_v")[1].alias("median"), F.col("q_v")[2].alias("q75"))
     reach = 1.5 * (F.col("q75") - F.col("q25"))
@@ -375,28 +392,34 @@ def box_stats(df: DataFrame, key: str, col: str) -> DataFrame:
     )
 
 
+#: exp(-z²/2) is 0 in doubles beyond this many bandwidths.
+KERNEL_REACH = 38.7
+
+
 def kde(df: DataFrame, col: str, n_grid: int = 1000) -> DataFrame:
     """Gaussian kernel density with bandwidth n^(-1/5)·sd on a grid half a range beyond the data.
 
-    Equal values collapse first. Each task adds its values' kernels per grid point,
-    so only grid-sized partial sums are shuffled.
+    Equal values collapse first. A value meets only the grid points its kernel reaches, and each task adds kernels per
+    grid point, so only grid-sized partial sums are shuffled.
     """
-    v = F.col(col).cast("double")
-    slim = df.select(v.alias("v")).filter(F.col("v").isNotNull())
+    slim = plain_numbers(df.select(F.col(col).cast("double").alias("v"))).filter(F.col("v").isNotNull())
     facts = slim.agg(
         F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"), F.stddev_samp("v").alias("sd")
     )
-    values = attach_scalars(slim.groupBy("v").agg(_rows().alias("c")), facts, "f")
     half = 0.5 * (F.col("f.hi") - F.col("f.lo"))
     start, step = F.col("f.lo") - half, 4 * half / (n_grid - 1)
-    bandwidth = F.pow(F.col("f.n").cast("double"), F.lit(-0.2)) * F.col("f.sd")
-    rows = values.select(
-        "v", "c", start.alias("start"), step.alias("step"), bandwidth.alias("h"), F.col("f.n").alias("n"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("i"),
-    ).withColumn("x", F.col("start") + F.col("i") * F.col("step"))
-    z = (F.col("x") - F.col("v")) / F.nullif(F.col("h"), F.lit(0.0))
-    kernel = F.exp(-0.5 * z * z) * F.col("c") / (F.col("h") * F.col("n") * F.sqrt(2 * F.pi()))
-    return rows.groupBy("i").agg(F.max("x").alias("x"), F.sum(kernel).alias("density"))
+    bandwidth = F.nullif(F.pow(F.col("f.n").cast("double"), F.lit(-0.2)) * F.col("f.sd"), F.lit(0.0))
+    last = F.lit(n_grid - 1)
+    first = F.greatest(F.floor((F.col("v") - KERNEL_REACH * bandwidth - start) / step), F.lit(0))
+    until = F.least(F.ceil((F.col("v") + KERNEL_REACH * bandwidth - start) / step), last)
+    values = attach_scalars(slim.groupBy("v").agg(_rows().alias("c")), facts, "f")
+    rows = values.select("*", F.explode(F.sequence(first.cast("int"), until.cast("int"))).alias("i"))
+    z = (start + F.col("i") * step - F.col("v")) / bandwidth
+    kernel = F.exp(-0.5 * z * z) * F.col("c") / (bandwidth * F.col("f.n") * F.sqrt(2 * F.pi()))
+    sums = rows.groupBy(F.col("i").cast("int").alias("at")).agg(F.sum(kernel).alias("sum"))
+    grid = attach_scalars(df.sparkSession.range(n_grid).select(F.col("id").cast("int").alias("i")), facts, "f")
+    density = F.when(bandwidth.isNotNull(), F.coalesce("sum", F.lit(0.0)))
+    return grid.join(sums, F.col("i") == F.col("at"), "left").select("i", (start + F.col("i") * step).alias("x"), density.alias("density"))
 
 
 def row_sums(df: DataFrame, arr: str, out: str = "row_sum") -> DataFrame:

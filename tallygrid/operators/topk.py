@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallygrid.functions.scalars import _fold, fold_key
+from tallygrid.functions.scalars import fold_key, fold_text
 from tallygrid.operators.ordered import attach_scalars, exact_quantiles
 
 
@@ -78,7 +78,7 @@ def metric_subsets(
         f"top{K}": n_largest(high, metric, K, row_id),
     }
     if aliases:
-        wanted = sorted({_fold(a) for a in aliases})
+        wanted = sorted({fold_text(a) for a in aliases})
         parts["named"] = df.filter(fold_key(F.col(name)).isin(wanted))
     out = None
     for tag, part in parts.items():

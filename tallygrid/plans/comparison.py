@@ -20,7 +20,9 @@ def compare(
     row_id: str,
     models: Sequence[str] = MODELS,
     spaces: Mapping[str, Mapping[str, Sequence]] | None = None,
-    cfg: ev.EvaluationConfig = ev.EvaluationConfig(),
+    folds: int = 5,
+    seed: int = 42,
+    threshold: float = 0.5,
     n_iter: int = 25,
     settings: Mapping[str, Mapping[str, Any]] | None = None,
 ) -> dict[str, DataFrame]:
@@ -29,7 +31,7 @@ def compare(
     The out-of-fold scores of all models are stored once; every result is grouped by
     model, so adding a model adds rows and no passes.
     """
-    scored = stored(score_models(df, features, label, row_id, models, spaces, cfg, n_iter, settings), "oof-scores")
+    scored = stored(score_models(df, features, label, row_id, models, spaces, folds, seed, threshold, n_iter, settings), "oof-scores").dropna(subset=["y", "prob"])
     by = ["model"]
     return {
         "scored": scored,

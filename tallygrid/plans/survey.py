@@ -15,7 +15,7 @@ from tallygrid.operators.ordered import attach_scalars, exact_quantiles
 def survey_report(
     df: DataFrame, state: str, kind: str, age: str, brand: str, qty: str, spend: str, kinds: Sequence[str] | None = None
 ) -> dict[str, DataFrame]:
-    """One lazy table per question; nothing runs until a table is read."""
+    """One table per question. Order-based tables count their rows when made; all else runs when a table is read."""
     edge = attach_scalars(df, exact_quantiles(df, [qty], [0.75]), "__edge")
     heavy = edge.filter(F.col(qty) >= F.col(f"__edge.q_{qty}")[0]).drop("__edge")
     segments = segment_by_quantiles(df.withColumn("spend_per_cup", unit_cost(F.col(spend), F.col(qty))), qty)
@@ -25,7 +25,7 @@ def survey_report(
         "states": summary.distinct_values(df, state),
         "top_state": summary.top_groups(df, state, qty),
         "kinds": summary.value_counts(df, kind),
-        "kind_by_age": summary.crosstab_pct(df, age, kind, kinds),
+        "kind_by_age": summary.crosstab_long(df, age, kind) if kinds is None else summary.crosstab_pct(df, age, kind, kinds),
         "cups_by_age": summary.group_mean(df, [age], [qty]),
         "spend_by_state": summary.group_mean(df, [state], [spend]),
         "cups": summary.histogram(df, qty, 20),

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = 8, name: str = "tallygrid", partitions: int | None = None) -> SparkSession:
+def local_session(cpus: int | str = 8, name: str = "tallygrid", partitions: int | None = None, shared: str | None = None) -> SparkSession:
+    """A local session; ``shared`` is its folder for stored tables, if the settings name none."""
     shuffle = partitions if partitions is not None else (8 if cpus == "*" else int(cpus))
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle))
@@ -22,8 +21,10 @@ def local_session(cpus: int | str = 8, name: str = "tallygrid", partitions: int
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if shared is not None:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -31,14 +32,9 @@ def local_session(cpus: int | str = 8, name: str = "tallygrid", partitions: int
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder the cluster shares between executors.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only a local
-    session without the setting falls back to a temporary folder.
+    The cluster names that folder in ``spark.checkpoint.dir``; where that is unset, the warehouse folder serves.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

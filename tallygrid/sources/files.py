@@ -23,19 +23,30 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in fractional})
 
 
+#: A quoted stretch of a delimited line.
+_QUOTED = r'"(?:[^"\\]|\\.|"")*"'
+
+
 def read_delimited_tolerant(spark: SparkSession, path: str, sep: str, schema: T.StructType | str, header: bool = True) -> DataFrame:
-    """Delimited text with either decimal mark. Short rows and rows with a bad number are dropped."""
-    schema = _schema(schema)
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    raw = spark.read.schema(text).option("header", header).option("sep", sep).option("mode", "DROPMALFORMED").csv(path)
+    """Delimited text with either decimal mark. Rows with too few fields or a bad number are dropped, further fields ignored.
 
-    def typed(f: T.StructField) -> Column:
-        c = F.col(f"`{f.name}`")
+    Lines are read whole and then parsed, so what is kept does not depend on the columns that a query selects.
+    """
+    schema = _schema(schema)
+    whole = {"sep": "\x01", "quote": "", "escape": "\x01", "header": header}
+    lines = spark.read.schema("line string").options(**whole).csv(path)
+    names = [f"f{i}" for i in range(len(schema))]
+    bare = F.regexp_replace("line", _QUOTED, "")
+    enough = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) >= (len(names) - 1) * len(sep)
+    fields = F.from_csv("line", ", ".join(f"{n} string" for n in names), {"sep": sep})
+    raw = lines.filter(enough).select(fields.alias("row")).select("row.*").fillna("")
+
+    def typed(name: str, f: T.StructField) -> Column:
         if isinstance(f.dataType, T.NumericType):
-            return parse_decimal(c, f.dataType.simpleString()).alias(f.name)
-        return F.trim(c).alias(f.name)
+            return parse_decimal(F.col(name), f.dataType.simpleString()).alias(f.name)
+        return F.trim(name).alias(f.name)
 
-    out = raw.select(*[typed(f) for f in schema])
+    out = raw.select(*[typed(n, f) for n, f in zip(names, schema)])
     numbers = [f"`{f.name}`" for f in schema if isinstance(f.dataType, T.NumericType)]
     return out.dropna(subset=numbers) if numbers else out
 

@@ -9,8 +9,8 @@ from tallygrid.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = local_session(4, "tests", partitions=4)
+def spark(tmp_path_factory):
+    s = local_session(4, "tests", partitions=4, shared=str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
 

@@ -209,7 +209,7 @@ def test_out_of_fold(classes):
     folded = windows.stratified_folds(classes, "y", "id", 3)
     out = models.oof_predict(folded, ["u", "v"], "y", "fold")
     assert out.count() == 240 and out.select("id").distinct().count() == 240
-    table = models.compare_models(classes, ["u", "v"], "y", "id", models=["logreg", "xgb"], cfg=ev.EvaluationConfig(folds=3)).collect()
+    table = models.compare_models(classes, ["u", "v"], "y", "id", models=["logreg", "xgb"], folds=3).collect()
     assert [r["model"] for r in table] == ["logreg"] and table[0]["roc_auc"] > 0.8
     with pytest.raises(ValueError):
         models.compare_models(classes, ["u", "v"], "y", "id", models=["xgb"])
@@ -219,27 +219,25 @@ def test_kmeans(spark):
     rng = np.random.default_rng(0)
     rows = [(i, float(rng.normal(20 * (i % 3), 0.5)), float(rng.normal(-10 * (i % 3), 0.5))) for i in range(60)]
     df = spark.createDataFrame(rows, "id int, a double, b double")
-    for measure in ("euclidean", "squaredEuclidean"):
-        out, table = models.kmeans_auto(df, ["a", "b"], "id", (2, 3, 4), measure=measure)
-        assert table.filter("chosen").first()["k"] == 3
-        assert out.groupBy("cluster").count().filter("count = 20").count() == 3
+    out, table = models.kmeans_auto(df, ["a", "b"], "id", (2, 3, 4))
+    assert table.filter("chosen").first()["k"] == 3
+    assert out.groupBy("cluster").count().filter("count = 20").count() == 3
     with pytest.raises(ValueError):
         models.kmeans_auto(df.limit(4), ["a", "b"], "id")
 
 
-def test_euclidean_silhouette(spark):
-    pts = [(0, [0.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [5.0, 0.0], 1), (3, [5.0, 2.0], 1), (4, [9.0, 9.0], 2)]
-    df = spark.createDataFrame(pts, "id int, v array<double>, c int")
-
-    def value(p):
-        d = lambda a, b: float(np.linalg.norm(np.subtract(a[1], b[1])))
-        own = [q for q in pts if q[2] == p[2] and q[0] != p[0]]
-        if not own:
-            return 0.0
-        a = np.mean([d(p, q) for q in own])
-        b = min(np.mean([d(p, q) for q in pts if q[2] == c]) for c in {q[2] for q in pts} - {p[2]})
-        return (b - a) / max(a, b)
-
-    want = np.mean([value(p) for p in pts])
-    for block in (100, 2):
-        assert nearest.euclidean_silhouette(df, "v", "c", "id", block).first()[0] == pytest.approx(want)
+def test_scoring_keeps_every_row(classes, spark):
+    odd = spark.createDataFrame([(9001, None, 1.0, "a", 1), (9002, float("nan"), 1.0, "a", 0), (9003, 0.5, 1.0, "never seen", None), (9004, 0.5, 1.0, None, 1)], "id int, u double, v double, g string, y int")
+    kinds = dict(classes.dtypes)
+    odd = odd.select(*[F.col(c).cast(kinds[c]).alias(c) for c in ("id", "u", "v", "g", "y")])
+    every = classes.select("id", "u", "v", "g", "y").unionByName(odd)
+    model = models.fit_logit(classes, "y ~ u + v + g")
+    got = {r["id"]: r["prob"] for r in model.predict(every).filter("id > 9000").collect()}
+    assert got == {9001: None, 9002: None, 9003: None, 9004: None}
+    assert model.predict(every).count() == every.count() and model.predict(classes).filter("prob IS NULL").count() == 0
+    facts = model.fit_facts().first()
+    assert facts["null_deviance"] > facts["deviance"] > 0 and facts["aic"] > facts["deviance"]
+    scored = {r["id"]: r["prob"] for r in models.fit_score(every, ["u", "v"], "y").collect()}
+    assert len(scored) == every.count() and scored[9001] is None and scored[9002] is None and scored[9003] is not None
+    table = models.cv_scores(every, ["u", "v"], "y", "id", folds=3).first()
+    assert 0 <= table["accuracy"] <= 1

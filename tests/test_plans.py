@@ -57,9 +57,8 @@ def test_comparison(spark):
     rng = np.random.default_rng(1)
     rows = [(i, float(rng.normal(2 * (i % 2))), i % 2) for i in range(120)]
     df = spark.createDataFrame(rows, "id int, u double, y int")
-    from tallygrid.operators.evaluation import EvaluationConfig
 
-    out = comparison.compare(df, ["u"], "y", "id", ["logreg", "rf"], cfg=EvaluationConfig(folds=2), settings={"rf": {"n_estimators": 5, "max_depth": 2}})
+    out = comparison.compare(df, ["u"], "y", "id", ["logreg", "rf"], folds=2, settings={"rf": {"n_estimators": 5, "max_depth": 2}})
     scores = out["scores"].collect()
     assert len(scores) == 2 and scores[0]["roc_auc"] >= scores[1]["roc_auc"]
     assert all(r["tp"] + r["fp"] + r["tn"] + r["fn"] == 120 for r in scores)

@@ -199,8 +199,13 @@ def test_joins(spark):
     assert {r[0] for r in joins.keep_named(names, "c", ["brasil", "franca"]).collect()} == {"BRASIL", "França"}
     v = spark.createDataFrame([("A",), ("B",), ("C",), ("D",), ("A",), (None,)], "v string")
     assert len(joins.value_pairs(v, "v").collect()) == 6
-    with pytest.raises(ValueError, match="distinct"):
-        joins.value_pairs(v, "v", limit=3)
+    many = spark.range(60).selectExpr("CAST(id AS string) AS v")
+    old, joins.PAIR_BLOCK = joins.PAIR_BLOCK, 7
+    try:
+        got = {tuple(r) for r in joins.value_pairs(many, "v").collect()}
+    finally:
+        joins.PAIR_BLOCK = old
+    assert got == {(a, b) for a in map(str, range(60)) for b in map(str, range(60)) if a < b}
 
 
 def test_null_keys(spark):
@@ -249,7 +254,7 @@ def test_approximate_distinct(spark):
 
 def test_crosstab(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "y"), (None, "y")], "r string, c string")
-    assert [tuple(r) for r in summary.crosstab_pct(df, "r", "c").orderBy("r").collect()] == [("a", pytest.approx(2 / 3), pytest.approx(1 / 3)), ("b", 0.0, 1.0)]
+    assert [tuple(r) for r in summary.crosstab_pct(df, "r", "c", ["x", "y"]).orderBy("r").collect()] == [("a", pytest.approx(2 / 3), pytest.approx(1 / 3)), ("b", 0.0, 1.0)]
 
 
 def test_kde_integrates_to_one(spark):
@@ -311,3 +316,44 @@ def test_narrow_columns_run_on_streams(spark, tmp_path):
     q.awaitTermination(60)
     r = spark.table("geo_stream").first()
     assert r["pred"] == "yes" and r["geo_distance_km"] == pytest.approx(111.195, abs=0.01)
+
+
+def test_crosstab_long(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "y"), (None, "y"), ("c", None)], "r string, c string")
+    got = {(r["r"], r["level"]): r["share"] for r in summary.crosstab_long(df, "r", "c").collect()}
+    assert got == {("a", "x"): pytest.approx(2 / 3), ("a", "y"): pytest.approx(1 / 3), ("b", "y"): 1.0}
+
+
+def test_tolerant_reader_keeps_long_rows(spark, tmp_path):
+    (tmp_path / "t.txt").write_text('name;n;price\na;1;2,5\nb;2;3;extra;more\nc;3\n"d;e";4;1.5\n;5;1\nf;x;1\n"g";6;\n', encoding="utf-8")
+    df = files.read_delimited_tolerant(spark, str(tmp_path), ";", "p string, n int, price double")
+    assert sorted(map(tuple, df.collect())) == [("", 5, 1.0), ("a", 1, 2.5), ("b", 2, 3.0), ("d;e", 4, 1.5)]
+    assert df.count() == df.select("p").count() == len(df.select("n").collect()) == 4
+
+
+def test_nan_is_missing_and_zero_has_one_sign(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", v) for v in (1.0, 2.0, nan, 3.0, None, 0.0, -0.0)], "k string, v double")
+    d = summary.describe(df, ["v"]).first()
+    assert (d["count"], d["mean"], d["min"], d["median"], d["max"]) == (5, 1.2, 0.0, 1.0, 3.0)
+    assert summary.stat_summary(df, "v").first()["mean"] == 1.2
+    profile = {r["column"]: (r["nulls"], r["n_distinct"]) for r in summary.null_profile(df).collect()}
+    assert profile["v"] == (2, 5)
+    assert {r["column"]: r["n_distinct"] for r in summary.count_distinct(df, ["v"]).collect()} == {"v": 4}
+    bins = summary.histogram(df, "v", 3).orderBy("bin").collect()
+    assert [r["count"] for r in bins] == [2, 1, 2] and bins[0]["lo"] == 0.0
+    assert summary.box_stats(df, "k", "v").first()["n"] == 5
+    assert all(r["density"] > 0 for r in summary.kde(df, "v", 20).collect())
+    assert summary.profile_numbers_by(df, "k", ["v"]).first()["n_missing"] == 2
+
+
+def test_fold_key_matches_every_letter(spark):
+    from tallygrid.functions import scalars as s
+
+    texts = ["".join(chr(c) for c in range(a, a + 16)) + "x" for a in range(0x80, 0x600, 16)] + [" Éß œ ", "漢字ガ", "ﬁn Ⅷ", "Ǆ ĳ", "İı", "e\u0301"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    import unicodedata
+
+    for r in df.select("t", s.fold_key(F.col("t")).alias("k")).collect():
+        want = "".join(c for c in unicodedata.normalize("NFKD", r["t"].strip().casefold()) if not unicodedata.combining(c))
+        assert r["k"] == want == s.fold_text(r["t"]), r["t"]

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 import traceback
 from pathlib import Path
@@ -46,7 +47,7 @@ def main() -> int:
     args = sys.argv[1:]
     sf = args[0] if args else "/root/testdata/sf0.01"
     wanted = args[1:]
-    spark = local_session(8)
+    spark = local_session(8, shared=tempfile.mkdtemp(prefix="spark-"))
     if os.environ.get("ROWS_PER_TASK"):
         spark.conf.set("tallygrid.rowsPerTask", os.environ["ROWS_PER_TASK"])
     con = duckdb.connect()
