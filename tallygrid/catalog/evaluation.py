@@ -79,11 +79,17 @@ def _(spark, d):
     return rnd(ev.best_threshold(scored_orders(spark, d), "y", "prob", by=BY), f1=9)
 
 
-@query("l_evaluate_all", f"""WITH {SQL_SCORED}, c AS (SELECT {_COUNTS} FROM scored), a AS (SELECT avg((prob - y) * (prob - y)) AS brier FROM scored)
-SELECT tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn)::DOUBLE, 9) AS accuracy, round(brier, 9) AS brier FROM c, a""")
+@query("l_evaluate_all", f"""{_CURVE},
+k AS (SELECT *, least(greatest(prob, 1e-15::DOUBLE), 1 - 1e-15::DOUBLE) AS q FROM scored),
+l AS (SELECT o_orderpriority, {_COUNTS}, avg((prob - y) * (prob - y)) AS brier, avg(-(y * ln(q) + (1 - y) * ln(1 - q))) AS log_loss FROM k GROUP BY 1),
+a AS (SELECT o_orderpriority, sum(pos * (q - fp + (n - pos) / 2.0::DOUBLE)) / max(p::DOUBLE * q) AS roc_auc, sum(pos * (tp / (tp + fp)::DOUBLE)) / max(p) AS pr_auc FROM c GROUP BY 1)
+SELECT o_orderpriority, tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn)::DOUBLE, 9) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 9) AS precision,
+ round(coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0), 9) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0), 9) AS f1,
+ round((tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn)::DOUBLE * (tn + fp)::DOUBLE * (tn + fn)::DOUBLE), 9) AS mcc,
+ round(roc_auc::DOUBLE, 9) AS roc_auc, round(pr_auc::DOUBLE, 9) AS pr_auc, round(brier, 9) AS brier, round(log_loss, 9) AS log_loss FROM l JOIN a USING (o_orderpriority)""")
 def _(spark, d):
-    out = ev.evaluate(scored_orders(spark, d), "y", "prob", "pred")
-    return rnd(out.select("tp", "fp", "tn", "fn", "accuracy", "brier"), accuracy=9, brier=9)
+    out = ev.evaluate(scored_orders(spark, d), "y", "prob", "pred", BY)
+    return rnd(out, accuracy=9, precision=9, recall=9, f1=9, mcc=9, roc_auc=9, pr_auc=9, brier=9, log_loss=9)
 
 
 @query("m1_matmul", """WITH a AS (SELECT l_suppkey AS i, l_partkey AS k, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), b AS (SELECT p_partkey AS k, p_size AS j, p_retailprice AS v FROM part)

@@ -68,10 +68,10 @@ def _(spark, d):
 
 
 @query("j9_jarque_bera", f"""{_FIT}, m AS (SELECT count(*) AS n, avg(e) AS mu FROM r), k AS (SELECT max(n) AS n, avg(pow(e - mu, 2)) AS m2, avg(pow(e - mu, 3)) AS m3, avg(pow(e - mu, 4)) AS m4 FROM r, m)
-SELECT n::BIGINT AS n, round(m3 / pow(m2, 1.5), 8) AS skewness, round(m4 / (m2 * m2) - 3, 8) AS kurtosis, round(n / 6.0::DOUBLE * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4), 6) AS jb FROM k""")
+SELECT n::BIGINT AS n, round(m3 / pow(m2, 1.5), 8) AS skewness, round(m4 / (m2 * m2) - 3, 8) AS kurtosis, round(n / 6.0::DOUBLE * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4), 6) AS jb, round(exp(-n / 12.0::DOUBLE * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4)), 9) AS p FROM k""")
 def _(spark, d):
     out = regression.jarque_bera_residuals(customer_facts(spark, d), "log_spend", ["acctbal"])
-    return rnd(out.drop("p"), skewness=8, kurtosis=8, jb=6)
+    return rnd(out, skewness=8, kurtosis=8, jb=6, p=9)
 
 
 @query("j10_variance_inflation", f"""WITH {SQL_CUSTOMERS}, s AS (SELECT sum(acctbal * acctbal) AS aa, sum(acctbal * n_orders) AS ab, sum(n_orders * n_orders::DOUBLE) AS bb FROM cust)

@@ -170,8 +170,8 @@ def random_search(
     seed: int = 42,
     folds: int = 3,
     parallelism: int = 4,
-) -> tuple[dict[str, Any], DataFrame]:
-    """Best of ``n_iter`` random settings by F1 over stratified folds, and the table of all tried."""
+) -> tuple[dict[str, Any], DataFrame, Any]:
+    """Best of ``n_iter`` random settings by F1 over stratified folds, the table of all tried, and the best one fitted on every row."""
     rng = random.Random(seed)
     keys = sorted(space)
     total = 1
@@ -197,13 +197,14 @@ def random_search(
             maps.append({base.getParam(q.name): v for q, v in special.extractParamMap().items() if special.isSet(q)})
         judge = MulticlassClassificationEvaluator(labelCol="__y", predictionCol="__c", metricName="fMeasureByLabel", metricLabel=1.0)
         cv = CrossValidator(estimator=base, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, foldCol="__fold", parallelism=parallelism)
-        scores = cv.fit(d).avgMetrics
+        fitted = cv.fit(d)
+        scores = fitted.avgMetrics
     finally:
         d.unpersist()
     best = max(range(len(tried)), key=lambda i: (scores[i], -i))
     rows = [(i, name, str(s), float(v), i == best) for i, (s, v) in enumerate(zip(tried, scores))]
     table = df.sparkSession.createDataFrame(rows, "trial int, model string, setting string, f1 double, best boolean")
-    return tried[best], table
+    return tried[best], table, fitted.bestModel
 
 
 def oof_predict(
@@ -263,7 +264,7 @@ def score_models(
             continue
         chosen = dict((settings or {}).get(name, {}))
         if spaces and name in spaces:
-            best, _ = random_search(df, features, label, row_id, name, spaces[name], n_iter, seed)
+            best, _, _ = random_search(df, features, label, row_id, name, spaces[name], n_iter, seed)
             chosen |= best
         part = oof_predict(folded, features, label, "fold", name, **chosen)
         part = part.select(F.lit(name).alias("model"), row_id, F.col(label).cast("int").alias("y"), "prob", (F.col("prob") >= threshold).cast("int").alias("pred"))

@@ -200,9 +200,9 @@ def test_build_model():
 def test_fit_and_tune(classes):
     out = models.fit_score(classes, ["u", "v"], "y")
     assert set(out.select("pred").distinct().toPandas()["pred"]) == {"yes", "no"}
-    best, table = models.random_search(classes, ["u", "v"], "y", "id", "logreg", {"C": [0.01, 1.0, 10.0]}, n_iter=2)
+    best, table, fitted = models.random_search(classes, ["u", "v"], "y", "id", "logreg", {"C": [0.01, 1.0, 10.0]}, n_iter=2)
     rows = table.collect()
-    assert len(rows) == 2 and sum(r["best"] for r in rows) == 1 and set(best) == {"C"}
+    assert len(rows) == 2 and sum(r["best"] for r in rows) == 1 and set(best) == {"C"} and fitted.numFeatures == 2
 
 
 def test_out_of_fold(classes):
