@@ -1,7 +1,7 @@
 """Main text of web pages by template deduction from equivalence classes.
 
 A page becomes a sequence of tokens: block tags with the path of their containers, and text nodes with theirs. The occurrence vector of
-a token says how often each page of a host holds it. Tokens with one vector form an equivalence class. Vectors are compared by the number of
+a token says how often each distinct page of a host holds it; copies of a page count once. Tokens with one vector form an equivalence class. Vectors are compared by the number of
 pages and the sum of a hash of (page, count), which tasks add up for their own pages before anything is shuffled, so no host is ever
 gathered in one place. A class is frequent if (nearly) all pages of a host hold it and large if it has several tokens. Classes
 that occur once a page are the outline; the others are nested into the outline's gaps by their mean position. A page that keeps the
@@ -9,14 +9,18 @@ outline's order is read with the template: blocks made of its text tokens are fi
 extracted. A slot that lies in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments,
 by the elements around it, is not main text. Where slots lie in an ``article`` or ``main`` element, only those are taken.
 
-Hosts with fewer than ``MIN_PAGES`` pages have no template; there the elements alone decide. Character references are decoded, white
+Labels go only where the template leaves variable slots on most distinct pages of the host; within articles these slots must hold at least
+as much text as the labels, so what near copies of one article share stays.
+
+Hosts with fewer than ``MIN_PAGES`` distinct pages have no template; there the elements alone decide. Character references are decoded, white
 space inside a block becomes one space, blocks are joined by one line end. Defined results: null or empty html gives an empty text; a null
-or odd url is a host of its own kind; unclosed elements end with their container; repeated rows give a row each; an empty table
+or odd url is a host of its own kind; unclosed elements end with their container; repeated rows give a row each and change no other; an empty table
 gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -28,11 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrid.llm.textkit import free_name, mix, stored
+from tallygrid.llm.textkit import byte_strings, free_name, mix, stored
 
 MIN_PAGES = 8
 FREQUENT = 0.95
 LARGE = 2
+TAG, ASIDE = -1, -2
 
 #: Elements and names of classes, ids and roles that hold no main text.
 CHROME_TAGS = frozenset("head nav footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu".split())
@@ -103,15 +108,48 @@ def host_of(url: str | None) -> str:
     return re.sub(r"^[a-z][a-z0-9+.-]*://", "", (url or "").strip().lower()).split("/")[0].split("?")[0].split("#")[0]
 
 
-def _vectors(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+def _distinct(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """(host, digest, article, tokens, sizes) of the distinct html of each host. Tasks drop their own copies before the shuffle, and those of others after it.
+
+    ``sizes`` has the length of each token that is main text by its elements, ``TAG`` for block tags and ``ASIDE`` for other text.
+    """
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, bytes]] = set()
+        for batch in batches:
+            rows = []
+            for url, page in zip(batch.column(0).to_pylist(), byte_strings(batch.column(1))):
+                key = host_of(url), hashlib.blake2b(page, digest_size=16).digest()
+                if key not in seen:
+                    seen.add(key)
+                    found = list(events(page.decode()))
+                    only_article = has_article(found)
+                    sizes = [TAG if kind == "tag" else len(" ".join(text.split())) if not furniture and (article or not only_article) else ASIDE for kind, _, text, furniture, article in found]
+                    rows.append((*key, only_article, np.array([token(*e[:3]) for e in found], np.uint64).tobytes(), np.array(sizes, np.int32).tobytes()))
+            columns = zip(*rows) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, bytes]] = set()
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            new = [key not in seen and not seen.add(key) for key in keys]
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    kinds = {"host": pa.string(), "digest": pa.binary(), "article": pa.bool_(), "tokens": pa.binary(), "sizes": pa.binary()}
+    schema = "host string, digest binary, article boolean, tokens binary, sizes binary"
+    return pages.select(url_col, html_col).mapInArrow(own, schema).repartition("host", "digest").mapInArrow(first, schema)
+
+
+def _vectors(distinct: DataFrame) -> DataFrame:
     """(host, token, pages, vector, place): parts of each token's occurrence vector, added up within a task. Token 0 counts pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, tokens, counts, ids, places = [], [], [], [], []
-            for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                host, found = host_of(url), [token(*e[:3]) for e in events(page or "")]
-                number = xxhash.xxh64_intdigest(f"{url}\0{page}".encode())
+            for host, digest, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                found = np.frombuffer(blob, np.uint64).tolist()
+                number = int.from_bytes(digest[:8], "little")
                 first = {t: i for i, t in reversed(list(enumerate(found)))}
                 own = Counter(found)
                 hosts.extend([host] * (len(own) + 1))
@@ -128,12 +166,14 @@ def _vectors(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
             summed = summed.select(["host", "token", "vector_count", "once_sum", "vector_sum", "place_sum"]).rename_columns(["host", "token", "pages", "once", "vector", "place"])
             yield from summed.to_batches()
 
-    return pages.select(url_col, html_col).mapInArrow(run, "host string, token long, pages long, once long, vector long, place double")
+    return distinct.select("host", "digest", "tokens").mapInArrow(run, "host string, token long, pages long, once long, vector long, place double")
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, frequent: float = FREQUENT) -> DataFrame:
-    """(host, outline, nested): tokens of the frequent, large classes; the outline in page order, the others with the gap they lie in."""
-    parts = _vectors(pages, url_col, html_col)
+    """(host, outline, nested, article_labels, other_labels): tokens of the frequent, large classes; the outline in page order, the others with the
+    gap they lie in; whether labels are dropped from the main text of pages with an article, and of pages without one."""
+    distinct = stored(_distinct(pages, url_col, html_col), "distinct-pages")
+    parts = _vectors(distinct)
     vector = F.sum(F.col("vector").cast("decimal(38,0)"))
     tokens = parts.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("once").alias("once"), vector.alias("vector"), F.sum("place").alias("place"))
     tokens = stored(tokens.where(f"pages >= {min_pages}"), "occurrences")
@@ -146,20 +186,62 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
     ordered = members.groupBy("host").agg(
         F.array_sort(F.collect_list(F.when(F.col("once"), F.col("t")))).alias("outline"), F.array_sort(F.collect_list(F.when(~F.col("once"), F.col("t")))).alias("nested")
     )
-    return ordered.select("host", F.col("outline.token").alias("outline"), F.col("nested.token").alias("nested"))
+    found = stored(ordered.select("host", F.col("outline.token").alias("outline"), F.col("nested.token").alias("nested")), "outlines")
+    return found.join(_slots(distinct, found), "host", "left")
+
+
+def _slots(distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """(host, article_labels, other_labels): whether most distinct pages that keep to the template have variable slots in their main text.
+
+    Outside articles a slot is enough. In articles the slots must hold at least as much text as the labels, or else what the pages share is the article.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for host, article, tokens, sizes, outline, nested in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                found = np.frombuffer(tokens, np.uint64).tolist()
+                if labels := _labels(found, outline, nested):
+                    total, size, fixed = [0, 0], 0, True
+                    for t, n in [*zip(found, np.frombuffer(sizes, np.int32).tolist()), (0, TAG)]:
+                        if n == TAG:
+                            total[fixed] += size
+                            size, fixed = 0, True
+                        elif n != ASIDE:
+                            size += n
+                            fixed = fixed and t in labels
+                    if any(total):
+                        rows.append((host, article, total[0] >= total[1] if article else total[0] > 0))
+            hosts, articles, slots = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(articles, pa.bool_()), pa.array(slots, pa.bool_())], ["host", "article", "slots"])
+
+    joined = distinct.join(found, "host").select("host", "article", "tokens", "sizes", "outline", "nested")
+    most = [F.coalesce(F.avg(F.when(F.col("article") == a, F.col("slots").cast("int"))) > 0.5, F.lit(False)).alias(name) for a, name in ((True, "article_labels"), (False, "other_labels"))]
+    return joined.mapInArrow(run, "host string, article boolean, slots boolean").groupBy("host").agg(*most)
+
+
+def _labels(tokens: list[int], outline: list[int] | None, nested: list[int] | None) -> frozenset[int]:
+    """The template's tokens, or none if the page does not keep to it."""
+    if not outline:
+        return frozenset()
+    rank = {t & 0xFFFFFFFFFFFFFFFF: i for i, t in enumerate(outline)}
+    met = [rank[t] for t in tokens if t in rank]
+    if all(a < b for a, b in zip(met, met[1:])):  # valid here: the outline's tokens come in its order
+        return frozenset([*rank, *(t & 0xFFFFFFFFFFFFFFFF for t in nested or ())])
+    return frozenset()
+
+
+def has_article(found: list[tuple[str, str, str, bool, bool]]) -> bool:
+    return any(kind == "text" and article and not furniture for kind, _, _, furniture, article in found)
 
 
-def main_text(page: str, outline: list[int] | None, nested: list[int] | None) -> str:
+def main_text(page: str, outline: list[int] | None, nested: list[int] | None, article_labels: bool = True, other_labels: bool = True) -> str:
     """The blocks of main text of a page, with the template of its host if the page keeps to it."""
     found = list(events(page))
+    only_article = has_article(found)
     labels: frozenset[int] = frozenset()
-    if outline:
-        tokens = [token(*e[:3]) for e in found]
-        rank = {t & 0xFFFFFFFFFFFFFFFF: i for i, t in enumerate(outline)}
-        met = [rank[t] for t in tokens if t in rank]
-        if all(a < b for a, b in zip(met, met[1:])):  # valid here: the outline's tokens come in its order
-            labels = frozenset([*rank, *(t & 0xFFFFFFFFFFFFFFFF for t in nested or ())])
-    only_article = any(kind == "text" and article and not furniture for kind, _, _, furniture, article in found)
+    if outline and (article_labels if only_article else other_labels):
+        labels = _labels([token(*e[:3]) for e in found], outline, nested)
     blocks, open_, fixed = [], [], True
     for kind, path, text, furniture, article in [*found, ("tag", "", "", False, False)]:
         if kind == "tag":
@@ -180,12 +262,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     address = F.lower(F.trim(F.coalesce("url", F.lit(""))))
     host = F.regexp_extract(F.regexp_replace(address, r"^[a-z][a-z0-9+.-]*://", ""), r"^[^/?#]*", 0)
-    joined = own.join(found.withColumnRenamed("host", of), host == F.col(of), "left").select("id", "url", "html", "outline", "nested")
+    joined = own.join(found.withColumnRenamed("host", of), host == F.col(of), "left").select("id", "url", "html", "outline", "nested", "article_labels", "other_labels")
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page or "", outline, nested) for page, outline, nested in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+            texts = [main_text(page or "", *rest) for page, *rest in zip(*(batch.column(i).to_pylist() for i in range(2, 7)))]
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [id_col, url_col, "text", "n_chars"])
 

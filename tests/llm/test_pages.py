@@ -56,6 +56,23 @@ def test_main_text(spark):
     assert pages.extract(frame.limit(0)).count() == 0
 
 
+def test_copies_change_no_text(spark):
+    """Copies of a page count once, and what near copies of an article share is no label of it."""
+    many = [(n, f"http://a.example/{n}", PAGE.replace("{n}", str(n))) for n in range(12)]
+    copies = [(1000 + i, f"http://a.example/{i}", many[0][2]) for i in range(300)]
+    alone = [(2000 + i, f"http://b.example/{i}", many[0][2]) for i in range(12)]
+    shared = "<p>A first paragraph that all copies share.</p><p>A second one, also in all of them.</p>"
+    near = [(3000 + i, f"http://c.example/{i}", f"<html><body><nav>Menu</nav><article><h1>Head</h1><p>Day {i}</p>{shared}</article></body></html>") for i in range(20)]
+    plain = [(4000 + i, f"http://d.example/{i}", f"<html><body><!-- {i} --><div>{shared}</div></body></html>") for i in range(20)]
+    frame = spark.createDataFrame(many + copies + alone + near + plain, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in pages.extract(frame).collect()}
+    bare = "A first paragraph that all copies share.\nA second one, also in all of them."
+    want = {n: f"Title {n}\nFirst & {n} line\nnext part {n}\nSecond one <{n}>" for n in range(12)}
+    want |= {i: want[0] for i, *_ in copies} | {i: want[0].replace("\nFirst", "\nLabel\nFirst") for i, *_ in alone}
+    want |= {3000 + i: f"Head\nDay {i}\n{bare}" for i in range(20)} | {4000 + i: bare for i in range(20)}
+    assert got == want
+
+
 def test_every_sample_page(small):
     rows = pages.extract(small("pages")).join(small("pages").select("page_id", "html"), "page_id").collect()
     assert rows and all(r.text and "<" not in r.text[:1] and "track(" not in r.text for r in rows)
