@@ -15,6 +15,9 @@ where h' is the context without its first word. Contexts begin with a mark befor
 3. The block meets its codes and scores its texts. Counts below ``EXACT`` are kept as they are, larger ones on a logarithmic scale with
    steps of 0.05 %; single words keep full counts, which the base score needs.
 
+Contexts of one code (32 bits) are told apart by their shard, which the other half of their hash picks: an n-gram takes the count of another
+only if both end in one word and agree in 32 + log2(shards) bits, and never more than its parts have.
+
 The smoothing weights need counts of one level only, so quantised frequencies are stored and smoothed when read. Block ids are hashes of
 the block's content; the input must come in the same order in both passes, as a stored table does, and is refused otherwise.
 
@@ -44,6 +47,7 @@ STEPS_PER_E = 2000
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 HALF = np.uint64(32)
+LOW = np.uint64(0xFFFFFFFF)
 
 
 def tokens(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -57,20 +61,23 @@ def tokens(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarr
     return flat, lengths
 
 
-def level_keys(flat: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    """Keys of the 1-, 2- and 3-gram that ends at each token; context in the high half, word in the low half."""
+def level_keys(flat: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(keys, rests) of the 1-, 2- and 3-gram that ends at each token; context in the key's high half, word in the low half.
+
+    The rest is the half of the context's hash that the key lacks; it deals the contexts over the shards.
+    """
     first = np.cumsum(lengths) - lengths
     one = np.concatenate([[BEGIN], flat[:-1]])
     one[first] = BEGIN
     two = np.concatenate([[BEGIN], one[:-1]])
     two[first] = BEGIN
     word = mix(flat) >> HALF
-    pair = mix(mix(two) * ODD + one)
-    return [mix(flat + ODD), (mix(one * ODD) >> HALF << HALF) | word, (pair >> HALF << HALF) | word]
+    single, context, pair = mix(flat + ODD), mix(one * ODD), mix(mix(two) * ODD + one)
+    return [(single, single >> HALF), *(((h >> HALF << HALF) | word, h & LOW) for h in (context, pair))]
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    spread = (keys >> HALF) * np.uint64(SPREAD) + (keys & np.uint64(SPREAD - 1))
+def shard_of(keys: np.ndarray, rests: np.ndarray, shards: int) -> np.ndarray:
+    spread = rests * np.uint64(SPREAD) + (keys & np.uint64(SPREAD - 1))
     return (mix(spread) % np.uint64(shards)).astype(np.int64)
 
 
@@ -95,10 +102,21 @@ def unpacked(blob: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
-def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys ordered by (shard, key), where each shard begins, and the place of every given key among them."""
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    shard = shard_of(distinct, shards)
+def _by_shard(keys: np.ndarray, rests: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (shard, key) in this order, where each shard begins, and the place of every given key among them."""
+    shard = shard_of(keys, rests, shards)
+    by_key = np.argsort(keys)
+    found, dealt = keys[by_key], shard[by_key]
+    mixed = np.flatnonzero((found[1:] == found[:-1]) & (dealt[1:] != dealt[:-1]))
+    if len(mixed):  # contexts with one code in several shards
+        at = np.flatnonzero(np.isin(found, found[mixed]))
+        by_key[at] = by_key[at][np.lexsort((dealt[at], found[at]))]
+        dealt = shard[by_key]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (dealt[1:] != dealt[:-1])
+    inverse = np.empty(len(found), np.int64)
+    inverse[by_key] = np.cumsum(new) - 1
+    distinct, shard = found[new], dealt[new]
     order = np.argsort(shard, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -123,8 +141,8 @@ def _queries(docs: DataFrame, shards: int) -> DataFrame:
         for block, _, _, texts, learn in _blocks(batches):
             flat, lengths = tokens(texts, hashes)
             learnt = np.repeat(np.array(learn, bool), lengths)
-            for level, keys in enumerate(level_keys(flat, lengths)):
-                distinct, begin, place = _by_shard(keys, shards)
+            for level, (keys, rests) in enumerate(level_keys(flat, lengths)):
+                distinct, begin, place = _by_shard(keys, rests, shards)
                 counts = np.bincount(place[learnt], minlength=len(distinct)).astype(np.uint32)
                 full = np.flatnonzero(begin[1:] > begin[:-1])
                 parts = [slice(begin[s], begin[s + 1]) for s in full]
@@ -177,8 +195,8 @@ def scores(docs: DataFrame, learn: Column, weights: tuple[float, float] = (2.0,
             ids, parts, learn = pickle.loads(zstandard.decompress(own))
             flat, lengths = tokens(parts, WordHashes())
             found = []
-            for level, keys in enumerate(level_keys(flat, lengths)):
-                distinct, begin, place = _by_shard(keys, shards)
+            for level, (keys, rests) in enumerate(level_keys(flat, lengths)):
+                distinct, begin, place = _by_shard(keys, rests, shards)
                 full = np.flatnonzero(begin[1:] > begin[:-1])
                 if any(level * shards + s not in codes for s in full.tolist()):
                     raise ValueError("the texts came in another order than before: store them first")
@@ -189,6 +207,8 @@ def scores(docs: DataFrame, learn: Column, weights: tuple[float, float] = (2.0,
             ends = one[np.cumsum(lengths) - 1]  # texts learnt
             before_one, before_two = np.concatenate([[0], one[:-1]]), np.concatenate([[0], two[:-1]])
             before_one[first], before_two[first] = ends, ends
+            two = np.minimum(two, np.minimum(one, before_one))  # no n-gram is more frequent than its parts; more was another's of the same code
+            three = np.minimum(three, np.minimum(two, before_two))
             p1 = (one + 0.1) / space
             p2 = (two + weights[0] * p1) / (before_one + weights[0])
             p3 = (three + weights[1] * p2) / (before_two + weights[1])

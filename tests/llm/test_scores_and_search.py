@@ -48,6 +48,26 @@ def test_scores_match_counts(small, odd_docs, monkeypatch, block):
         assert got == sorted(brute_scores([(r.doc_id, r.text) for r in docs.collect()]), key=key)
 
 
+def test_contexts_of_one_code_are_told_apart(spark, monkeypatch):
+    """Word pairs that agree in 32 bits of their hash, seen or not, do not take each other's counts."""
+    monkeypatch.setattr(ngrams, "BLOCK_BYTES", 8)
+    words = [b"w%d" % i for i in range(600)]
+    hashes = ngrams.WordHashes().of(words)
+    two, one = np.repeat(hashes, len(words)), np.tile(hashes, len(words))
+    codes = ngrams.mix(ngrams.mix(two) * ngrams.ODD + one) >> ngrams.HALF
+    order = np.argsort(codes, kind="stable")
+    same = np.flatnonzero(codes[order][1:] == codes[order][:-1])[:6]
+    pairs = [tuple(f"{words[i // 600].decode()} {words[i % 600].decode()}" for i in (order[s], order[s + 1])) for s in same]
+    assert len(pairs) == 6
+    learn = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10]
+    held = [i for i in range(200) if not zlib.crc32(str(i).encode()) % 10]
+    texts = [t for a, b in pairs for t in (f"{a} x", f"{b} y", f"{b.split()[1]} x")]
+    rows = [*zip(learn, texts), *zip(held, [f"{b} x" for _, b in pairs])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(tuple(r) for r in ngrams.scores(docs, learnt()).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect())
+    assert got == sorted(brute_scores(rows), key=lambda r: r[0])
+
+
 def test_scores_of_nothing(odd_docs):
     assert ngrams.scores(odd_docs.limit(0), learnt()).count() == 0
     rows = ngrams.scores(odd_docs.coalesce(1), F.lit(False)).collect()
