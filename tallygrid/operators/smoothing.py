@@ -24,19 +24,22 @@ def _bandwidths(rows: DataFrame, points: Sequence[float], k: int, n: int) -> lis
 
     Counts in even bins of x bracket the distance and say how many rows are surely nearer. Only rows between meet
     the grid point; they are a few bins' worth, and the distance is found among them exactly.
+    Rows below the first or above the last point lie in the two outer bins, which reach as far as they do.
     """
     lo, hi = points[0], points[-1]
     width = (hi - lo) / BINS
-    place = F.least(F.floor((F.col("x") - lo) / width), F.lit(BINS - 1)).cast("int")
-    counts = np.zeros(BINS)
-    for r in rows.groupBy(place.alias("bin")).count().collect():
-        counts[r["bin"]] = r["count"]
-    slack = 1e-9 * (hi - lo)
-    left = lo + width * np.arange(BINS)
+    place = F.least(F.greatest(F.floor((F.col("x") - lo) / width), F.lit(0)), F.lit(BINS - 1)).cast("int")
+    counts, ends = np.zeros(BINS), [lo, hi]
+    for r in rows.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect():
+        counts[r["bin"]] = r["n"]
+        ends = [min(ends[0], r["low"]), max(ends[1], r["high"])]
+    slack = 1e-9 * (ends[1] - ends[0])
+    left, right = lo + width * np.arange(BINS), lo + width * np.arange(1, BINS + 1)
+    left[0], right[-1] = ends
     spots = []
     for i, g in enumerate(points):
-        nearest = np.maximum(0, np.maximum(left - g, g - left - width)) - slack
-        farthest = np.maximum(np.abs(left - g), np.abs(left + width - g)) + slack
+        nearest = np.maximum(0, np.maximum(left - g, g - right)) - slack
+        farthest = np.maximum(np.abs(left - g), np.abs(right - g)) + slack
         low, high = (d[o][np.searchsorted(np.cumsum(counts[o]), k)] for d in (nearest, farthest) for o in [np.argsort(d)])
         sure = np.flatnonzero(farthest < low)
         first, last = (int(sure[0]), int(sure[-1])) if len(sure) else (0, -1)

@@ -78,3 +78,20 @@ def test_entry_and_registry(spark):
     df = entry.entry(spark)
     assert df.count() == 25
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_text_operators(tmp_path):
+    """The entry module of a copy that lacks the text operators imports and has all other queries."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "tallygrid", tmp_path / "tallygrid", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    for pipeline in (False, True):
+        if pipeline and (root / "corpus_pipeline.py").exists():
+            shutil.copy(root / "corpus_pipeline.py", tmp_path)
+        code = "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+        out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
+        assert out.stdout.split() == [str(len(QUERIES)), "False"], out.stderr
