@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, line_dedup, near_dedup, ngrams, packing, pages, quality, tokens, topk, warc
+from tallygrid.llm import decontaminate, line_dedup, near_dedup, ngrams, packing, pages, quality, substrings, tokens, topk, warc
 from tallygrid.llm.textkit import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,22 @@ def op1_ngram_scores(spark: SparkSession, d: str) -> DataFrame:
 @query("op4_main_text")
 def op4_main_text(spark: SparkSession, d: str) -> DataFrame:
     return pages.extract(table(spark, d, "pages"))
+
+
+SQL_SUBSTRINGS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+least_id AS (SELECT k, min(doc_id) AS first FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, list(DISTINCT p) AS places FROM (SELECT w.doc_id, unnest(range(i, i + 50)) AS p FROM win w JOIN least_id f ON w.k = f.k WHERE w.doc_id > f.first) GROUP BY 1),
+kept AS (SELECT d.doc_id, w, coalesce(places, []) AS places FROM d LEFT JOIN gone USING (doc_id)),
+words AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) x
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, unnest(places) AS q FROM gone) g WHERE g.doc_id = x.doc_id AND g.q = x.p) GROUP BY 1)
+SELECT k.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_removed, sha256(coalesce(t.text, '')) AS kept_sha256
+FROM kept k LEFT JOIN words t USING (doc_id)"""
+
+
+@query("op12_substring_dedup", SQL_SUBSTRINGS)
+def op12_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, d, "documents").select("doc_id", "text"), length=50)
+    removed = F.aggregate("repeats", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
