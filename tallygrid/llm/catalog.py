@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, line_dedup, near_dedup, ngrams, packing, pages, quality, substrings, tokens, topk, warc
+from tallygrid.llm import decontaminate, line_dedup, near_dedup, ngrams, packing, pages, phrases, quality, substrings, tokens, topk, warc
 from tallygrid.llm.textkit import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,25 @@ def op12_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, d, "documents").select("doc_id", "text"), length=50)
     removed = F.aggregate("repeats", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL_PHRASES = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS MATERIALIZED (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+f AS MATERIALIZED (SELECT lang, p, count(*) AS f FROM (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS p FROM (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM w, range(1, 5) AS r(s) WHERE len(w) >= s)) GROUP BY 1, 2 HAVING count(*) >= 30),
+cand AS MATERIALIZED (SELECT lang, string_split(p, ' ') AS p, f AS a FROM f WHERE contains(p, ' ')),
+parts AS MATERIALIZED (SELECT lang, p, a, k, array_to_string(p[1:k], ' ') AS pl, array_to_string(p[k + 1:], ' ') AS pr FROM (SELECT *, unnest(range(1, len(p))) AS k FROM cand)),
+cuts AS (SELECT c.lang, c.p, a, k, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * a) // (x.f + y.f) AS BIGINT) AS score
+  FROM parts c JOIN f x ON x.lang = c.lang AND x.p = c.pl JOIN f y ON y.lang = c.lang AND y.p = c.pr),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, p[i:i + m - 1] AS p, max(a) AS around FROM (SELECT *, unnest(range(1, len(p) - m + 2)) AS i FROM (SELECT *, unnest(range(2, len(p))) AS m FROM cand)) GROUP BY 1, 2),
+kept AS (SELECT w.lang, array_to_string(w.p, ' ') AS phrase, a, l, r, score FROM weakest w LEFT JOIN inner_ i ON w.lang = i.lang AND w.p = i.p WHERE around IS NULL OR 100 * around < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
+@query("op13_phrase_collocations", SQL_PHRASES)
+def op13_phrase_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return phrases.collocations(table(spark, d, "documents"), min_count=30, limit=2000)
