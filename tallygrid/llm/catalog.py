@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, line_dedup, near_dedup, ngrams, packing, pages, phrases, quality, substrings, tokens, topk, warc
+from tallygrid.llm import decontaminate, line_dedup, near_dedup, ngrams, packing, pages, phrases, quality, substrings, tokens, topk, warc, whitening
 from tallygrid.llm.textkit import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,8 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang
 @query("op13_phrase_collocations", SQL_PHRASES)
 def op13_phrase_collocations(spark: SparkSession, d: str) -> DataFrame:
     return phrases.collocations(table(spark, d, "documents"), min_count=30, limit=2000)
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(table(spark, d, "embeddings"), components=32, scale=64, shift=1_000_000)
