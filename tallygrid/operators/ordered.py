@@ -29,6 +29,12 @@ from pyspark.sql import types as T
 
 ROWS_PER_TASK = 2_000_000
 SAMPLE_PER_CELL = 24
+#: Cells of wanted positions that are given to every task; each is one short row.
+TARGET_ROWS = 20_000
+#: Cells per doubling of a value, cells that a large one is cut into, and how often, at most: later cells are only less even.
+PER_OCTAVE = 16
+FINER = 1024
+MAX_STEPS = 8
 #: Whole numbers beyond this lose digits as doubles.
 EXACT_DOUBLE = float(1 << 53)
 
@@ -246,6 +252,48 @@ def _number(c: str) -> Column:
     return F.when(~F.isnan(d), d)
 
 
+def _targets(inside: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """The cells that hold a wanted position, from the counts of all cells.
+
+    ``inside`` has rows (keys, __from, __total, __cell, __v): ``__from`` rows of the group lie before the stretch that is cut into cells,
+    and names it. ``__total`` is null where the group has not been counted yet.
+    """
+    stretch = [*keys, "__from", "__total"]
+    counts = inside.groupBy(*stretch, "__cell").agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    upto = F.sum("__c").over(Window.partitionBy(*stretch).orderBy("__cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    whole = F.coalesce("__total", F.sum("__c").over(Window.partitionBy(*stretch)))
+    placed = counts.select(*stretch, "__cell", "__c", "__low", "__high", (F.col("__from") + upto).alias("__upto"), whole.alias("__rows"))
+    wanted = F.lit(False)
+    for t in (f((F.col("__rows") - 1) * F.lit(p)) for p in probs for f in (F.floor, F.ceil)):
+        wanted = wanted | ((t >= F.col("__upto") - F.col("__c")) & (t < F.col("__upto")))
+    return placed.where(wanted).select(*keys, "__from", "__cell", (F.col("__upto") - F.col("__c")).alias("__before"), "__rows", "__c", "__low", "__high")
+
+
+def _narrowed(long: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(keys, __v, __from, __total) of the values in the cells that hold wanted positions, none of which outgrows a task.
+
+    Cells are even in the logarithm first, then even between the least and the largest value of the cell that is still too large.
+    """
+    limit = rows_per_task(long)
+    size = F.floor(F.log2(F.abs("__v") + 1) * PER_OCTAVE)
+    inside = long.select(*keys, "__v", F.lit(0).cast("long").alias("__from"), F.lit(None).cast("long").alias("__total"), (F.signum("__v").cast("int") * size).alias("__cell"))
+    for step in range(1, MAX_STEPS + 1):
+        targets = _targets(inside, keys, probs)
+        found = targets.limit(TARGET_ROWS + 1).collect()
+        if len(found) <= TARGET_ROWS:
+            large = any(r["__c"] > limit and r["__low"] < r["__high"] for r in found)
+            targets = F.broadcast(long.sparkSession.createDataFrame(found, targets.schema))
+        else:
+            large = not targets.where((F.col("__c") > limit) & (F.col("__low") < F.col("__high"))).isEmpty()
+        inside = join_on_keys(inside.drop("__total"), targets, [*keys, "__from", "__cell"])
+        inside = inside.drop("__from", "__cell").withColumnsRenamed({"__before": "__from", "__rows": "__total"})
+        if not large or (limit <= 0 and step > 1):
+            break
+        part = F.floor((F.col("__v") - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0)) * FINER)
+        inside = inside.withColumn("__cell", F.coalesce(part, F.lit(0))).drop("__c", "__low", "__high")
+    return inside.select(*keys, "__v", "__from", "__total")
+
+
 def exact_quantiles(
     df: DataFrame,
     cols: Sequence[str],
@@ -256,17 +304,19 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles: one row per ``by`` with an array ``q_<col>`` per column.
 
-    ``extra`` are further aggregates to compute per group. Rows collapse to (value, count),
-    the counts are accumulated in cells and the two values around each position picked.
+    Multi-selection, the same at every size. A first pass counts values per group and cell, which tells the cells that hold the wanted
+    positions; a cell with more values than a task takes is cut again. The last pass reads only the values of these
+    cells, collapses them to (value, count) and picks the two around each position. Up to ``TARGET_ROWS`` cells go to the tasks as a small
+    table, so that no other value is shuffled; of more groups than that the cells are joined by a shuffle. ``extra`` are further
+    aggregates to compute per group.
     """
     by, cols, probs = list(by), list(cols), [float(p) for p in probs]
     pairs = F.array(*[F.struct(F.lit(c).alias("__var"), _number(c).alias("__v")) for c in cols])
     long = df.select(*by, F.inline(pairs)).filter(F.col("__v").isNotNull())
-    counts = long.groupBy(*by, "__var", "__v").agg(F.count(F.lit(1)).alias("__n"))
     keys = [*by, "__var"]
-    ranked = prefix_sums(counts, "__v", {"__cum": F.col("__n")}, keys, source=long)
-    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    placed = join_on_keys(ranked, totals, keys)
+    counts = _narrowed(long, keys, probs).groupBy(*keys, "__from", "__total", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.partitionBy(*keys, "__from", "__total").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("__cum", F.col("__from") + F.sum("__n").over(upto))
     low_high = []
     for i, p in enumerate(probs):
         pos = (F.col("__total") - 1) * F.lit(p)

@@ -139,3 +139,51 @@ def test_hot_value_is_cut_by_text_ties(spark):
     finally:
         spark.conf.unset("tallygrid.rowsPerTask")
     assert len(cells) >= 8 and max(r["count"] for r in cells) < 1000
+
+
+def _spread(kind):
+    rng = np.random.default_rng(3)
+    return {
+        "normal": rng.normal(0, 1, 3000), "wide": rng.lognormal(0, 9, 3000) * rng.choice([-1, 1], 3000), "narrow": 1.6e15 + rng.integers(0, 5000, 3000),
+        "hot": np.where(rng.random(3000) < 0.4, 7.25, rng.normal(7, 1e-9, 3000)), "tiny": rng.random(3000) * 1e-300, "ends": np.append(rng.normal(0, 1, 2990), [np.inf] * 5 + [-np.inf] * 5),
+    }[kind]
+
+
+@pytest.mark.parametrize("kind", ["normal", "wide", "narrow", "hot", "tiny", "ends"])
+@pytest.mark.parametrize("limit", ["0", "20", "2000000"])
+def test_quantiles_by_multi_selection(spark, kind, limit):
+    values = _spread(kind)
+    rows = [(None if i % 3 == 0 else "a" if i % 3 == 1 else "b", float(v), None if i % 5 else 1.0) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "g string, v double, w double")
+    probs = [0.1, 0.5, 0.75]
+    spark.conf.set("tallygrid.rowsPerTask", limit)
+    try:
+        got = {r["g"]: r["q_v"] for r in ordered.exact_quantiles(df, ["v", "w"], probs, ["g"]).collect()}
+        whole = ordered.exact_quantiles(df, ["v"], [0.0, 0.99]).first()["q_v"]
+    finally:
+        spark.conf.unset("tallygrid.rowsPerTask")
+    for g in (None, "a", "b"):
+        assert got[g] == pytest.approx(np.quantile([r[1] for r in rows if r[0] == g], probs), rel=1e-14)
+    if kind != "ends":
+        assert whole == pytest.approx(np.quantile(values, [0.0, 0.99]), rel=1e-14)
+
+
+def test_only_wanted_cells_are_shuffled(spark):
+    """Two jobs: counts of cells, then the values of a few cells, filtered before the exchange by a small table."""
+    df = spark.range(200_000).select(F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("v"))
+    long = df.select(F.lit("v").alias("__var"), F.col("v").alias("__v"))
+    spark.conf.set("tallygrid.rowsPerTask", "1000")
+    try:
+        left = ordered._narrowed(long, ["__var"], [0.25, 0.5])
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert left.count() <= 4 * 1000
+    finally:
+        spark.conf.unset("tallygrid.rowsPerTask")
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan and plan.count("BroadcastHashJoin") == 2
+
+
+def test_many_groups_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "TARGET_ROWS", 3)
+    df = spark.createDataFrame([(i % 11, float(i * 37 % 101)) for i in range(1000)], "g int, v double")
+    got = {r["g"]: r["q_v"] for r in ordered.exact_quantiles(df, ["v"], [0.3], ["g"]).collect()}
+    assert got == {g: pytest.approx([np.quantile([float(i * 37 % 101) for i in range(1000) if i % 11 == g], 0.3)]) for g in range(11)}
