@@ -30,9 +30,26 @@ def _(spark, d):
     return rnd(correlation.spearman(customer_facts(spark, d), "n_orders", "acctbal").select("n", "rho"), rho=9)
 
 
-@query("j3_permutation_test")
-def _(spark, d):
-    return correlation.permutation_corr_test(customer_facts(spark, d), "acctbal", "log_spend", "c_custkey")
+def _sql_permuted(source: str) -> str:
+    """SQL of one application of the bijection to place p of replicate k, its rounds as nested selects; ``e`` has n and the bases na, nb."""
+    prime, sql = (1 << 31) - 1, f"SELECT pos, k, (p - p % nb) // nb AS l, p % nb AS r FROM {source}, e"
+    for i in range(6):
+        sql = f"SELECT pos, k, l, r, (k * 1000003 + 123 + {i * 7368787}) % {prime} AS key FROM ({sql})"
+        sql = f"SELECT *, ({'l' if i % 2 else 'r'} + key) % {prime} AS t FROM ({sql})"
+        sql = f"SELECT *, (t * t + key * 48271 + {'l' if i % 2 else 'r'}) % {prime} AS u FROM ({sql})"
+        digits = f"l, (r + (u * u + 69621) % {prime}) % nb AS r" if i % 2 else f"(l + (u * u + 69621) % {prime}) % na AS l, r"
+        sql = f"SELECT pos, k, {digits} FROM ({sql}), e"
+    return f"SELECT pos, k, l * nb + r AS p FROM ({sql}), e"
+
+
+@query("j3_permutation_test", f"""WITH RECURSIVE {SQL_CUSTOMERS}, m AS (SELECT count(*) AS n, avg(acctbal) AS mx, avg(log_spend) AS my, corr(acctbal, log_spend) AS r FROM cust),
+e AS MATERIALIZED (SELECT n, nb, (n + nb - 1) // nb AS na FROM (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS nb FROM m)),
+placed AS MATERIALIZED (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, acctbal - mx AS x, log_spend - my AS y FROM cust, m),
+walk AS ({_sql_permuted("(SELECT pos, k, pos AS p FROM placed, range(10000) AS g(k))")} UNION ALL {_sql_permuted("(SELECT walk.* FROM walk, e WHERE p >= n)")}),
+s AS (SELECT k, sum(i.x * j.y) AS s FROM walk JOIN placed i ON walk.pos = i.pos JOIN placed j ON walk.p = j.pos GROUP BY k), c AS (SELECT abs(sum(x * y)) * (1 - 1e-12) AS cut FROM placed)
+SELECT n::BIGINT AS n, round(r, 10) AS r, 10000 AS "B", (1 + (SELECT count(*) FROM s, c WHERE abs(s) >= cut)) / 10001::DOUBLE AS p FROM m""")
+def _(spark, d):
+    return rnd(correlation.permutation_corr_test(customer_facts(spark, d), "acctbal", "log_spend", "c_custkey"), r=10)
 
 
 @query("j4_partial_corr", f"""WITH {SQL_CUSTOMERS}, c AS (SELECT count(*)::BIGINT AS n, corr(log_spend, acctbal) AS yx, corr(log_spend, n_orders) AS yz, corr(acctbal, n_orders) AS xz FROM cust) SELECT n, round((yx - yz * xz) / sqrt((1 - yz * yz) * (1 - xz * xz)), 9) AS r FROM c""")

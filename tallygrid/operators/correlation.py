@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions.distributions import Z975, t_two_sided
 from tallygrid.operators.gram import complete_rows, moments, solve
-from tallygrid.operators.ordered import average_ranks
-from tallygrid.operators.windows import hash_ranks
+from tallygrid.operators.ordered import average_ranks, row_numbers
+from tallygrid.session import stored
 
 
 def pearson_ci(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -78,22 +75,82 @@ def partial_corr(df: DataFrame, y: str, x: str, controls: Sequence[str]) -> Data
     return df.sparkSession.createDataFrame([(m.n, r, p)], "n bigint, r double, p double")
 
 
-def permutation_corr_test(
-    df: DataFrame,
-    x: str,
-    y: str,
-    row_id: str,
-    B: int = 10_000,
-    seed: int = 123,
-    in_memory_rows: int = 1_000_000,
-    batch: int = 64,
-) -> DataFrame:
+#: Rows of replicates that one job pairs.
+PAIRED_ROWS = 1_000_000_000
+#: Modulus of the arithmetic in a permutation's rounds; products of two remainders fit a long.
+PRIME = (1 << 31) - 1
+ROUNDS = 6
+
+
+def _scrambled(v: Column, key: Column, let: Callable[[Column, Callable[[Column], Column]], Column]) -> Column:
+    """A number below ``PRIME`` that depends on both in no simple way."""
+    return let((v + key) % PRIME, lambda t: let((t * t + key * 48271 + v) % PRIME, lambda u: (u * u + 69621) % PRIME))
+
+
+def _inline(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def permuted(df: DataFrame, pos: str, replicate: str, n: int, seed: int, out: str) -> DataFrame:
+    """Add the place of ``pos`` in a permutation of 0 … n-1 that ``replicate`` and ``seed`` choose, by arithmetic alone.
+
+    A place is written with two digits, of base a and b: b = ⌈√n⌉, and a the least with a·b ≥ n. Rounds add a scrambled digit to the
+    other one in turn, which can be undone, so no two places meet. The few that leave the range are permuted until they return.
+    """
+    b = math.isqrt(n - 1) + 1 if n > 1 else 1
+    a = -(-n // b)
+
+    def keys(r: int | Column) -> Column:
+        return (F.col(replicate).cast("long") * 1_000_003 + seed % PRIME + r * 7_368_787) % PRIME
+
+    def once(left: Column, right: Column, let, r: int = 0) -> Column:
+        if r == ROUNDS:
+            return left * b + right
+        if r % 2:
+            return let((right + _scrambled(left, keys(r), let)) % b, lambda new: once(left, new, let, r + 1))
+        return let((left + _scrambled(right, keys(r), let)) % a, lambda new: once(new, right, let, r + 1))
+
+    steps = []
+
+    def column(value: Column, then: Callable[[Column], Column]) -> Column:
+        """Each step is a column of its own, so that it is computed once."""
+        nonlocal df
+        steps.append(f"__step{len(steps)}")
+        df = df.withColumn(steps[-1], value)
+        return then(F.col(steps[-1]))
+
+    high = lambda p: ((p - p % b) / b).cast("long")
+    place = F.col(pos).cast("long")
+    moved = once(high(place), place % b, column)
+    df = df.withColumn(out, moved)
+    if a * b > n:
+        # So many times that a place is still outside with a probability below 1e-18.
+        times = math.ceil(math.log(1e-18) / math.log(1 - n / (a * b)))
+
+        def walked(state: Column, i: Column) -> Column:
+            left, right, r = state["left"], state["right"], i % ROUNDS
+            done = state["done"] | ((r == 0) & (left * b + right < n))
+            odd = r % 2 == 1
+            mixed = _scrambled(F.when(odd, left).otherwise(right), keys(r), _inline)
+            new_left = F.when(done | odd, left).otherwise((left + mixed) % a)
+            new_right = F.when(done | ~odd, right).otherwise((right + mixed) % b)
+            return F.struct(new_left.alias("left"), new_right.alias("right"), done.alias("done"))
+
+        start = F.struct(high(F.col(out)).alias("left"), (F.col(out) % b).alias("right"), F.lit(False).alias("done"))
+        lost = F.raise_error(F.lit("a place did not return")).cast("long")
+        back = F.aggregate(F.sequence(F.lit(0), F.lit(times * ROUNDS - 1)), start, walked, lambda s: s["left"] * b + s["right"])
+        df = df.withColumn(out, F.when(F.col(out) < n, F.col(out)).otherwise(_inline(back, lambda p: F.when(p < n, p).otherwise(lost))))
+    # A column that is never null: a filter for nulls would be pushed below the steps and repeat them in one expression.
+    return df.withColumn(out, F.coalesce(F.col(out), F.lit(-1).cast("long"))).drop(*steps)
+
+
+def permutation_corr_test(df: DataFrame, x: str, y: str, row_id: str, B: int = 10_000, seed: int = 123) -> DataFrame:
     """Two-sided permutation p-value of Pearson's r: (1 + #{|r*| ≥ |r|}) / (B + 1).
 
-    y is paired anew with x in each of B replicates. Up to ``in_memory_rows`` rows
-    (counted first) both vectors go to the tasks, which share out the replicates.
-    Longer tables are shuffled instead: every replicate orders the rows by its own
-    hash and joins them to the fixed order by position, ``batch`` replicates per job.
+    Rows are numbered along ``row_id`` once. In each of B replicates the row at place i meets the y at place π(i), where π is a keyed
+    bijection that is computed and not sorted (see ``permuted``). At every size it is the same join of places and the same sums;
+    a job takes as many replicates as make about ``PAIRED_ROWS`` pairs.
     """
     both = complete_rows(df, [x, y]).select(
         F.col(row_id).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
@@ -107,42 +164,13 @@ def permutation_corr_test(
     r = float(m.cross[0, 1] / scale)
     limit = abs(m.cross[0, 1]) * (1 - 1e-12)
     centred = both.select("id", (F.col("x") - float(m.mean[0])).alias("x"), (F.col("y") - float(m.mean[1])).alias("y"))
-    if m.n <= in_memory_rows:
-        hits = _permute_in_tasks(centred, B, seed, limit)
-    else:
-        kept = centred.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            hits = sum(_permute_by_shuffle(kept, range(b, min(b + batch, B)), seed, limit) for b in range(0, B, batch))
-        finally:
-            kept.unpersist()
+    placed = stored(row_numbers(centred, "id", "pos").select((F.col("pos") - 1).alias("pos"), "x", "y"), "places")
+    # The explosion into replicates would stay in the few tasks that read a small table.
+    dealt = placed.repartition(max(spark.sparkContext.defaultParallelism, m.n // 100_000), "pos")
+    hits, batch = 0, max(1, PAIRED_ROWS // m.n)
+    for start in range(0, B, batch):
+        copies = dealt.select("pos", "x", F.explode(F.sequence(F.lit(start), F.lit(min(start + batch, B) - 1))).alias("b"))
+        moved = permuted(copies, "pos", "b", m.n, seed, "at").select("b", "x", F.col("at").alias("pos"))
+        sums = moved.join(placed.select("pos", "y"), "pos").groupBy("b").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+        hits += sums.filter(F.abs("s") >= limit).count()
     return spark.createDataFrame([(m.n, r, B, (1 + hits) / (B + 1))], schema)
-
-
-def _permute_in_tasks(centred: DataFrame, B: int, seed: int, limit: float) -> int:
-    spark = centred.sparkSession
-    pdf = centred.orderBy("id").select("x", "y").toPandas()
-    shared = spark.sparkContext.broadcast((pdf["x"].to_numpy(), pdf["y"].to_numpy()))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        xv, yv = shared.value
-        for part in batches:
-            hits = 0
-            for b in part["id"]:
-                order = np.random.Generator(np.random.Philox(key=[seed, int(b)])).permutation(len(xv))
-                hits += abs(float(xv @ yv[order])) >= limit
-            yield pd.DataFrame({"hits": [hits]})
-
-    tasks = max(1, min(B, spark.sparkContext.defaultParallelism))
-    try:
-        return spark.range(0, B, 1, tasks).mapInPandas(count, "hits bigint").agg(F.sum("hits")).first()[0]
-    finally:
-        shared.unpersist()
-
-
-def _permute_by_shuffle(centred: DataFrame, replicates: Sequence[int], seed: int, limit: float) -> int:
-    ids = F.array(*[F.lit(b) for b in replicates])
-    fixed = hash_ranks(centred.select("id", "y"), [], "id", seed, "pos", "__n").select("pos", "y")
-    moved = centred.select("id", "x", F.explode(ids).alias("b"))
-    shuffled = hash_ranks(moved, ["b"], "id", F.col("b") + F.lit(seed + 1), "pos", "__n").select("b", "pos", "x")
-    sums = shuffled.join(fixed, "pos").groupBy("b").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-    return sums.filter(F.abs("s") >= limit).count()

@@ -88,13 +88,30 @@ def test_permutation(spark):
     assert strong["p"] == pytest.approx(1 / 200)
     noise = spark.createDataFrame([(i, float(i), rng.gauss(0, 1)) for i in range(30)], "id int, x double, y double")
     a = correlation.permutation_corr_test(noise, "x", "y", "id", B=400).first()["p"]
-    b = correlation.permutation_corr_test(noise, "x", "y", "id", B=400, in_memory_rows=0, batch=400).first()["p"]
-    assert a > 0.02 and abs(a - b) < 0.12
-
-
-def test_permutation_shuffle_keeps_all_rows(spark, plans):
+    r = abs(float(np.corrcoef([x["x"] for x in noise.collect()], [x["y"] for x in noise.collect()])[0, 1]))
+    t = r * math.sqrt(28 / (1 - r * r))
+    assert abs(a - dist.t_two_sided(t, 28)) < 0.08
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 97, 1000])
+def test_permuted_is_a_bijection(spark, n):
+    copies = spark.range(n).select(F.col("id").alias("pos"), F.explode(F.sequence(F.lit(0), F.lit(59))).alias("b"))
+    rows = correlation.permuted(copies, "pos", "b", n, 123, "at").collect()
+    at = np.zeros((60, n), int)
+    for r in rows:
+        at[r["b"], r["pos"]] = r["at"]
+    assert (np.sort(at, 1) == np.arange(n)).all()
+    if n >= 97:
+        assert len({tuple(row) for row in at}) == 60
+        # Places are as good as independent: correlations with the old place, and pairs that stay neighbours, are as chance has them.
+        assert max(abs(np.corrcoef(row, np.arange(n))[0, 1]) for row in at) < 4.5 / math.sqrt(n)
+        assert np.mean(np.abs(np.diff(at, axis=1)) == 1) < 3 / n + 0.01 and np.mean(at == np.arange(n)) < 2.5 / n
+
+
+def test_permutation_pairs_every_row(spark, plans, monkeypatch):
+    monkeypatch.setattr(correlation, "PAIRED_ROWS", 100)
     df = spark.createDataFrame([(i, float(i), float(i)) for i in range(12)], "id int, x double, y double")
-    out = correlation.permutation_corr_test(df, "x", "y", "id", B=40, in_memory_rows=0, batch=20).first()
+    out = correlation.permutation_corr_test(df, "x", "y", "id", B=40).first()
     assert out["p"] == pytest.approx(1 / 41)
 
 
