@@ -1,15 +1,14 @@
 """Two-way fixed effects for (entity, period) panels, balanced or not.
 
-Entity effects are swept out by means. Period effects are few, so their normal
-equations form one small matrix, added up from per-entity period counts. After
-that a single aggregate per entity gives slope, errors and effects: rows are never
-joined back to their means, and a hot entity combines map-side.
+Entity effects are swept out by means. Period effects solve the equations that remain, by conjugate gradients whose only operator
+is a pass of grouped sums over the cells: there is no matrix of periods. After that a single aggregate per entity gives slope,
+errors and effects: rows are never joined back to their means, and a hot entity combines map-side.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions.distributions import t_quantile, t_two_sided
-from tallygrid.operators.frames import double_array
 from tallygrid.operators.gram import complete_rows
+from tallygrid.session import stored
 
 
 @dataclass(frozen=True)
@@ -36,62 +35,110 @@ class PanelFit:
     entity: str
 
 
-def _period_system(rows: DataFrame, entity: str, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Normal equations of the period dummies after removing entity means."""
-    cells = rows.groupBy(entity, "__t").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("__x").alias("sx"), F.sum("__y").alias("sy")
-    )
-    vectors = cells.groupBy(entity).agg(F.collect_list(F.struct("__t", "n", "sx", "sy")).alias("c")).select(
-        F.col("c.__t").alias("t"), F.col("c.n").alias("n"), F.col("c.sx").alias("sx"), F.col("c.sy").alias("sy")
-    )
-
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = np.zeros((t, t)), np.zeros((2, t))
-        for part in batches:
-            for at, n, sx, sy in zip(part["t"], part["n"], part["sx"], part["sy"]):
-                at, n = np.asarray(at), np.asarray(n, float)
-                total = n.sum()
-                a[at, at] += n
-                a[np.ix_(at, at)] -= np.outer(n, n) / total
-                b[0, at] += sx - n * (np.sum(sx) / total)
-                b[1, at] += sy - n * (np.sum(sy) / total)
-        flat = np.concatenate([a.ravel(), b.ravel()])
-        used = np.flatnonzero(flat)
-        yield pd.DataFrame({"pos": used, "v": flat[used]})
-
-    sums = vectors.mapInPandas(add_up, "pos bigint, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect()
-    flat = np.zeros(t * t + 2 * t)
-    for r in sums:
-        flat[r["pos"]] = r["v"]
-    return flat[: t * t].reshape(t, t), flat[t * t : t * t + t], flat[t * t + t :]
+#: Relative size of the residual at which the iterations end, and the most iterations.
+TOLERANCE = 1e-13
+MAX_STEPS = 2000
 
 
-def _at(values: np.ndarray) -> Column:
-    return F.get(double_array(values), F.col("__t"))
+def _grouped_operator(vectors: DataFrame, t: int) -> Callable[[np.ndarray], np.ndarray]:
+    """v -> n_t v_t - sum over entities of n_et * (mean of v over the entity's rows), for columns v of period values.
 
+    One pass over a row per entity, each as long as the entity has periods; a task returns one number per period and column.
+    """
 
-def fit_panel(df: DataFrame, y: str, x: str, entity: str, period: str, factor: float = 1.0, max_periods: int = 400) -> PanelFit:
+    def apply(v: np.ndarray) -> np.ndarray:
+        k = v.shape[1]
+
+        def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros((t, k))
+            for part in batches:
+                sizes = part["t"].map(len).to_numpy()
+                if not len(sizes):
+                    continue
+                at, n = (np.concatenate(part[c].to_list()) for c in ("t", "n"))
+                n = n.astype(float)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                total = np.bincount(owner, n)
+                for c in range(k):
+                    mean = np.bincount(owner, n * v[at, c]) / total
+                    out[:, c] += np.bincount(at, n * (v[at, c] - mean[owner]), t)
+            pos, col = np.nonzero(out)
+            yield pd.DataFrame({"pos": pos, "col": col, "v": out[pos, col]})
+
+        result = np.zeros((t, k))
+        for r in vectors.mapInPandas(add_up, "pos bigint, col bigint, v double").groupBy("pos", "col").agg(F.sum("v").alias("v")).collect():
+            result[r["pos"], r["col"]] = r["v"]
+        return result
+
+    return apply
+
+
+def _conjugate_gradients(apply: Callable[[np.ndarray], np.ndarray], b: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Solve apply(x) = b for each column of b, scaled by the diagonal, all columns in one pass per step.
+
+    The matrix is singular (constants over connected entities); b lies in its range, and so do all iterates.
+    """
+    x, r = np.zeros_like(b), b.copy()
+    scale = np.sqrt((b * b / diagonal[:, None]).sum(0))
+    z = r / diagonal[:, None]
+    p, rz = z.copy(), (r * z).sum(0)
+    for _ in range(MAX_STEPS):
+        open_ = np.sqrt(np.maximum(rz, 0)) > TOLERANCE * scale
+        if not open_.any():
+            return x
+        ap = apply(p)
+        curve = (p * ap).sum(0)
+        open_ &= curve > 0
+        step = np.where(open_, rz / np.where(open_, curve, 1), 0)
+        x, r = x + step * p, r - step * ap
+        z = r / diagonal[:, None]
+        new = (r * z).sum(0)
+        p = np.where(open_, z + np.where(open_, new / np.where(rz > 0, rz, 1), 0) * p, 0)
+        rz = np.where(open_, new, 0)
+    raise ArithmeticError(f"period effects did not settle in {MAX_STEPS} steps")
+
+
+def fit_panel(df: DataFrame, y: str, x: str, entity: str, period: str, factor: float = 1.0) -> PanelFit:
+    """Period effects by conjugate gradients over grouped sums; any number of periods, balanced or not.
+
+    The driver holds a few numbers per period. Cells of (entity, period) are counted once and stored for the iterations.
+    """
     d = complete_rows(df, [x, y]).dropna(subset=[entity, period])
     per = d.groupBy(period).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"))
-    found = sorted(per.limit(max_periods + 1).collect(), key=lambda r: r[0])
-    if len(found) > max_periods:
-        raise ValueError(f"more than {max_periods} distinct values of {period}")
+    found = sorted(per.collect(), key=lambda r: r[0])
     if not found:
         raise ValueError("no complete rows")
-    periods, t = [r[0] for r in found], len(found)
+    spark, periods, t = df.sparkSession, [r[0] for r in found], len(found)
     total = sum(r["n"] for r in found)
     centre = {c: sum(r[c] for r in found) / total for c in ("x", "y")}
-    index = F.array_position(F.array(*[F.lit(p) for p in periods]), F.col(period)).cast("int") - 1
-    rows = d.select(
-        entity, index.alias("__t"), (F.col(x) - F.lit(centre["x"])).alias("__x"), (F.col(y) - F.lit(centre["y"])).alias("__y")
-    )
-    a, bx, by = _period_system(rows, entity, t)
-    # The first period is the base; a minimum-norm solution covers separate blocks of entities.
+    kind = d.schema[period].dataType.simpleString()
+
+    def with_periods(**values: Sequence) -> DataFrame:
+        """The rows with further columns of their period, by a join with a table of one row per period."""
+        names = list(values)
+        kinds = ", ".join(f"{n} {'int' if n == '__t' else 'double'}" for n in names)
+        table = spark.createDataFrame(list(zip(periods, *(list(values[n]) for n in names))), f"__p {kind}, {kinds}")
+        here = (F.col(x) - F.lit(centre["x"])).alias("__x"), (F.col(y) - F.lit(centre["y"])).alias("__y")
+        return d.select(entity, F.col(period).alias("__p"), *here).join(table, "__p").drop("__p")
+
+    cells = with_periods(__t=range(t)).groupBy(entity, "__t").agg(F.count(F.lit(1)).alias("n"), F.sum("__x").alias("sx"), F.sum("__y").alias("sy"))
+    vectors = cells.groupBy(entity).agg(F.collect_list(F.struct("__t", "n", "sx", "sy")).alias("c"))
+    part = lambda c: F.aggregate(f"c.{c}", F.lit(0.0), lambda a, v: a + v)
+    sums = F.struct(part("sx").alias("x"), part("sy").alias("y"), F.aggregate("c.n", F.lit(0).cast("long"), lambda a, v: a + v).alias("n"))
+    vectors = stored(vectors.select(F.col("c.__t").alias("t"), F.col("c.n").alias("n"), F.col("c.sx").alias("sx"), F.col("c.sy").alias("sy"), sums.alias("s")), "panel-cells")
     dx, dy = np.zeros(t), np.zeros(t)
     if t > 1:
-        dx[1:] = np.linalg.lstsq(a[1:, 1:], bx[1:], rcond=1e-12)[0]
-        dy[1:] = np.linalg.lstsq(a[1:, 1:], by[1:], rcond=1e-12)[0]
-    gx, gy = F.col("__x") - _at(dx), F.col("__y") - _at(dy)
+        own = vectors.select(F.inline(F.arrays_zip("t", "n", "sx", "sy")), "s").groupBy("t").agg(
+            F.sum("n").alias("n"), *[F.sum(F.col(f"s{c}") - F.col("n") * F.col(f"s.{c}") / F.col("s.n")).alias(c) for c in ("x", "y")]
+        )
+        b, diagonal = np.zeros((t, 2)), np.ones(t)
+        for r in own.collect():
+            b[r["t"]], diagonal[r["t"]] = (r["x"], r["y"]), r["n"]
+        # The first period is the base.
+        solved = _conjugate_gradients(_grouped_operator(vectors.select("t", "n"), t), b, diagonal)
+        dx, dy = (solved - solved[0]).T
+    rows = with_periods(__dx=dx.tolist(), __dy=dy.tolist())
+    gx, gy = F.col("__x") - F.col("__dx"), F.col("__y") - F.col("__dy")
     cov = {
         "xx": (gx, gx), "xy": (gx, gy), "wxx": (F.col("__x"), F.col("__x")),
         "wxy": (F.col("__x"), F.col("__y")), "wyy": (F.col("__y"), F.col("__y")),

@@ -17,7 +17,7 @@ FORCED = [
     "w3_cumulative_lift", "w4_stratified_folds", "w5_stratified_split", "w6_average_rank", "w8_integrate_derivative",
 ]
 # Slow model fits are exercised in test_models.py on small fixtures.
-ROWS_ONLY = ["e7_sample_n", "h14_normal_cdf", "j3_permutation_test", "j19_bootstrap_ci", "j20_spline_fit", "j21_bootstrap_means", "k5_logit_coefficients"]
+ROWS_ONLY = ["e7_sample_n", "h14_normal_cdf", "j19_bootstrap_ci", "j20_spline_fit", "j21_bootstrap_means", "k5_logit_coefficients"]
 
 
 @pytest.fixture(scope="module")

@@ -232,6 +232,37 @@ def test_panel_unbalanced_matches_dummies(spark):
     assert fe["e3"]["highlight"] and not fe["e4"]["highlight"]
 
 
+def _within(values, groups, rounds=4000):
+    """Residuals after group means have been taken out in turn until nothing changes."""
+    out = np.array(values, float)
+    for _ in range(rounds):
+        last = out
+        for g in groups:
+            out = out - (np.bincount(g, out) / np.bincount(g))[g]
+        if np.abs(out - last).max() < 1e-14:
+            break
+    return out
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_panel_with_thousands_of_periods(spark, blocks):
+    """Daily, unbalanced, with a hot entity; two blocks share no period."""
+    rng = np.random.default_rng(blocks)
+    cells = [(e, t + 3000 * (e % blocks)) for e in range(8) for t in range(3000) if e == 0 or rng.random() < 0.3]
+    e, t = (np.array(c) for c in zip(*cells))
+    x = rng.normal(0, 1, len(e)) + 0.3 * e + np.sin(t / 50)
+    y = 2.5 * x + e - np.cos(t / 40) + rng.normal(0, 1, len(e))
+    df = spark.createDataFrame([(f"e{a}", int(b), float(c), float(d)) for a, b, c, d in zip(e, t, x, y)], "e string, t int, x double, y double")
+    got = panel.panel_fe(df, "y", "x", "e", "t").first()
+    _, day = np.unique(t, return_inverse=True)
+    wx, wy = _within(x, [e, day]), _within(y, [e, day])
+    beta = wx @ wy / (wx @ wx)
+    se = math.sqrt((np.bincount(e, wx * (wy - beta * wx)) ** 2).sum()) / (wx @ wx)
+    assert got["beta"] == pytest.approx(beta, rel=1e-9) and got["se"] == pytest.approx(se, rel=1e-7)
+    assert got["n_periods"] == len(set(t)) and got["n"] == len(e)
+    assert got["p"] == pytest.approx(dist.t_two_sided(beta / se, len(e) - 8 - len(set(t))), rel=1e-6, abs=1e-300)
+
+
 def test_lowess_reproduces_a_line(spark, plans):
     df = spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(60)], "x double, y double")
     for r in smoothing.lowess_grid(df, "x", "y", n_grid=7, robust=1).collect():
