@@ -11,8 +11,8 @@ that at least ``min_docs`` documents hold loses its lines everywhere except in t
    that lose lines get them by a join on the id. No line text that occurs once is shuffled, but for filter errors.
 
 Defined results: a null or empty text is one empty line; lines shorter than ``min_chars`` always stay; a key that repeats within a
-document counts once for it; each row is a document, and rows with equal ids lose the same keys; a null id is smaller than any
-other; an empty table gives an empty result. Other columns are kept and may have any name.
+document counts once for it; rows with one id are one document for the count, and lose the same keys; a null id counts as no
+document and is smaller than any other; an empty table gives an empty result. Other columns are kept and may have any name.
 """
 
 from __future__ import annotations
@@ -159,7 +159,8 @@ def shared_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min
             yield pa.RecordBatch.from_arrays([ids, pa.array([keys[i] for i in hit.tolist()], pa.binary())], ["id", "key"])
 
     found = stored(docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, key binary"), "line-suspects")
-    shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    holders = found.groupBy("key", "id").agg(F.count(F.lit(1)).alias("rows"))
+    shared = holders.groupBy("key").agg(F.count("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
     shared = stored(shared.select(F.col("key").alias("shared_key"), "keeper"), "line-shared")
     return found.join(shared, F.col("key") == F.col("shared_key")).where(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "key")
 

@@ -12,10 +12,10 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 def brute_lines(docs, min_docs=5, min_chars=40):
     keys = lambda t: [(x, x.strip(" \t\n\x0b\x0c\r")) for x in t.split("\n")]
     fold = lambda k: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in k)
-    held = defaultdict(list)
+    held = defaultdict(set)
     for i, t in docs:
         for k in {fold(k) for _, k in keys(t or "")}:
-            held[k].append(i)
+            held[k].add(i)
     shared = {k: max(v) for k, v in held.items() if len(k) >= min_chars and len(v) >= min_docs}
     out = []
     for i, t in docs:
@@ -98,3 +98,11 @@ def test_remove(spark, odd_docs):
     assert decontaminate.remove(odd_docs, items.limit(0)).count() == odd_docs.count()
     assert decontaminate.matches(odd_docs.limit(0), items).count() == 0
     assert decontaminate.matches(odd_docs, items).where(F.col("doc_id") == 3).first()["items"] == []
+
+
+def test_repeated_rows_are_one_document(spark):
+    line = "a line of more than forty code points, which several rows hold"
+    rows = [(9, line), (9, line + "\nx"), (9, line), (9, line), (3, line), (4, "other"), (None, line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.n_dropped for r in line_dedup.line_report(docs).collect()} == {0}
+    assert sorted((r.doc_id or 0, r.n_dropped) for r in line_dedup.line_report(docs, min_docs=2).collect()) == [(0, 1), (3, 1), (4, 0), (9, 0), (9, 0), (9, 0), (9, 0)]
