@@ -109,6 +109,15 @@ def _(spark, d):
     return regression.quantile_regression(customer_facts(spark, d), "log_spend", ["acctbal"])
 
 
+# A median line goes through two of the points: the best of all such lines is the optimum.
+@query("j12_median_line", f"""WITH {SQL_PANEL}, pts AS MATERIALIZED (SELECT row_number() OVER (ORDER BY n_name, year) AS i, x, y FROM panel),
+lines AS (SELECT row_number() OVER () AS k, b, y1 - b * x1 AS a FROM (SELECT p.x AS x1, p.y AS y1, (q.y - p.y) / (q.x - p.x) AS b FROM pts p JOIN pts q ON p.i < q.i AND p.x <> q.x)),
+loss AS (SELECT k, any_value(a) AS a, any_value(b) AS b, sum(abs(y - a - b * x)) AS loss FROM lines, pts GROUP BY k), best AS (SELECT a, b FROM loss ORDER BY loss LIMIT 1), n AS (SELECT count(*)::BIGINT AS n FROM pts)
+SELECT 'const' AS term, round(a, 6) AS coef, n, true AS converged FROM best, n UNION ALL SELECT 'x', round(b, 6), n, true FROM best, n""")
+def _(spark, d):
+    return rnd(regression.quantile_regression(nation_panel(spark, d), "y", ["x"]).select("term", "coef", "n", "converged"), coef=6)
+
+
 _DEMEANED = f"""WITH {SQL_PANEL}, w AS (SELECT *, x - avg(x) OVER (PARTITION BY n_name) - avg(x) OVER (PARTITION BY year) + avg(x) OVER () AS dx, y - avg(y) OVER (PARTITION BY n_name) - avg(y) OVER (PARTITION BY year) + avg(y) OVER () AS dy FROM panel),
 b AS (SELECT sum(dx * dy) / sum(dx * dx) AS beta, sum(dx * dx) AS sxx, count(*) AS n, count(DISTINCT n_name) AS e, count(DISTINCT year) AS t FROM w)"""
 

@@ -229,11 +229,89 @@ def _weighted_passes(
     return out
 
 
+#: Rows nearest to the line that the driver takes for the exact solution, at most (distinct ones, beyond ties).
+BAND_ROWS = 20_000
+MAX_BANDS = 12
+
+
+def _band(data: DataFrame, names: Sequence[str], beta: np.ndarray, tau: float, n: int):
+    """Distinct rows near the line with their numbers, and the sum of τ-weighted rows beyond; the width of the band."""
+    line = sum((F.col(c) * F.lit(float(b)) for c, b in zip(names, beta[1:])), F.lit(float(beta[0])))
+    placed = data.select(*names, "__y", (F.col("__y") - line).alias("__r"))
+    width = math.inf
+    if n > BAND_ROWS:
+        width = exact_quantiles(placed.select(F.abs("__r").alias("r")), ["r"], [BAND_ROWS / n]).first()[0][0]
+    near = placed.where(F.abs("__r") <= width).groupBy(*names, "__y").agg(F.count(F.lit(1)).alias("w")).limit(4 * BAND_ROWS + 1).collect()
+    pull = F.when(F.col("__r") > 0, F.lit(tau)).otherwise(F.lit(tau - 1))
+    beyond = placed.where(F.abs("__r") > width)
+    far = beyond.agg(*[F.coalesce(F.sum(pull * c), F.lit(0.0)) for c in (F.lit(1.0), *(F.col(c) for c in names))]).first()
+    rows = np.array([[1.0, *r[:-1]] for r in near], float)
+    return rows[:, :-1], rows[:, -1], np.array([r[-1] for r in near], float), np.array(far, float), beyond
+
+
+def _vertex(x: np.ndarray, y: np.ndarray, w: np.ndarray, far: np.ndarray, start: np.ndarray, tau: float) -> tuple[np.ndarray, bool]:
+    """Exact minimum of the weighted τ-loss of the rows plus the linear term ``far``, by descent from vertex to vertex.
+
+    True if the dual certificate holds: multipliers of the rows on the line between w(τ-1) and wτ balance all other rows.
+    """
+    m, k = x.shape
+    basis: list[int] = []
+    for i in np.argsort(np.abs(y - x @ start), kind="stable"):
+        if np.linalg.matrix_rank(x[[*basis, i]], tol=1e-9) > len(basis):
+            basis.append(int(i))
+            if len(basis) == k:
+                break
+    if len(basis) < k:
+        return start, False
+    beta = start
+    for _ in range(200 + 20 * k + m):
+        beta = np.linalg.solve(x[basis], y[basis])
+        r = y - x @ beta
+        r[np.abs(r) < 1e-13 * (1 + np.abs(y))] = 0.0
+        pull = w * np.where(r >= 0, tau, tau - 1)
+        pull[basis] = 0
+        s = -np.linalg.solve(x[basis].T, far + x.T @ pull)
+        over = np.maximum(s - w[basis] * tau, w[basis] * (tau - 1) - s)
+        j = int(np.argmax(over))
+        if over[j] <= 1e-9 * max(1.0, w.sum() * 1e-6):
+            return beta, True
+        sign = -1.0 if s[j] > w[basis][j] * tau else 1.0
+        unit = np.zeros(k)
+        unit[j] = sign
+        along = x @ np.linalg.solve(x[basis], unit)
+        along[basis] = 0
+        hit = np.flatnonzero(((r >= 0) & (along > 1e-12)) | ((r < 0) & (along < -1e-12)))
+        order = hit[np.argsort(r[hit] / along[hit], kind="stable")]
+        slope = -over[j] + np.cumsum(w[order] * np.abs(along[order]))
+        at = int(np.searchsorted(slope, 0.0))
+        if at == len(order):
+            return beta, False
+        basis[j] = int(order[at])
+    return beta, False
+
+
+def _exact_line(data: DataFrame, names: Sequence[str], beta: np.ndarray, tau: float, n: int) -> tuple[np.ndarray, bool]:
+    """The exact τ-line near ``beta``: rows far from it count by their side only, which is verified on all of them afterwards."""
+    for _ in range(MAX_BANDS):
+        x, y, w, far, beyond = _band(data, names, beta, tau, n)
+        if len(y) > 4 * BAND_ROWS:
+            return beta, False
+        new, optimal = _vertex(x, y, w, far, beta, tau)
+        line = sum((F.col(c) * F.lit(float(b)) for c, b in zip(names, new[1:])), F.lit(float(new[0])))
+        moved = n > BAND_ROWS and not beyond.where((F.col("__y") - line > 0) != (F.col("__r") > 0)).isEmpty()
+        beta = new
+        if not moved:
+            return beta, optimal
+    return beta, False
+
+
 def quantile_regression(
     df: DataFrame, y: str, xs: Sequence[str], tau: float = 0.5, tol: float = 1e-6, max_iter: int = 500
 ) -> DataFrame:
-    """Coefficients of the τ-quantile line by iteratively reweighted least squares.
+    """Coefficients of the τ-quantile line: reweighted least squares to come near, then the exact optimum.
 
+    The exact part takes the rows nearest to the line to the driver, a bounded number, and all others as two sums by their side of it.
+    ``converged`` says that the sides held for every row and that the dual certificate of the optimum did; otherwise the line is only near it.
     The needed columns are centred, scaled and kept in the cluster's memory or disk
     for the iterations. Each pass scores the plain update and a few longer steps in
     its direction at once and goes on from the best, which saves most of the passes.
@@ -269,12 +347,13 @@ def quantile_regression(
             if float(np.max(np.abs(step))) < tol:
                 beta = new
                 break
+        beta, converged = _exact_line(data, names[:k], beta, tau, m.n)
     finally:
         data.unpersist()
     slopes = beta[1:] * sd[k] / sd[:k]
     const = float(m.mean[k] + sd[k] * beta[0] - slopes @ m.mean[:k])
-    rows = [(t, float(c), tau, m.n, iterations) for t, c in zip(["const", *xs], [const, *slopes])]
-    return df.sparkSession.createDataFrame(rows, "term string, coef double, tau double, n bigint, iterations int")
+    rows = [(t, float(c), tau, m.n, iterations, converged) for t, c in zip(["const", *xs], [const, *slopes])]
+    return df.sparkSession.createDataFrame(rows, "term string, coef double, tau double, n bigint, iterations int, converged boolean")
 
 
 def _both(x: str, y: str) -> tuple[Column, Column]:

@@ -284,13 +284,20 @@ def cluster_summary(df: DataFrame, cluster: str, spread: str, others: Sequence[s
     )
 
 
+def _exact_decimal(df: DataFrame, col: str) -> Column:
+    kind = df.select(col).schema[0].dataType
+    if isinstance(kind, T.DecimalType):
+        return F.col(col)
+    return F.col(col).cast("decimal(19,0)" if isinstance(kind, T.IntegralType) else "decimal(18,9)")
+
+
 def basket_totals(df: DataFrame, product: str, qty: str, price: str, tie: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Exact decimal totals of a basket.
+    """Exact decimal totals of a basket. Decimal and whole-number columns keep their digits; other numbers are read with nine places.
 
     ``units`` counts a fractional quantity below one as one piece and cuts others to
     their whole part. The dearest product is the first one (by ``tie``) at the top price.
     """
-    q, p = F.col(qty).cast("decimal(18,4)"), F.col(price).cast("decimal(18,4)")
+    q, p = (_exact_decimal(df, c) for c in (qty, price))
     pieces = F.when(q < 1, F.lit(1)).otherwise(F.floor(q)).cast("decimal(18,0)")
     first = F.struct(p.alias("p"), (-F.col(tie)).alias("t")) if tie else F.struct(p.alias("p"))
     return df.groupBy(*by).agg(

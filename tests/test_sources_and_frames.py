@@ -1,4 +1,5 @@
 import math
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +78,13 @@ def test_basket(basket):
     assert (r["dearest"], float(r["dearest_price"])) == ("Presunto", 50.0)
 
 
+def test_basket_keeps_every_place(spark):
+    rows = spark.sql("select 'a' as product, 1.2345678 as qty, cast(0.333333 as double) as price union all select 'b', 2.0000001, 1e-9")
+    r = summary.basket_totals(rows, "product", "qty", "price").first()
+    assert r["total_value"] == Decimal("1.2345678") * Decimal("0.333333") + Decimal("2.0000001") * Decimal("0.000000001")
+    assert r["units"] == 3 and r["total_by_units"] == Decimal("0.333333") + 2 * Decimal("0.000000001")
+
+
 def test_basket_tie_takes_first(spark):
     df = spark.createDataFrame([(1, "b", 1.0, 9.0), (0, "a", 1.0, 9.0), (2, "c", 0.5, 1.0)], "id int, product string, qty double, price double")
     assert summary.basket_totals(df, "product", "qty", "price", "id").first()["dearest"] == "a"

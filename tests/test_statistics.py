@@ -186,6 +186,22 @@ def test_median_regression(spark):
     assert out["x"] == pytest.approx(2.0, abs=1e-2) and out["const"] == pytest.approx(3.0, abs=0.3)
 
 
+@pytest.mark.parametrize("tau,band", [(0.5, 20_000), (0.5, 40), (0.2, 40)])
+def test_quantile_regression_is_exact(spark, monkeypatch, tau, band):
+    """The best line through two points, also where most rows count by their side only."""
+    monkeypatch.setattr(regression, "BAND_ROWS", band)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(0, 2, 150), 1)
+    y = 3 + 0.7 * x + rng.standard_cauchy(150) + (x > 2) * 5
+    x, y = np.append(x, x[:30]), np.append(y, y[:30])
+    got = regression.quantile_regression(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double"), "y", ["x"], tau).collect()
+    loss = lambda a, b: np.sum(np.where(y > a + b * x, tau, tau - 1) * (y - a - b * x))
+    pairs = [(i, j) for i in range(150) for j in range(i) if x[i] != x[j]]
+    best = min(loss(y[i] - b * x[i], b) for i, j in pairs for b in [(y[i] - y[j]) / (x[i] - x[j])])
+    const, slope = (r["coef"] for r in got)
+    assert all(r["converged"] for r in got) and loss(const, slope) == pytest.approx(best, rel=1e-10)
+
+
 def test_quantile_regression_splits_rows(table):
     for tau in (0.25, 0.8):
         out = {r["term"]: r["coef"] for r in regression.quantile_regression(table, "y", ["x"], tau).collect()}
