@@ -333,6 +333,23 @@ def test_linalg(spark):
     assert {r[0]: r[1] for r in linalg.logistic_gradient(d, ["a", "b"], "y", [0, 0]).collect()} == {"a": -0.5, "b": -0.5}
 
 
+def test_geodesic_near_antipodes():
+    """Known lengths in metres: near-antipodal pairs, and half a meridian between antipodes and from pole to pole."""
+    rows = [(0.0, 0.0, 0.5, 179.5, 19936288.579), (0.0, 0.0, 0.5, 179.7, 19944127.421), (0.0, 0.0, 0.0, 180.0, 20003931.458625), (30.0, 10.0, -30.0, -170.0, 20003931.458625), (90.0, 5.0, -90.0, 40.0, 20003931.458625), (0.5, 179.7, 0.0, 0.0, 19944127.421)]
+    *points, metres = (np.array(c) for c in zip(*rows))
+    assert geo.vincenty_km(*points) * 1000 == pytest.approx(metres, abs=2e-3)
+
+
+def test_geodesic_ways_agree():
+    rng = np.random.default_rng(2)
+    points = [rng.uniform(-90, 90, 400), rng.uniform(-180, 180, 400), rng.uniform(-90, 90, 400), rng.uniform(-180, 180, 400)]
+    assert geo.bisected_km(*points) == pytest.approx(geo.vincenty_km(*points), abs=1e-6)
+    anti = [points[0], points[1], -points[0] + rng.uniform(-0.3, 0.3, 400), points[1] + 180 + rng.uniform(-0.3, 0.3, 400)]
+    anti[2] = np.clip(anti[2], -90, 90)
+    back = geo.vincenty_km(anti[2], anti[3], anti[0], anti[1])
+    assert np.isfinite(back).all() and back == pytest.approx(geo.vincenty_km(*anti), abs=1e-6)
+
+
 def test_geo(spark):
     rows = [(0, -15.7797, -47.9297, 35.6895, 139.6917), (1, 0.0, 0.0, 0.0, 0.0), (2, 91.0, 0.0, 0.0, 0.0), (3, None, 0.0, 0.0, 0.0), (4, 0.0, 0.0, 0.0, 180.0), (5, 10.0, 20.0, 30.0, 20.0)]
     df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double")
