@@ -178,7 +178,7 @@ def _(spark, d):
 
 # The inverse solution by 200 steps of a recursive query on the valid pairs.
 _VINCENTY = f"""WITH RECURSIVE {SQL_COORDS}, u AS (
-  SELECT c_custkey, atan((1 - 1 / 298.257223563::DOUBLE) * tan(radians(lat_a))) AS u1, atan((1 - 1 / 298.257223563::DOUBLE) * tan(radians(lat_b))) AS u2, radians(lon_b - lon_a) AS l FROM coords WHERE {_VALID}),
+  SELECT c_custkey, atan((1 - 1 / 298.257223563::DOUBLE) * tan(radians(lat_a))) AS u1, atan((1 - 1 / 298.257223563::DOUBLE) * tan(radians(lat_b))) AS u2, radians(lon_b - lon_a - 360 * round((lon_b - lon_a) / 360)) AS l FROM coords WHERE {_VALID}),
 step(c_custkey, i, lam, gap) AS (
   SELECT c_custkey, 0, l, 1.0::DOUBLE FROM u
   UNION ALL

@@ -340,6 +340,15 @@ def test_geodesic_near_antipodes():
     assert geo.vincenty_km(*points) * 1000 == pytest.approx(metres, abs=2e-3)
 
 
+def test_geodesic_across_the_date_line():
+    """The shorter way round, whatever the longitudes are written as."""
+    one = np.ones(1)
+    for lat1, lat2, west, east in ((10, -20, 170, -175), (0, 0, -179, 179), (45, 50, 5, 340)):
+        turned = east - 360 if east > west else east + 360
+        assert geo.vincenty_km(lat1 * one, west * one, lat2 * one, east * one) == pytest.approx(geo.vincenty_km(lat1 * one, west * one, lat2 * one, turned * one), abs=1e-9)
+        assert geo.vincenty_km(lat1 * one, west * one, lat2 * one, east * one) == pytest.approx(geo.bisected_km(lat1 * one, west * one, lat2 * one, east * one), abs=1e-6)
+
+
 def test_geodesic_ways_agree():
     rng = np.random.default_rng(2)
     points = [rng.uniform(-90, 90, 400), rng.uniform(-180, 180, 400), rng.uniform(-90, 90, 400), rng.uniform(-180, 180, 400)]
