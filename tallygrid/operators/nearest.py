@@ -2,19 +2,15 @@
 
 On one numeric feature, neighbours are adjacent in order: both tables are cut into
 the same value cells, each holding at least k train rows, and a cell needs only the
-k nearest rows of the cells beside it. Several features are searched by blocks.
-
-Both tables are cut into hash blocks of bounded size. A train block meets every
-query block once; inside a task numpy scores the two blocks and keeps the k best
-train rows per query, so row pairs never leave it. The survivors of each block
-(k per query) are merged by a ranked window, which Spark also limits before its
-shuffle. Hash blocks are even whatever the data looks like.
+k nearest rows of the cells beside it. Several features are searched by cells of pivots
+(see ``pivots``): bounds from the triangle inequality leave out cells, and rows of cells,
+that cannot hold a neighbour. Row pairs never leave a task.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,10 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrid.operators.ordered import in_cells, rows_per_task, value_cells
+from tallygrid.operators.pivots import Metric, pivot_search
 from tallygrid.operators.windows import nearest_rank
 
-Metric = Callable[[np.ndarray, np.ndarray], np.ndarray]
-
 
 def euclidean(q: np.ndarray, t: np.ndarray) -> np.ndarray:
     total = np.zeros((len(q), len(t)))
@@ -62,17 +57,6 @@ def vector(df: DataFrame, features: str | Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in cols])
 
 
-def _blocks(n: int, block: int) -> int:
-    return max(1, math.ceil(n / block))
-
-
-def _spread(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-    """Own block by hash; one copy for every block of the other side."""
-    return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(own_n)).cast("int")).withColumn(
-        other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)))
-    )
-
-
 def nearest(
     train: DataFrame,
     query: DataFrame,
@@ -83,58 +67,27 @@ def nearest(
     carry: Sequence[str] = (),
     distance: str | Metric = "euclidean",
     exclude: str | None = None,
-    train_block: int = 100_000,
+    train_block: int = 2_000,
     query_block: int = 20_000,
 ) -> DataFrame:
     """(query_id, rank, train_id, distance, carried train columns): k nearest, ties by train id.
 
     ``exclude`` names a column of both tables; train rows that share its value with
-    the query (its own fold, say) do not count.
+    the query (its own fold, say) do not count. ``train_block`` is the number of rows
+    wanted in a cell. A callable ``distance`` need not keep the triangle inequality,
+    so every pair is scored with it.
     """
     if isinstance(features, str) or len(features) == 1:
         column = features if isinstance(features, str) else features[0]
         if exclude is None and distance in ("euclidean", "absolute") and train.schema[column].dataType.typeName() != "array":
             return _nearest_on_line(train, query, column, k, train_id, query_id, carry)
-    metric = _metric(distance)
     extra = [exclude] if exclude else []
-    t = train.select(F.col(train_id).alias("id"), vector(train, features).alias("v"), *carry, *[F.col(c).alias("__ex") for c in extra])
-    q = query.select(F.col(query_id).alias("id"), vector(query, features).alias("v"), *[F.col(c).alias("__ex") for c in extra])
-    tn, qn = _blocks(train.count(), train_block), _blocks(query.count(), query_block)
-    left = _spread(q, "qb", qn, "tb", tn)
-    right = _spread(t, "tb", tn, "qb", qn)
-    kinds = dict(train.dtypes)
-    out = f"qid {dict(query.dtypes)[query_id]}, tid {kinds[train_id]}, d double" + "".join(f", {c} {kinds[c]}" for c in carry)
-
-    def best(qp: pd.DataFrame, tp: pd.DataFrame) -> pd.DataFrame:
-        names = ["qid", "tid", "d", *carry]
-        if qp.empty or tp.empty:
-            return pd.DataFrame(columns=names)
-        tp = tp.sort_values("id", kind="stable").reset_index(drop=True)
-        tv = np.array(tp["v"].tolist(), float)
-        parts = []
-        chunk = max(1, 4_000_000 // len(tv))
-        for s in range(0, len(qp), chunk):
-            piece = qp.iloc[s : s + chunk]
-            d = metric(np.array(piece["v"].tolist(), float), tv)
-            if exclude:
-                d[piece["__ex"].to_numpy()[:, None] == tp["__ex"].to_numpy()[None, :]] = np.inf
-            take = min(k, len(tv))
-            # Stable order on id-sorted columns breaks ties by id; the k-th distance keeps all its ties.
-            if take < len(tv):
-                edge = np.partition(d, take - 1, axis=1)[:, take - 1 : take]
-                d = np.where(d <= edge, d, np.inf)
-            order = np.argsort(d, axis=1, kind="stable")[:, :take]
-            dist = np.take_along_axis(d, order, axis=1)
-            rows, cols = np.nonzero(np.isfinite(dist))
-            picked = tp.iloc[order[rows, cols]]
-            frame = {"qid": piece["id"].to_numpy()[rows], "tid": picked["id"].to_numpy(), "d": dist[rows, cols]}
-            parts.append(pd.DataFrame(frame | {c: picked[c].to_numpy() for c in carry}))
-        return pd.concat(parts, ignore_index=True)[names]
-
-    found = left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInPandas(best, out)
-    ranked = nearest_rank(found, "qid", "d", "tid", k)
+    t = train.select(F.col(train_id).alias("id"), vector(train, features).alias("v"), F.struct(F.lit(0).alias("__"), *carry).alias("c"), *[F.col(c).alias("ex") for c in extra])
+    q = query.select(F.col(query_id).alias("id"), vector(query, features).alias("v"), *[F.col(c).alias("ex") for c in extra])
+    known = not callable(distance)
+    ranked = pivot_search(t, q, k, _metric(distance), known, distance == "euclidean", ["c"], train_block, query_block)
     return ranked.select(
-        F.col("qid").alias(query_id), "rank", F.col("tid").alias("neighbour"), F.col("d").alias("distance"), *carry
+        F.col("qid").alias(query_id), "rank", F.col("tid").alias("neighbour"), F.col("d").alias("distance"), *[F.col(f"c.{c}").alias(c) for c in carry]
     )
 
 
