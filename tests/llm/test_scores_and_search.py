@@ -94,15 +94,12 @@ def test_elias_fano_and_level():
 
 
 def brute_top(rows, asks, k):
-    vectors = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            c = [max(-(1 << 27), min(1 << 27, math.floor(256 * float(x)))) for x in v]
-            vectors[i] = min(vectors.get(i, c), c)
-    out = []
-    for q in filter(asks, vectors):
-        scored = [(-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q]
-        out += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k], 1)]
+    usable = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out, top = [], (1 << 63) - 1
+    for at, (q, own) in enumerate(usable):
+        if asks(q):
+            scored = sorted((-sum(a * b for a, b in zip(own, v)), i) for other, (i, v) in enumerate(usable) if other != at)
+            out += [(q, r, i, max(-top - 1, min(top, -s))) for r, (s, i) in enumerate(scored[:k], 1)]
     return sorted(out)
 
 
@@ -112,12 +109,31 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=12).astype(np.float32)]) for i in range(300)]
     rows += [(i, rows[i % 7][1]) for i in range(300, 340)]  # ties
-    rows += [(400, None), (401, [1.0, None]), (402, [float("nan")] * 12), (403, [float("inf")] * 12), (None, [1.0] * 12), (404, []), (410, [1e30] * 12), (5, [0.0] * 12), (5, rows[5][1]), (420, [1.0, 2.0])]
+    rows += [(400, None), (401, [1.0, None]), (402, [float("nan")] * 12), (403, [float("inf")] * 12), (None, [1.0] * 12), (404, []), (420, [1.0, 2.0])]
+    rows += [(5, [0.0] * 12), (5, rows[5][1]), (410, [1e6] * 12), (410, [1e6] * 11 + [-1e6]), (415, [1.0] * 11 + [-1e9])]  # repeated ids, large numbers
+    rows = [(i, v and [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     frame = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, rank int, score long")
-    got = topk.search(frame, F.col("vec_id") % 5 == 0, 4)
+    got = topk.search(frame.repartition(3), F.col("vec_id") % 5 == 0, 4)
     assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, lambda i: i % 5 == 0, 4)
     assert topk.search(frame.limit(0), F.col("vec_id") % 5 == 0).count() == 0
-    assert topk.search(frame.where("vec_id = 5"), F.col("vec_id") % 5 == 0).count() == 0
+    assert topk.search(frame.where("vec_id = 10"), F.col("vec_id") % 5 == 0).count() == 0
+    few = rows[:30] + [(100, [1e30] * 12)]
+    named = spark.createDataFrame([(f"n{i}", v) for i, v in few], "vec_id string, embedding array<double>")
+    got = topk.search(named, F.col("vec_id").endswith("0"), 3)
+    assert sorted(tuple(r) for r in got.collect()) == brute_top([(f"n{i}", v) for i, v in few], lambda i: i.endswith("0"), 3)
+
+
+def test_max_score_leaves_rows_and_probes_out():
+    rng = np.random.default_rng(2)
+    vectors = np.floor(256 * rng.normal(size=(3000, 16)) * np.geomspace(1, 0.01, 16))
+    shard = topk.Shard(list(range(3000)), np.arange(3000), [v.astype("<f8").tobytes() for v in vectors])
+    scores = vectors.astype(np.int64) @ vectors.astype(np.int64).T
+    for q in range(40):
+        want = sorted((-int(s), i) for i, s in enumerate(scores[q]) if i != q)[:5]
+        for threshold in (None, -want[4][0]):
+            assert shard.best(q, vectors[q].astype("<f8").tobytes(), 5, threshold) == [(-s, i) for s, i in want]
+        assert shard.best(q, vectors[q].astype("<f8").tobytes(), 5, 1 - want[0][0]) == []
+    assert shard.candidates < 0.6 * 120 * 3000 and shard.probes < 0.3 * 120 * 3000 * 16
 
 
 def test_quality_held_out(spark):
