@@ -68,6 +68,7 @@ class Shard:
         self.values = np.ascontiguousarray(self.vectors[self.small].astype(np.int64).T)
         self.order = np.argsort(self.values, axis=1, kind="stable")
         self.sorted = np.take_along_axis(self.values, self.order, 1)
+        self.doubles, self.widest = self.values.astype(float), int(np.abs(self.values).max(initial=0))
         self.low, self.high = (self.sorted[:, 0], self.sorted[:, -1]) if len(self.small) else (None, None)
         self.probes = self.candidates = 0
 
@@ -94,6 +95,9 @@ class Shard:
 
     def _max_score(self, weights: np.ndarray, row: int, k: int, threshold: int | None) -> list[Hit]:
         others = self.rows[self.small] != row
+        # Doubles multiply faster and are exact as long as no sum passes 53 bits.
+        exact = self.width * self.widest * int(np.abs(weights).max(initial=0)) < 1 << 53
+        numbers, factors = (self.doubles, weights.astype(float)) if exact else (self.values, weights)
         n = int(others.sum())
         base = int(np.where(weights >= 0, weights * self.low, weights * self.high).sum())
         bounds = np.abs(weights) * (self.high - self.low)
@@ -101,6 +105,12 @@ class Shard:
         below = np.concatenate([[0], np.cumsum(bounds[terms])])  # most that the first terms can give together
         top: list[Hit] = []
 
+        def given(some: np.ndarray, places: np.ndarray) -> np.ndarray:
+            """What some terms give to rows; for many rows a product with whole postings is cheaper than picking."""
+            if 16 * len(places) > len(others):
+                return (factors[some] @ numbers[some])[places].astype(np.int64)
+            return (factors[some] @ numbers[some[:, None], places]).astype(np.int64)
+
         def scored(places: np.ndarray, scores: np.ndarray) -> None:
             nonlocal top, threshold
             top = sorted([*top, *zip(scores.tolist(), places.tolist())], key=lambda h: (-h[0], h[1]))[:k]
@@ -112,7 +122,7 @@ class Shard:
             ends = self.order[lead][::-1] if weights[lead] > 0 else self.order[lead]
             ends = ends[: 4 * k + 1]
             ends = ends[others[ends]]
-            threshold = int(np.sort(weights @ self.values[:, ends])[-k])
+            threshold = int(np.sort(factors @ numbers[:, ends])[-k])
         need = None if threshold is None else threshold - base
         cut = 0 if need is None or need <= 0 else int(np.searchsorted(below, need, "left")) - 1
         if cut == len(terms) and need is not None and need > 0:
@@ -121,25 +131,32 @@ class Shard:
         left = 0 if need is None else need - int(below[cut])
         total = int(bounds[essential].sum())
         if left <= 0 or total == 0:
-            wanted = others.copy()
+            wanted = others
         else:
-            wanted = np.zeros(len(others), bool)
-            for t in essential.tolist():
-                wanted[self._postings(t, int(weights[t]), left * int(bounds[t]) // total)] = True
-            wanted &= others
+            lists = [self._postings(t, int(weights[t]), left * int(bounds[t]) // total) for t in essential.tolist()]
+            if 2 * max(map(len, lists)) > len(others):
+                wanted = others  # one list holds most rows already, so all are read at once
+            else:
+                wanted = np.zeros(len(others), bool)
+                wanted[np.concatenate(lists)] = True
+                wanted &= others
         places = np.flatnonzero(wanted)
         self.candidates += len(places)
-        known = weights[essential] @ (self.values[essential] if len(places) == len(wanted) else self.values[np.ix_(essential, places)])
+        known = given(essential, places)
         after = [int(below[cut])]
         rest = np.where(weights[optional] >= 0, weights[optional] * self.low[optional], weights[optional] * self.high[optional])
         floors = [int(rest.sum())]
         for t, floor in zip(optional.tolist(), rest.tolist()):
             after.append(after[-1] - int(bounds[t]))
             floors.append(floors[-1] - floor)
-        rank = np.argsort(-known, kind="stable")
-        for at in range(0, len(rank), BLOCK):
-            own = rank[at : at + BLOCK]
+        if threshold is not None:
+            open_rows = known + floors[0] + after[0] >= threshold
+            places, known = places[open_rows], known[open_rows]
+        rank, at, size = np.argsort(-known, kind="stable"), 0, BLOCK
+        while at < len(rank):
+            own = rank[at : at + size]
             block, partial = places[own], known[own]
+            at, size = at + size, len(rank)
             if threshold is not None and int(partial[0]) + floors[0] + after[0] < threshold:
                 break
             for done in range(0, len(optional), STEP):
@@ -148,7 +165,7 @@ class Shard:
                     block, partial = block[alive], partial[alive]
                 probe = optional[done : done + STEP]
                 self.probes += len(block) * len(probe)
-                partial = partial + weights[probe] @ self.values[np.ix_(probe, block)]
+                partial = partial + given(probe, block)
             if threshold is not None:
                 block, partial = block[partial >= threshold], partial[partial >= threshold]
             scored(self.small[block], partial)
