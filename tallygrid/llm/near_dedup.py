@@ -9,7 +9,7 @@ that could join two components is left out, save with the probabilities of bandi
 
 A bucket or a component that outgrows ``CELL_ROWS`` is dealt over cells that together hold all of its pairs. Classes are known by a
 64-bit hash of their set. Defined results: texts without words have an empty set, no links, and are their own component; rows with
-one id are one document; a null id has no component and is kept; an empty table gives an empty result. Other columns are ignored
+one id are one document, so its texts, empty ones too, share a component; a null id has no component and is kept; an empty table gives an empty result. Other columns are ignored
 by ``duplicates`` and kept by ``keep_first``.
 """
 
@@ -215,6 +215,10 @@ def duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col:
     """Per document: size of its set, smallest id it is linked with by any number of steps, and whether it is that id."""
     signed = stored(_signatures(docs, id_col, text_col, width, threshold), "signatures")
     classes = stored(signed.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("first")), "classes")
+    many = signed.where("id is not null").groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("texts"))
+    many = stored(many.where("texts > 1 and low is not null").select(F.col("id").alias("of"), "low", "high"), "repeated-ids")
+    tied = signed.join(many.where("low <> high"), F.col("id") == F.col("of")).where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    tied = stored(tied, "texts-of-one-id")
     key = Window.partitionBy("key")
     keys = signed.where("bands is not null").select(F.posexplode("bands").alias("band", "key"), "node")
     shared = keys.select("key", "band", "node", F.min("node").over(key).alias("low"), F.max("node").over(key).alias("high")).where("low <> high")
@@ -223,6 +227,7 @@ def duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col:
     texts = docs.select(id_col, text_col).join(wanted.hint("shuffle_hash"), F.col(id_col) == F.col(wanted.columns[0]), "left_semi")
     sets = stored(_full_sets(texts.select(text_col), width, threshold).dropDuplicates(["node"]), "shingle-sets")
     first = stored(verified(stored(_candidates(members, sets, None, threshold, forest), "candidates"), sets, None, threshold), "verified")
+    first = first.union(tied)
     roots = stored(components(first), "roots")
     rest = stored(_candidates(members, sets, roots, threshold, open_pairs), "candidates")
     more = stored(verified(rest, sets, roots, threshold), "verified")
@@ -230,7 +235,8 @@ def duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col:
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = stored(rooted.select("node", "root").join(least, "root").select(F.col("node").alias("named"), "component_id"), "components")
-    out = signed.select("id", "n", "node").join(named, F.col("node") == F.col("named"), "left")
+    out = signed.select("id", "n", "node").join(many.select("of", "low"), F.col("id") == F.col("of"), "left")
+    out = out.withColumn("node", F.coalesce("node", "low")).join(named, F.col("node") == F.col("named"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

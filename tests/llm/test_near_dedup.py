@@ -73,6 +73,16 @@ def test_null_id(spark):
     assert rows == {None: (None, True), 1: (1, True), 2: (1, False)}
 
 
+def test_texts_of_one_id_share_a_component(spark):
+    rows = [(5, "a b c d"), (5, "x y z w"), (3, "x y z w"), (8, "a b c d"), (9, ""), (9, "q r s t"), (2, "q r s t"), (7, ""), (7, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want, _ = brute(rows, 3, 85)
+    want = {**want, 5: 3, 8: 3}
+    got = near_dedup.duplicates(docs, 3, 0.85).collect()
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] and r.kept == (r.doc_id == r.component_id) for r in got)
+    assert sorted(r.doc_id for r in near_dedup.keep_first(docs, 3, 0.85).collect()) == [2, 3, 6, 7, 7]
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     for n, share in ((2000, 0.9), (300, 0.5), (12, 0.75)):
