@@ -9,6 +9,9 @@ outline's order is read with the template: blocks made of its text tokens are fi
 extracted. A slot that lies in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments,
 by the elements around it, is not main text. Where slots lie in an ``article`` or ``main`` element, only those are taken.
 
+Names of classes, ids and roles are weaker than elements. They never take ``html``, ``body``, ``main`` or an outermost ``article``. A whole name
+takes any other container. A part of a name (``related`` of ``related-work``) is a hint: it takes its container only if the page has main text without it.
+
 Labels go only where the template leaves variable slots on most distinct pages of the host; within articles these slots must hold at least
 as much text as the labels, so what near copies of one article share stays.
 
@@ -48,6 +51,10 @@ CHROME_WORDS = frozenset(
 )
 #: Names that mean page furniture only outside an article.
 HEADER_WORDS = frozenset(["header", "topbar"])
+#: Elements that no name takes; an article within another can be a comment.
+FRAME = frozenset(["html", "body", "main", "article"])
+#: How surely a text is furniture.
+NO, HINTED, SURE = range(3)
 RAW = frozenset(["script", "style", "textarea", "title", "template", "noscript", "iframe"])
 CONTAINERS = frozenset("html head body nav header footer aside form main article section div ul ol dl table tbody thead tfoot tr blockquote figure dialog menu fieldset details".split()) | CHROME_TAGS
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre br hr figcaption caption address summary legend option".split())
@@ -58,13 +65,13 @@ NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 WORDS = re.compile(r"[a-z]+")
 
 
-def events(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
-    """(kind, path, text, in furniture, in an article) of each block tag ("tag") and text node ("text"), in page order."""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, furniture, article
+def events(page: str) -> Iterator[tuple[str, str, str, int, bool]]:
+    """(kind, path, text, how surely in furniture, in an article) of each block tag ("tag") and text node ("text"), in page order."""
+    stack: list[tuple[str, str, int, bool]] = []  # name, path, furniture, article
     at = 0
     end = len(page)
     while at < end:
-        path, furniture, article = stack[-1][1:] if stack else ("", False, False)
+        path, furniture, article = stack[-1][1:] if stack else ("", NO, False)
         match = MARKUP.search(page, at)
         if (text := page[at : match.start() if match else end]) and not text.isspace():
             yield "text", path, text, furniture, article
@@ -91,15 +98,30 @@ def events(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         own = f"{path}>{name}"
         if name in CONTAINERS:
             named = " ".join("".join(m) for m in NAMES.findall(attributes)).lower()
-            words = set(WORDS.findall(named))
-            furniture = furniture or name in CHROME_TAGS or bool(words & CHROME_WORDS) or (not article and (name == "header" or bool(words & HEADER_WORDS)))
-            article = article or name in ("article", "main") or "main" in words and name in ("div", "section") and not furniture
+            furniture = max(furniture, _furniture(name, named, article))
+            article = article or name in ("article", "main") or "main" in named.split() and name in ("div", "section") and not furniture
             own = f"{own}.{named}" if named else own
             if not attributes.rstrip().endswith("/"):
                 stack.append((name, own, furniture, article))
         yield "tag", own, "", furniture, article
 
 
+def _furniture(name: str, named: str, article: bool) -> int:
+    words = CHROME_WORDS if article else CHROME_WORDS | HEADER_WORDS
+    if name in CHROME_TAGS or (name == "header" and not article):
+        return SURE
+    if name in FRAME and not (name == "article" and article):
+        return NO
+    if not words.isdisjoint(named.split()):
+        return SURE
+    return NO if words.isdisjoint(WORDS.findall(named)) else HINTED
+
+
+def weakest(found: list[tuple[str, str, str, int, bool]]) -> int:
+    """What still counts as main text: hinted furniture too where a page has nothing else."""
+    return NO if any(kind == "text" and furniture == NO for kind, _, _, furniture, _ in found) else HINTED
+
+
 def token(kind: str, path: str, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind}\0{path}\0{' '.join(text.split())}".encode())
 
@@ -123,8 +145,8 @@ def _distinct(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
                 if key not in seen:
                     seen.add(key)
                     found = list(events(page.decode()))
-                    only_article = has_article(found)
-                    sizes = [TAG if kind == "tag" else len(" ".join(text.split())) if not furniture and (article or not only_article) else ASIDE for kind, _, text, furniture, article in found]
+                    only_article, kept = has_article(found), weakest(found)
+                    sizes = [TAG if kind == "tag" else len(" ".join(text.split())) if furniture <= kept and (article or not only_article) else ASIDE for kind, _, text, furniture, article in found]
                     rows.append((*key, only_article, np.array([token(*e[:3]) for e in found], np.uint64).tobytes(), np.array(sizes, np.int32).tobytes()))
             columns = zip(*rows) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
@@ -231,24 +253,25 @@ def _labels(tokens: list[int], outline: list[int] | None, nested: list[int] | No
     return frozenset()
 
 
-def has_article(found: list[tuple[str, str, str, bool, bool]]) -> bool:
-    return any(kind == "text" and article and not furniture for kind, _, _, furniture, article in found)
+def has_article(found: list[tuple[str, str, str, int, bool]]) -> bool:
+    kept = weakest(found)
+    return any(kind == "text" and article and furniture <= kept for kind, _, _, furniture, article in found)
 
 
 def main_text(page: str, outline: list[int] | None, nested: list[int] | None, article_labels: bool = True, other_labels: bool = True) -> str:
     """The blocks of main text of a page, with the template of its host if the page keeps to it."""
     found = list(events(page))
-    only_article = has_article(found)
+    only_article, kept = has_article(found), weakest(found)
     labels: frozenset[int] = frozenset()
     if outline and (article_labels if only_article else other_labels):
         labels = _labels([token(*e[:3]) for e in found], outline, nested)
     blocks, open_, fixed = [], [], True
-    for kind, path, text, furniture, article in [*found, ("tag", "", "", False, False)]:
+    for kind, path, text, furniture, article in [*found, ("tag", "", "", NO, False)]:
         if kind == "tag":
             if not fixed:  # a block of labels only belongs to the template
                 blocks.append("".join(open_))
             open_, fixed = [], True
-        elif not furniture and (article or not only_article):
+        elif furniture <= kept and (article or not only_article):
             open_.append(text)
             fixed = fixed and bool(labels) and token(kind, path, text) in labels
     cleaned = (" ".join(html.unescape(b).split()) for b in blocks if b)

@@ -76,3 +76,43 @@ def test_copies_change_no_text(spark):
 def test_every_sample_page(small):
     rows = pages.extract(small("pages")).join(small("pages").select("page_id", "html"), "page_id").collect()
     assert rows and all(r.text and "<" not in r.text[:1] and "track(" not in r.text for r in rows)
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<body class="page has-sidebar"><article><p>Hi there', "Hi there"),
+    ('<html class="menu"><body id="search"><p>Hi there', "Hi there"),
+    ('<article class="post comments-open"><p>Hi there', "Hi there"),
+    ('<main class="search-results" role="main"><p>Hi there', "Hi there"),
+    ('<div class="social-science"><p>Hi there', "Hi there"),
+    ('<nav>Menu</nav><main><div class="related-work"><p>Hi there', "Hi there"),
+    ('<div><p>Hi there</p></div><div class="related-posts"><p>Other</div>', "Hi there"),
+    ('<article><p>Hi there</p><article class="comment"><p>Nice</article></article>', "Hi there"),
+    ('<div class="menu">Only</div>', ""),
+])
+def test_names_do_not_empty_pages(page, want):
+    assert pages.main_text(page, None, None) == want
+
+
+def brute_template(found):
+    """Text tokens with the same count on all pages of a host, compared page by page."""
+    counts = [{t: own.count(t) for t in own} for own in found]
+    return {t for t in counts[0] if all(c.get(t) == counts[0][t] for c in counts)}
+
+
+def test_template_alone_tells_text_from_chrome(spark):
+    """No element or name tells chrome from text: what repeats on the host goes, what varies stays."""
+    def build(host, n):
+        rows = "".join(f"<div><p>{host} item {n} {k}</p></div>" for k in range(1 + n % 3))
+        return f"<html><body><div>{host} home</div><div>Products</div><div><h1>{host} story {n}</h1><p>Text of {n} at length.</p></div>{rows}<div>Terms of {host}</div></body></html>"
+
+    docs = [(100 * h + n, f"http://h{h}.example/{n}", build(f"h{h}", n)) for h in range(3) for n in range(10)]
+    frame = spark.createDataFrame(docs, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in pages.extract(frame).collect()}
+    for h in range(3):
+        own = {i: list(pages.events(page)) for i, url, page in docs if url.startswith(f"http://h{h}.")}
+        fixed = brute_template([[e[:3] for e in found if e[0] == "text"] for found in own.values()])
+        assert len(fixed) == 3
+        for i, found in own.items():
+            assert got[i] == "\n".join(e[2] for e in found if e[0] == "text" and e[:3] not in fixed)
+    bare = {i: pages.main_text(page, None, None) for i, _, page in docs}
+    assert all(bare[i] != got[i] for i in got)
