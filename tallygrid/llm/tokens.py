@@ -18,16 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from tallygrid.llm.textkit import MAX_CACHED_WORDS, byte_strings, chunks
+from tallygrid.llm.textkit import MAX_CACHED_WORDS, byte_strings, chunks, starts_of
 
 #: Pre-tokens of lower-cased text, as the tokenizer file states them (a fixed value).
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Pieces whose normalization is plain lower-casing: printable ASCII and composed Latin-1 letters. The library sees all others whole.
 PLAIN = regex.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+#: Printable ASCII without letters and digits.
+MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 END_OF_WORD = "</w>"
 
 #: Spark's tasks already fill the cores.
@@ -73,15 +76,20 @@ class Pieces(dict):
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
 
-    def split(self, texts: list[bytes]) -> Iterator[list[bytes]]:
-        """The pieces of each text, all of them known afterwards."""
+    def coded(self, texts: list[bytes]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+        """For groups of texts: what their distinct pieces come to, the number of each piece in order, where each text begins."""
         for lo, hi in chunks(texts):
-            lists = [t.split() for t in texts[lo:hi]]
-            seen = set().union(*lists)
+            lists = pc.ascii_split_whitespace(pa.array(texts[lo:hi], pa.binary()).cast(pa.string()))
+            pieces = lists.values.dictionary_encode()
+            seen = pieces.dictionary.cast(pa.binary()).to_pylist()  # an empty piece, at the ends of a text, has no tokens
             if len(self) + len(seen) > 2 * MAX_CACHED_WORDS:
                 self.clear()
-            self.learn([p for p in seen if p not in self])
-            yield from lists
+            values = list(map(self.get, seen))
+            new = [i for i, v in enumerate(values) if v is None]
+            self.learn([seen[i] for i in new])
+            for i in new:
+                values[i] = self[seen[i]]
+            yield values, pieces.indices.to_numpy(), lists.offsets.to_numpy()
 
     def learn(self, new: list[bytes]) -> None:
         raise NotImplementedError
@@ -122,10 +130,10 @@ class Merger:
         tokens[ends] = self.last[letters[ends]]
         word = np.repeat(np.arange(len(words)), lengths)
         finished = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        rank = np.full(len(tokens), none)
+        stale = np.flatnonzero(word[1:] == word[:-1])  # places whose pair with the next token is new
         while len(tokens):
-            rank = np.full(len(tokens), none)
-            inside = np.flatnonzero(word[1:] == word[:-1])
-            rank[inside] = self._rank(tokens[inside], tokens[inside + 1])
+            rank[stale] = self._rank(tokens[stale], tokens[stale + 1])
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             least = np.minimum.reduceat(rank, first)
             spans = np.diff(np.append(first, len(tokens)))
@@ -140,7 +148,12 @@ class Merger:
             tokens[hit] = self.made[rank[hit]]
             keep = ~done
             keep[hit + 1] = False
-            tokens, word = tokens[keep], word[keep]
+            rank[hit] = none
+            changed = np.zeros(len(tokens), bool)
+            changed[hit] = True
+            tokens, word, rank, changed = tokens[keep], word[keep], rank[keep], changed[keep]
+            changed[:-1] |= changed[1:]
+            stale = np.flatnonzero(changed[:-1] & (word[1:] == word[:-1]))
         owner, tokens = (np.concatenate(parts) for parts in zip(*finished))
         order = np.argsort(owner, kind="stable")
         return tokens[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
@@ -159,34 +172,59 @@ class Learned(Pieces):
         raise NotImplementedError
 
     def learn(self, new: list[bytes]) -> None:
-        single, several, odd = {}, {}, []
+        plain, cores, heads, tails, several, odd = [], [], [], [], {}, []
         for piece in new:
             if piece.isalpha():  # ASCII letters only
-                single[piece] = piece.lower()
-                continue
-            text = piece.decode()
-            if PLAIN.fullmatch(text) and "<|" not in text:
-                several[piece] = [p.encode() for p in PRE_TOKEN.findall(text.lower())]
+                core, head, tail = piece.lower(), b"", b""
             else:
-                odd.append(piece)
-        rest = list({*single.values(), *(p for parts in several.values() for p in parts)} - self.whole.keys())
-        tokens, begin = self.merger.merge(rest)
-        ids = tokens.astype(self.dtype).tobytes()
-        at = (begin * self.dtype.itemsize).tolist()
-        known = {p: ids[a:b] for p, a, b in zip(rest, at, at[1:])}
-        whole, value = self.whole, self.value
-        for piece, part in single.items():
-            self[piece] = value(known[part] if part in known else whole[part])
+                after = piece.lstrip(MARKS)
+                core = after.rstrip(MARKS)
+                head, tail = piece[: len(piece) - len(after)], after[len(core) :]
+                if not core.isalpha() or b"'" in head or b"<|" in piece:
+                    text = piece.decode()
+                    if not PLAIN.fullmatch(text) or "<|" in text:
+                        odd.append(piece)
+                        continue
+                    if not text.isalpha():
+                        several[piece] = [p.encode() for p in PRE_TOKEN.findall(text.lower())]
+                        continue
+                    core, head, tail = text.lower().encode(), b"", b""
+                else:
+                    core = core.lower()
+            plain.append(piece)
+            cores.append(core)
+            heads.append(head)
+            tails.append(tail)
+        need = {*cores, *heads, *tails, *(p for parts in several.values() for p in parts)}
+        need.discard(b"")
+        known = self.known(list(need.difference(self.whole)))
+        known.update((p, self.whole[p]) for p in need.intersection(self.whole))
+        known[b""] = b""
+        for piece, core, head, tail in zip(plain, cores, heads, tails):
+            self[piece] = self.value(known[head] + known[core] + known[tail])
         for piece, parts in several.items():
-            self[piece] = value(b"".join([known[p] if p in known else whole[p] for p in parts]))
+            self[piece] = self.value(b"".join([known[p] for p in parts]))
         for piece, e in zip(odd, self.tokenizer.encode_batch_fast([p.decode() for p in odd], add_special_tokens=False)):
-            self[piece] = value(np.array(e.ids, self.dtype).tobytes())
+            self[piece] = self.value(np.array(e.ids, self.dtype).tobytes())
+
+    def known(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of lower-cased pre-tokens by merging."""
+        tokens, begin = self.merger.merge(words)
+        ids = tokens.astype(self.dtype).tobytes()
+        at = (begin * self.dtype.itemsize).tolist()
+        return {p: ids[a:b] for p, a, b in zip(words, at, at[1:])}
 
 
 class Counts(Learned):
     def value(self, ids: bytes) -> int:
         return len(ids) // self.dtype.itemsize
 
+    def of(self, texts: list[bytes]) -> np.ndarray:
+        parts = [np.zeros(0, np.int64)]
+        for values, codes, begin in self.coded(texts):
+            parts.append(np.diff(starts_of(np.array(values, np.int64)[codes])[begin]))
+        return np.concatenate(parts)
+
 
 class Ids(Learned):
     """Token ids of pieces as little-endian bytes of ``dtype``."""
@@ -195,8 +233,15 @@ class Ids(Learned):
         return ids
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
-        for pieces in self.split(texts):
-            yield b"".join(map(self.__getitem__, pieces))
+        for values, codes, begin in self.coded(texts):
+            flat = np.frombuffer(b"".join(values), self.dtype)
+            sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+            length = sizes[codes]
+            ends = starts_of(length)
+            shift = starts_of(sizes)[codes] - ends[:-1]
+            ids = flat[np.repeat(shift, length) + np.arange(ends[-1])]
+            at = ends[begin].tolist()
+            yield from (ids[a:b].tobytes() for a, b in zip(at, at[1:]))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +255,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
         counts = _counters[path]
         for batch in batches:
             texts = byte_strings(batch.column(1))
-            n = np.fromiter((sum(map(counts.__getitem__, pieces)) for pieces in counts.split(texts)), np.int64, len(texts))
+            n = counts.of(texts)
             columns = [pa.array(np.fromiter(map(len, texts), np.int64, len(texts))), pa.array(n), pa.array(n > limit)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
