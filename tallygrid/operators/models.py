@@ -8,8 +8,7 @@ from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import RFormula, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -17,6 +16,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallygrid.operators.clusters import fit_centres
 from tallygrid.operators.evaluation import evaluate
 from tallygrid.operators.frames import label_by_threshold
 from tallygrid.operators.gram import complete_rows
@@ -295,35 +295,29 @@ def kmeans_auto(
     """Cluster standardized features with the k of the highest silhouette (first on a tie).
 
     Returns the rows with ``cluster`` and the table (k, measure, silhouette, chosen).
-    The silhouette takes squared Euclidean distances, which need cluster sums only.
+    All k share the scans: one for each step of the fits, one for the sums of the clusters and one for the silhouettes,
+    which take squared Euclidean distances and so need these sums only.
     """
     d = complete_rows(df, features)
     n = d.count()
     if n < 5:
         raise ValueError(f"{n} complete rows; clustering needs at least 5")
+    z = [f"{c}__z" for c in features]
     std = standardize(d, features, 0, "__z")
-    x = VectorAssembler(inputCols=[f"{c}__z" for c in features], outputCol="__x").transform(std)
-    x = x.drop(*[f"{c}__z" for c in features]).persist(StorageLevel.MEMORY_AND_DISK)
-    models = {}
+    x = std.select(row_id, *z).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        labelled = x
-        for k in ks:
-            if k < n:
-                models[k] = KMeans(k=k, seed=seed, featuresCol="__x", predictionCol=f"__k{k}").fit(x)
-                labelled = models[k].transform(labelled)
-        sizes = labelled.agg(*[F.count_distinct(f"__k{k}").alias(f"__k{k}") for k in models]).first() if models else {}
-        usable = [k for k in models if sizes[f"__k{k}"] >= 2]
-        judge = ClusteringEvaluator(featuresCol="__x", distanceMeasure="squaredEuclidean")
-        scores = [(k, judge.setPredictionCol(f"__k{k}").evaluate(labelled)) for k in usable]
+        tried = [k for k in dict.fromkeys(ks) if k < n]
+        centres = fit_centres(x, z, row_id, tried, seed) if tried else None
+        scores = centres.silhouettes(x) if centres else {}
     finally:
         x.unpersist()
     if not scores:
         raise ValueError("no k gave at least two clusters")
-    best = max(scores, key=lambda s: (s[1], -s[0]))[0]
+    best = max(scores, key=lambda k: (scores[k], -k))
     table = df.sparkSession.createDataFrame(
-        [(k, "squaredEuclidean", float(v), k == best) for k, v in scores], "k int, measure string, silhouette double, chosen boolean"
+        [(k, "squaredEuclidean", float(v), k == best) for k, v in scores.items()], "k int, measure string, silhouette double, chosen boolean"
     )
-    return models[best].setPredictionCol("cluster").transform(x).drop("__x"), table
+    return std.withColumn("cluster", centres.nearest(best)).drop(*z), table
 
 
 def mean_model(train: DataFrame, query: DataFrame, y: str, out: str = "y_hat") -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrid.operators import evaluation as ev
-from tallygrid.operators import models, nearest, windows
+from tallygrid.operators import clusters, models, nearest, windows
 
 
 @pytest.fixture(scope="module")
@@ -226,6 +226,37 @@ def test_kmeans(spark):
         models.kmeans_auto(df.limit(4), ["a", "b"], "id")
 
 
+def test_shared_kmeans_passes(spark):
+    """Steps against the same steps in numpy, silhouettes against their definition over all pairs; ties, repeated rows, a lone row."""
+    rng = np.random.default_rng(5)
+    data = np.vstack([rng.normal(0, 1, (60, 3)), rng.normal(4, 1, (50, 3)), np.zeros((10, 3)), [[40.0, 40.0, 40.0]]])
+    x = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(data)], "id int, a double, b double, c double").repartition(4)
+    start = {k: data[rng.choice(60, k, replace=False)] for k in (1, 2, 4)}
+    got = clusters.Centres(start, ["a", "b", "c"]).sums(x)
+    near = {k: ((data[:, None] - c) ** 2).sum(2).argmin(1) for k, c in start.items()}
+    for k, own in near.items():
+        want = [[(own == j).sum(), *data[own == j].sum(0), (data[own == j] ** 2).sum()] for j in range(k)]
+        assert np.allclose(got[k], want)
+    fitted = clusters.fit_centres(x, ["a", "b", "c"], "id", (1, 2, 3, 4), max_iter=50)
+    scores = fitted.silhouettes(x)
+    assert sorted(scores) == [2, 3, 4]
+    gaps = ((data[:, None] - data) ** 2).sum(2)
+    for k, score in scores.items():
+        own = ((data[:, None] - fitted.models[k]) ** 2).sum(2).argmin(1)
+        assert np.allclose([data[own == j].mean(0) for j in range(k)], fitted.models[k], atol=1e-3)
+        values = []
+        for i in range(len(data)):
+            mean = [gaps[i, own == j].sum() / max((own == j).sum() - (own[i] == j), 1) for j in range(k)]
+            a, b = mean[own[i]], min(m for j, m in enumerate(mean) if j != own[i])
+            values.append(0.0 if (own == own[i]).sum() == 1 else (b - a) / max(a, b))
+        assert score == pytest.approx(np.mean(values), abs=1e-9)
+    assert 1 in [(((data[:, None] - fitted.models[3]) ** 2).sum(2).argmin(1) == j).sum() for j in range(3)]
+    same = spark.createDataFrame([(i, 1.0) for i in range(9)], "id int, a double")
+    assert len(clusters.fit_centres(same, ["a"], "id", (3,)).models[3]) == 1
+    with pytest.raises(ValueError):
+        models.kmeans_auto(same, ["a"], "id")
+
+
 def test_scoring_keeps_every_row(classes, spark):
     odd = spark.createDataFrame([(9001, None, 1.0, "a", 1), (9002, float("nan"), 1.0, "a", 0), (9003, 0.5, 1.0, "never seen", None), (9004, 0.5, 1.0, None, 1)], "id int, u double, v double, g string, y int")
     kinds = dict(classes.dtypes)
