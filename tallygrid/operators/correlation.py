@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,8 +77,13 @@ def partial_corr(df: DataFrame, y: str, x: str, controls: Sequence[str]) -> Data
     return df.sparkSession.createDataFrame([(m.n, r, p)], "n bigint, r double, p double")
 
 
-#: Rows of replicates that one job pairs.
+#: Pairs that a task makes, about.
 PAIRED_ROWS = 1_000_000_000
+#: Places of a tile, and of a row that carries a piece of it.
+TILE = 1 << 22
+PIECE = 1 << 16
+#: Pairs that are worked on at a time, so that they stay in the processor's cache.
+AT_ONCE = 1 << 15
 #: Modulus of the arithmetic in a permutation's rounds; products of two remainders fit a long.
 PRIME = (1 << 31) - 1
 ROUNDS = 6
@@ -145,12 +152,148 @@ def permuted(df: DataFrame, pos: str, replicate: str, n: int, seed: int, out: st
     return df.withColumn(out, F.coalesce(F.col(out), F.lit(-1).cast("long"))).drop(*steps)
 
 
+class Grid:
+    """Places 0 … n-1 as rows of a grid: ``a`` rows of ``b`` places, of which the last row may lack some. Tables of a permutation's rounds."""
+
+    def __init__(self, n: int, seed: int):
+        self.n, self.seed = n, seed
+        self.b = math.isqrt(n - 1) + 1 if n > 1 else 1
+        self.a = -(-n // self.b)
+
+    def rounds(self, replicate: int) -> list[np.ndarray]:
+        """What each round adds to a digit, by the other digit (see ``permuted``).
+
+        Digits are not reduced between rounds but grow by one base each time; the tables repeat as often as that asks for.
+        """
+        tables = []
+        for r in range(ROUNDS):
+            own, other = (self.a, self.b) if r % 2 else (self.b, self.a)
+            key = (replicate * 1_000_003 + self.seed % PRIME + r * 7_368_787) % PRIME
+            v = np.arange(own, dtype=np.int64)
+            t = (v + key) % PRIME
+            u = (t * t + key * 48271 + v) % PRIME
+            tables.append(np.tile((u * u + 69621) % PRIME % other, (r + 3) // 2))
+        return tables
+
+    def returned(self, tables: list[np.ndarray]) -> np.ndarray:
+        """Where the places from n to the end of the last row lead, after as many permutations as bring them below n.
+
+        Those that come round to themselves without (no place below n leads there) stay.
+        """
+        at = np.arange(self.n, self.a * self.b)
+        out = np.arange(len(at))
+        where = at.copy()
+        while len(out):
+            left, right = np.divmod(where[out], self.b)
+            for r, table in enumerate(tables):
+                if r % 2:
+                    right = (right + table[left]) % self.b
+                else:
+                    left = (left + table[right]) % self.a
+            where[out] = left * self.b + right
+            out = out[(where[out] >= self.n) & (where[out] != at[out])]
+        return where
+
+    def sums(self, replicates: Sequence[int], x: np.ndarray, x_row: int, y: np.ndarray, y_row: int) -> np.ndarray:
+        """Sum over places of x · y at the permuted place, for each replicate; of those in the rows of x that go to the rows of y.
+
+        ``x`` and ``y`` are whole rows from ``x_row`` and ``y_row`` on, with zeros where there is no place.
+        """
+        a, b, n = self.a, self.b, self.n
+        x_rows, y_rows = len(x) // b, len(y) // b
+        # After the rows of y follow one of zeros, for places of other rows, and the last row of the grid, if it is another.
+        held = np.concatenate([y, np.zeros(2 * b)])
+        home = np.full(a, y_rows * b)
+        home[y_row : y_row + y_rows] = np.arange(y_rows) * b
+        if y_row + y_rows < a:
+            home[a - 1] = (y_rows + 1) * b
+        tail = slice(home[a - 1] + n - (a - 1) * b, home[a - 1] + b)
+        starts, ends = np.tile(home, 4), np.tile(np.arange(b), 4)
+        step = max(1, AT_ONCE // b)
+        rows, columns = np.arange(x_row, x_row + x_rows)[:, None], np.arange(b)[None, :]
+        left, right, added = (np.empty((step, b), np.int64) for _ in range(3))
+        met = np.empty((step, b))
+        out = np.zeros(len(replicates))
+        for i, replicate in enumerate(replicates):
+            tables = self.rounds(replicate)
+            to = self.returned(tables)
+            inside = (to >= y_row * b) & (to < (y_row + y_rows) * b)
+            held[tail] = np.where(inside, y[np.where(inside, to - y_row * b, 0)], 0.0)
+            total = 0.0
+            for at in range(0, x_rows, step):
+                m = min(step, x_rows - at)
+                l, r, t, v = left[:m], right[:m], added[:m], met[:m]
+                np.add(rows[at : at + m], tables[0], out=l)
+                np.take(tables[1], l, out=r, mode="clip")
+                r += columns
+                for number in range(2, ROUNDS):
+                    moved, by = (r, l) if number % 2 else (l, r)
+                    np.take(tables[number], by, out=t, mode="clip")
+                    moved += t
+                np.take(starts, l, out=t, mode="clip")
+                np.take(ends, r, out=l, mode="clip")
+                t += l
+                np.take(held, t, out=v, mode="clip")
+                total += float(x[at * b : (at + m) * b] @ v.ravel())
+            out[i] = total
+        return out
+
+
+def permuted_sums(placed: DataFrame, n: int, B: int, seed: int, tile: int = TILE, piece: int = PIECE) -> DataFrame:
+    """(b, s) from (pos, x, y): the sum of x · y at the permuted place for each of B replicates.
+
+    A task holds some replicates, a tile of x and a tile of y. The arithmetic is that of ``permuted``, with the rounds of a replicate in tables
+    of about √n numbers. Pieces of x and y travel as bytes, not row by row.
+    """
+    spark = placed.sparkSession
+    grid = Grid(n, seed)
+    piece_rows = max(1, piece // grid.b)
+    size = piece_rows * grid.b
+    per_tile = max(1, tile // size)
+    tiles = -(-(-(-n // size)) // per_tile)
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        at = rows.column("pos").to_numpy() - key[0].as_py() * size
+        parts = []
+        for name in ("x", "y"):
+            values = np.zeros(size)
+            values[at] = rows.column(name).to_numpy()
+            parts.append(values.tobytes())
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "x": pa.array([parts[0]], pa.binary()), "y": pa.array([parts[1]], pa.binary())})
+
+    pieces = placed.withColumn("piece", F.floor(F.col("pos") / F.lit(size))).groupBy("piece").applyInArrow(pack, "piece long, x binary, y binary")
+    pieces = stored(pieces, "places").withColumn("own", F.floor(F.col("piece") / F.lit(per_tile)))
+    groups = max(1, min(B, max(4 * spark.sparkContext.defaultParallelism, min(n, tile) * B // PAIRED_ROWS)))
+    numbered = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    sides = [
+        pieces.select(F.lit(side).alias("side"), "piece", F.col(side).alias("v"), F.col("own").alias(own), numbered(tiles).alias(other)).select("side", "piece", "v", "i", "j")
+        for side, own, other in (("x", "i", "j"), ("y", "j", "i"))
+    ]
+    sent = sides[0].unionByName(sides[1]).withColumn("g", numbered(groups))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        g = key[0].as_py()
+        held = {}
+        for side, number, data in zip(*(rows.column(c).to_pylist() for c in ("side", "piece", "v"))):
+            held.setdefault(side, []).append((number, data))
+        x, y = (np.concatenate([np.frombuffer(data) for _, data in sorted(held[side])]) for side in ("x", "y"))
+        first = [min(held[side])[0] * piece_rows for side in ("x", "y")]
+        # The last piece is filled up to whole pieces; the grid ends before.
+        x, y = (v[: (grid.a - row) * grid.b] for v, row in zip((x, y), first))
+        replicates = range(g, B, groups)
+        return pa.table({"b": pa.array(list(replicates), pa.int64()), "s": pa.array(grid.sums(replicates, x, first[0], y, first[1]))})
+
+    keys = ["g", "i", "j"]
+    cells = sent.repartition(groups * tiles * tiles, *keys).groupBy(*keys).applyInArrow(run, "b long, s double")
+    return cells.groupBy("b").agg(F.sum("s").alias("s"))
+
+
 def permutation_corr_test(df: DataFrame, x: str, y: str, row_id: str, B: int = 10_000, seed: int = 123) -> DataFrame:
     """Two-sided permutation p-value of Pearson's r: (1 + #{|r*| ≥ |r|}) / (B + 1).
 
     Rows are numbered along ``row_id`` once. In each of B replicates the row at place i meets the y at place π(i), where π is a keyed
-    bijection that is computed and not sorted (see ``permuted``). At every size it is the same join of places and the same sums;
-    a job takes as many replicates as make about ``PAIRED_ROWS`` pairs.
+    bijection that is computed and not sorted (see ``permuted``). At every size the pairs are met and summed inside tasks that hold
+    a tile of each side (see ``permuted_sums``); pairs are never rows.
     """
     both = complete_rows(df, [x, y]).select(
         F.col(row_id).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
@@ -164,13 +307,6 @@ def permutation_corr_test(df: DataFrame, x: str, y: str, row_id: str, B: int = 1
     r = float(m.cross[0, 1] / scale)
     limit = abs(m.cross[0, 1]) * (1 - 1e-12)
     centred = both.select("id", (F.col("x") - float(m.mean[0])).alias("x"), (F.col("y") - float(m.mean[1])).alias("y"))
-    placed = stored(row_numbers(centred, "id", "pos").select((F.col("pos") - 1).alias("pos"), "x", "y"), "places")
-    # The explosion into replicates would stay in the few tasks that read a small table.
-    dealt = placed.repartition(max(spark.sparkContext.defaultParallelism, m.n // 100_000), "pos")
-    hits, batch = 0, max(1, PAIRED_ROWS // m.n)
-    for start in range(0, B, batch):
-        copies = dealt.select("pos", "x", F.explode(F.sequence(F.lit(start), F.lit(min(start + batch, B) - 1))).alias("b"))
-        moved = permuted(copies, "pos", "b", m.n, seed, "at").select("b", "x", F.col("at").alias("pos"))
-        sums = moved.join(placed.select("pos", "y"), "pos").groupBy("b").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-        hits += sums.filter(F.abs("s") >= limit).count()
+    placed = row_numbers(centred, "id", "pos").select((F.col("pos") - 1).alias("pos"), "x", "y")
+    hits = permuted_sums(placed, m.n, B, seed).filter(F.abs("s") >= limit).count()
     return spark.createDataFrame([(m.n, r, B, (1 + hits) / (B + 1))], schema)

@@ -115,6 +115,21 @@ def test_permutation_pairs_every_row(spark, plans, monkeypatch):
     assert out["p"] == pytest.approx(1 / 41)
 
 
+@pytest.mark.parametrize("n, tile, piece", [(2, 1, 1), (12, 100, 100), (90, 20, 10), (97, 1, 1), (1000, 300, 64), (1000, 5000, 64)])
+def test_permuted_sums_by_tiles(spark, n, tile, piece):
+    """The tables of rounds and the tiles give the sums of the places that are computed column by column."""
+    rng = np.random.default_rng(n)
+    x, y = rng.normal(size=n), rng.normal(size=n)
+    placed = spark.createDataFrame([(i, float(x[i]), float(y[i])) for i in range(n)], "pos long, x double, y double")
+    got = {r["b"]: r["s"] for r in correlation.permuted_sums(placed, n, 40, 123, tile, piece).collect()}
+    copies = spark.range(n).select(F.col("id").alias("pos"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("b"))
+    want = np.zeros(40)
+    for r in correlation.permuted(copies, "pos", "b", n, 123, "at").collect():
+        want[r["b"]] += x[r["pos"]] * y[r["at"]]
+    assert sorted(got) == list(range(40))
+    assert [got[b] for b in range(40)] == pytest.approx(want, abs=1e-9)
+
+
 def test_ols_hc3(table, sample):
     x, z, y = sample
     X, inv, b, e, h = _ols(np.column_stack([x, z]), y)
