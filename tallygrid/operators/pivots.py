@@ -7,6 +7,10 @@ then says which other cells can hold a neighbour, and only these are visited; in
 the pivot differs from the query's by no more. A query that finds fewer than k rows (its own fold may fill the cell) goes on to the next
 cells, four times as many in each round, until it has k or has seen all. Bounds carry a margin for rounding, and equal distances pass,
 so results and ties are those of a full search.
+
+Where the bounds leave most cells, as in many dimensions, and the metric is Euclidean, blocks of queries meet blocks of train rows instead: a query is
+sent once for each block, not for each cell. Euclidean distances are first taken as matrix products in single precision; what lies within their
+rounding error of the k best is computed anew by the metric's own sums.
 """
 
 from __future__ import annotations
@@ -30,6 +34,10 @@ PIVOT_BYTES = 8 << 20
 SCORES = 500_000
 PARTS = 16
 WIDEN = 4
+#: Above this share of the cells, blocks are cheaper than visits: sending a query takes as long as some thousand products.
+MOST = 0.25
+BLOCK_NUMBERS = 1 << 22
+CHUNK, ASKED, LANES = 4096, 512, 64
 
 
 def matrix(vectors: pd.Series) -> np.ndarray:
@@ -123,19 +131,98 @@ def _listed(numbers: Sequence[int], at: str) -> Column:
     return F.get(F.expr("array(" + ", ".join(str(int(n)) for n in numbers) + ")"), F.col(at))
 
 
-def _scored(k: int, metric: Metric, carry: Sequence[str], exclude: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+class Products:
+    """Train rows of a cell in chunks by their distance to the pivot, as matrices whose product with a query ranks its squared distances."""
+
+    def __init__(self, rows: np.ndarray, away: np.ndarray, ex: np.ndarray | None, queries: np.ndarray):
+        self.rows, self.centre = rows, rows.mean(0)
+        moved = rows - self.centre
+        norms = (moved * moved).sum(1)
+        self.longest, self.largest = math.sqrt(norms.max()), math.sqrt((rows * rows).sum(1).max())
+        # Single precision where it holds the squares and a far row does not make its error large for all others.
+        usual, asked = math.sqrt(np.median(norms)), np.abs(queries).max()
+        self.kind = np.float32 if 1e-15 < self.longest < min(1e15, 100 * usual) and asked < 1e15 else np.float64
+        by_away = np.argsort(away, kind="stable")
+        self.chunks = []
+        for at in range(0, len(rows), CHUNK):
+            own = by_away[at : at + CHUNK]
+            span = away[own[0]], away[own[-1]]
+            if ex is not None:
+                own = own[np.argsort(ex[own], kind="stable")]
+            # Lanes are filled up with rows that are infinitely far.
+            t = np.zeros((-(-len(own) // LANES) * LANES, rows.shape[1] + 1), self.kind)
+            t[:, -1] = np.inf
+            t[: len(own), :-1], t[: len(own), -1] = -2 * moved[own], norms[own]
+            self.chunks.append((own, span, t, None if ex is None else ex[own]))
+
+    def candidates(self, queries: np.ndarray, bound: np.ndarray, asks: np.ndarray, reach: np.ndarray, ex: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of all pairs that can be among the query's k nearest within its bound; few others."""
+        moved = queries - self.centre
+        norms = (moved * moved).sum(1)
+        q = np.concatenate([moved, np.ones((len(moved), 1))], 1).astype(self.kind)
+        size = np.sqrt(norms) + self.longest
+        error = (moved.shape[1] + 8) * float(np.finfo(self.kind).eps) * size * size + 1e-12 * (np.sqrt((queries * queries).sum(1)) + self.largest) ** 2
+        cap = bound * bound - norms
+        best = np.full((len(q), k), np.inf)
+        found = []
+        low, high = (asks - reach).min(), (asks + reach).max()
+        for own, (near, far), t, values in self.chunks:
+            if far < low or near > high:
+                continue
+            scores = q @ t.T
+            if values is not None:
+                for i, (lo, hi) in enumerate(zip(np.searchsorted(values, ex, "left").tolist(), np.searchsorted(values, ex, "right").tolist())):
+                    if lo < hi:
+                        scores[i, lo:hi] = np.inf
+            lanes = scores.reshape(len(q), LANES, -1)
+            least = lanes.min(1)
+            # The k-th of the lanes' least scores bounds the k-th score.
+            best = np.partition(np.concatenate([best, least], 1), k - 1, axis=1)[:, :k]
+            limit = np.minimum(best.max(1), cap) + 2 * error
+            row, lane = np.nonzero((least <= limit[:, None]) & np.isfinite(least))
+            picked = lanes[row, :, lane]
+            at, place = np.nonzero((picked <= limit[row, None]) & np.isfinite(picked))
+            found.append((row[at], own[place * lanes.shape[2] + lane[at]], picked[at, place]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        row, col, score = (np.concatenate(part) for part in zip(*found))
+        kept = score <= (np.minimum(best.max(1), cap) + 2 * error)[row]
+        return row[kept], col[kept]
+
+
+def _pair_distances(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Distance of each row of ``q`` to the same row of ``t``: sums over dimensions in the order in which ``nearest.euclidean`` has them."""
+    total = np.zeros(len(q))
+    for j in range(q.shape[1]):
+        gap = q[:, j] - t[:, j]
+        total += gap * gap
+    return np.sqrt(total)
+
+
+def _scored(k: int, metric: Metric, straight: bool, carry: Sequence[str], exclude: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     names = ["qid", "tid", "d", *carry]
 
-    def best(qp: pd.DataFrame, tp: pd.DataFrame) -> pd.DataFrame:
-        if qp.empty or tp.empty:
-            return pd.DataFrame(columns=names)
-        qp = qp.sort_values("away", kind="stable").reset_index(drop=True)
-        tp = tp.sort_values("id", kind="stable").reset_index(drop=True)
-        tv, qv = matrix(tp["v"]), matrix(qp["v"])
+    def by_products(qp: pd.DataFrame, tp: pd.DataFrame, tv: np.ndarray, qv: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        asks, bound, away = qp["away"].to_numpy(), qp["bound"].to_numpy(), tp["away"].to_numpy()
+        reach = bound + 1e-9 * (bound + asks + away.max())
+        codes = qx = None
+        if exclude:
+            codes, kinds = pd.factorize(tp["ex"], sort=False)
+            qx = pd.Index(kinds).get_indexer(qp["ex"])
+            qx[qx < 0] = -2
+        products = Products(tv, away, codes, qv)
+        for at in range(0, len(qv), ASKED):
+            piece = slice(at, at + ASKED)
+            row, col = products.candidates(qv[piece], bound[piece], asks[piece], reach[piece], None if qx is None else qx[piece], k)
+            d = np.concatenate([np.zeros(0), *(_pair_distances(qv[row[p : p + 50_000] + at], tv[col[p : p + 50_000]]) for p in range(0, len(row), 50_000))])
+            inside = d <= bound[row + at]
+            yield row[inside] + at, col[inside], d[inside]
+
+    def by_metric(qp: pd.DataFrame, tp: pd.DataFrame, tv: np.ndarray, qv: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         by_away = np.argsort(tp["away"].to_numpy(), kind="stable")
         away, asks, bound = tp["away"].to_numpy()[by_away], qp["away"].to_numpy(), qp["bound"].to_numpy()
         reach = bound + 1e-9 * (bound + asks + away[-1])
-        parts, step = [], max(1, SCORES // len(tv))
+        step = max(1, SCORES // len(tv))
         for at in range(0, len(qv), step):
             piece = slice(at, at + step)
             lo = np.searchsorted(away, (asks[piece] - reach[piece]).min(), "left")
@@ -149,20 +236,31 @@ def _scored(k: int, metric: Metric, carry: Sequence[str], exclude: bool) -> Call
                 d[qp["ex"].to_numpy()[piece, None] == tp["ex"].to_numpy()[None, near]] = np.inf
             edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k < len(near) else np.inf
             row, col = np.nonzero((d <= edge) & np.isfinite(d))
-            order = np.lexsort((col, d[row, col], row))
-            row, col = row[order], col[order]
+            yield row + at, near[col], d[row, col]
+
+    def best(qp: pd.DataFrame, tp: pd.DataFrame) -> pd.DataFrame:
+        if qp.empty or tp.empty:
+            return pd.DataFrame(columns=names)
+        qp = qp.sort_values("away", kind="stable").reset_index(drop=True)
+        tp = tp.sort_values("id", kind="stable").reset_index(drop=True)
+        tv, qv = matrix(tp["v"]), matrix(qp["v"])
+        parts = []
+        way = by_products if straight and max(np.abs(tv).max(initial=0), np.abs(qv).max(initial=0)) < 1e100 and tv.shape[1] else by_metric
+        for row, col, d in way(qp, tp, tv, qv):
+            order = np.lexsort((col, d, row))
+            row, col, d = row[order], col[order], d[order]
             place = np.arange(len(row)) - np.searchsorted(row, row, "left")
-            row, col = row[place < k], col[place < k]
-            picked = tp.iloc[near[col]]
-            frame = {"qid": qp["id"].to_numpy()[row + at], "tid": picked["id"].to_numpy(), "d": d[row, col]}
+            row, col, d = row[place < k], col[place < k], d[place < k]
+            picked = tp.iloc[col]
+            frame = {"qid": qp["id"].to_numpy()[row], "tid": picked["id"].to_numpy(), "d": d}
             parts.append(pd.DataFrame(frame | {c: picked[c].to_numpy() for c in carry}))
         return pd.concat(parts, ignore_index=True)[names] if parts else pd.DataFrame(columns=names)
 
     return best
 
 
-def _round(train: DataFrame, asks: DataFrame, pivots: Pivots, first: int, last: int, k: int, carry: Sequence[str], train_rows: int, query_rows: int, out: str) -> DataFrame:
-    """Rows found in the cells of this round, at most k for each query and part of a cell."""
+def _round(train: DataFrame, asks: DataFrame, pivots: Pivots, first: int, last: int, k: int, carry: Sequence[str], train_rows: int, query_rows: int, out: str) -> DataFrame | None:
+    """Rows found in the cells of this round, at most k for each query and part of a cell; None where blocks of all rows are cheaper."""
     names = [*asks.columns, "cell", "away"]
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,6 +283,8 @@ def _round(train: DataFrame, asks: DataFrame, pivots: Pivots, first: int, last:
     else:
         for cell, n in asks.select("v", "bound").mapInPandas(counted, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
             asked[cell] = n
+        if first == 1 and pivots.straight and asked.sum() > MOST * len(asked) * asks.count():
+            return None
     parts, copies = -(-pivots.count // train_rows), -(-asked // query_rows)
     groups = int((parts * copies).sum())
     tasks = max(1, min(groups, max(int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups // 32)))
@@ -200,7 +300,7 @@ def _round(train: DataFrame, asks: DataFrame, pivots: Pivots, first: int, last:
     right = train.withColumn("part", share(parts)).withColumn("copy", every(copies))
     keys = ["cell", "part", "copy"]
     left, right = (side.repartition(tasks, *keys).groupBy(*keys) for side in (left, right))
-    return left.cogroup(right).applyInPandas(_scored(k, pivots.metric, carry, "ex" in asks.columns), out)
+    return left.cogroup(right).applyInPandas(_scored(k, pivots.metric, pivots.straight, carry, "ex" in asks.columns), out)
 
 
 def pivot_search(
@@ -238,6 +338,12 @@ def pivot_search(
     found, first, last, total = [], 0, 1, len(pivots.points)
     while True:
         part = _round(cells, asks, pivots, first, last, k, carry, PARTS * train_rows, query_rows, out)
+        if part is None:
+            whole = Pivots(np.zeros((1, dims)), metric, straight)
+            whole.hold(0, rows, 0.0, math.inf)
+            block = max(train_rows, BLOCK_NUMBERS // dims)
+            part = _round(kept.withColumns({"cell": F.lit(0), "away": F.lit(0.0)}), asks, whole, 0, 1, k, carry, block, block, out)
+            return nearest_rank(part, "qid", "d", "tid", k)
         if last >= total and not found:
             return nearest_rank(part, "qid", "d", "tid", k)
         found.append(stored(part, "neighbours"))

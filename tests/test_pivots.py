@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tallygrid.operators import nearest
+from tallygrid.operators import pivots as pivots_module
 from tallygrid.operators.nearest import DISTANCES
 from tallygrid.operators.pivots import Pivots, drawn
 
@@ -85,3 +86,30 @@ def test_pivots_are_bounded_and_differ(spark):
     pivots = drawn(df, 50, 3, DISTANCES["euclidean"], True)
     assert 1 < len(pivots.points) <= 7
     assert len(drawn(df, 1, 3, DISTANCES["euclidean"], True).points) == 1
+
+
+@pytest.mark.parametrize("exclude", [None, "self", "fold"])
+@pytest.mark.parametrize("most", [0.0, 1.0])
+def test_blocks_and_visits_agree_with_full_search(spark, monkeypatch, exclude, most):
+    """In many dimensions bounds leave every cell; blocks of all rows must give the same rows, near ties and far rows included."""
+    monkeypatch.setattr(pivots_module, "MOST", most)
+    monkeypatch.setattr(pivots_module, "BLOCK_NUMBERS", 24 * 50)
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(230, 24))
+    rows[10:20] = rows[10] + rng.normal(0, 1e-9, (10, 24))
+    rows[20:26] = rows[10]
+    rows[30] += 1e6
+    ex = {None: np.zeros(230), "self": np.arange(230), "fold": np.arange(230) % 4}[exclude]
+    train = [(i, v.tolist(), int(e)) for i, (v, e) in enumerate(zip(rows, ex))]
+    asked = train[::3]
+    assert found(spark, train, asked, 4, "euclidean", "ex" if exclude else None, train_block=20, query_block=30) == full(train, asked, 4, "euclidean", exclude)
+
+
+def test_products_leave_few_pairs():
+    """Of 512 x 20 000 pairs hardly more than the wanted ones are computed anew, and none of these is missing."""
+    rng = np.random.default_rng(6)
+    rows, queries = rng.normal(size=(20_000, 64)), rng.normal(size=(512, 64))
+    everywhere, nothing = np.full(512, np.inf), np.zeros(512)
+    row, col = pivots_module.Products(rows, np.zeros(20_000), None, queries).candidates(queries, everywhere, nothing, everywhere, None, 3)
+    near = np.argsort(DISTANCES["euclidean"](queries, rows), axis=1)[:, :3]
+    assert {(i, j) for i, own in enumerate(near.tolist()) for j in own} <= set(zip(row.tolist(), col.tolist())) and len(row) < 512 * 6
