@@ -141,7 +141,7 @@ def _filters(texts: DataFrame, shared, bits: int, range_bits: int) -> DataFrame:
                     own[values.field(0).to_numpy()] = values.field(1).to_numpy()
                 loose += [own, np.zeros(1, np.int64)]
                 size += len(own) + 1
-                if size > ENTRIES // 4:
+                if size > ENTRIES // 8:
                     count()
                     size = 0
                     if sum(map(len, parts)) > ENTRIES:

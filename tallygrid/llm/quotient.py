@@ -64,18 +64,33 @@ def tally(high: np.ndarray, low: np.ndarray, counts: np.ndarray | None, bits: in
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         high, low = key[new] >> np.uint64(bits), key[new] & np.uint64((1 << bits) - 1)
     else:
-        order = np.lexsort((low, high))
-        high, low = high[order], low[order]
+        # The leading 64 bits are sorted; the rest hardly ever decides, since keys are permuted.
+        room, extra = np.uint64(64 - bits), np.uint64(2 * bits - 64)
+        mask = (np.uint64(1) << extra) - np.uint64(1)
+        rest = (low & mask).astype(np.min_scalar_type(int(mask)))
+        key = high << room
+        key |= low >> extra
+        del high, low
+        order = np.argsort(key)
+        key, rest = key[order], rest[order]
+        same = key[1:] == key[:-1]
+        if (same & (rest[1:] != rest[:-1])).any():
+            again = np.lexsort((rest, key))
+            key, rest, order = key[again], rest[again], order[again]
+            same = key[1:] == key[:-1]
         counts = None if counts is None else counts[order]
-        new = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
-        high, low, size = high[new], low[new], len(order)
-    total = len(counts) if counts is not None else (len(key) if 2 * bits <= 64 else size)
-    sums = np.diff(np.append(new, total)) if counts is None else np.add.reduceat(counts, new)
+        new = np.flatnonzero(np.concatenate([[True], ~same | (rest[1:] != rest[:-1])]))
+        lead = key[new]
+        high, low = lead >> room, (lead & ((np.uint64(1) << room) - np.uint64(1))) << extra | rest[new].astype(np.uint64)
+    sums = np.diff(np.append(new, len(key))) if counts is None else np.add.reduceat(counts, new)
     return Tally(high, low, sums.astype(np.int64))
 
 
 def merged(parts: list[Tally], bits: int) -> Tally:
-    return tally(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("high", "low", "counts")), bits)
+    """The parts as one; the list is emptied, so that they need no memory while they are sorted."""
+    columns = [np.concatenate([getattr(p, c) for p in parts]) for c in ("counts", "low", "high")]
+    parts.clear()
+    return tally(columns.pop(), columns.pop(), columns.pop(), bits)
 
 
 def _bytes_of(values: np.ndarray, bits: int) -> bytes:

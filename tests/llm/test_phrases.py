@@ -79,3 +79,21 @@ def test_empty(spark, odd_docs):
     assert phrases.collocations(odd_docs.limit(0)).collect() == []
     rows = [(r.lang, r.text) for r in odd_docs.collect()]
     assert sorted(tuple(r) for r in phrases.collocations(odd_docs).collect()) == brute(rows, 30, 2000)
+
+
+@pytest.mark.parametrize("bits, values", [(34, 30), (34, 1 << 9), (62, 1 << 31)])
+def test_wide_keys_that_differ_in_the_last_bits_only(bits, values):
+    rng = np.random.default_rng(bits)
+    high, low, counts = (rng.integers(0, top, 20_000).astype(np.uint64) for top in (values, values, 5))
+    pairs, of = np.unique(np.stack([high, low], 1), axis=0, return_inverse=True)
+    for own in (None, counts.astype(np.int64)):
+        got = quotient.tally(high, low, own, bits)
+        assert (got.high == pairs[:, 0]).all() and (got.low == pairs[:, 1]).all()
+        assert (got.counts == np.bincount(of.ravel(), own)).all()
+
+
+def test_merging_frees_the_parts():
+    """Parts and their copy together took an executor beyond its memory once keys pass 64 bits."""
+    ones = quotient.tally(np.arange(5, dtype=np.uint64), np.zeros(5, np.uint64), None, 34)
+    parts = [ones, ones]
+    assert quotient.merged(parts, 34).counts.tolist() == [2] * 5 and not parts
