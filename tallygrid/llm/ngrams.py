@@ -41,6 +41,7 @@ from tallygrid.llm.eliasfano import Level
 from tallygrid.llm.textkit import WordHashes, byte_strings, chunks, mix, stored
 
 BLOCK_BYTES = 16 << 20
+SPLIT_BYTES = 1 << 20
 SPREAD = 16
 EXACT = 1 << 14
 STEPS_PER_E = 2000
@@ -52,16 +53,21 @@ LOW = np.uint64(0xFFFFFFFF)
 
 def tokens(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, each closed by the end, and the number of tokens of each."""
-    lists = [t.lower().split() for t in texts]
-    lengths = np.array([len(words) + 1 for words in lists], np.int64)
-    flat = np.full(int(lengths.sum()), END)
-    inner = np.ones(len(flat), bool)
-    inner[np.cumsum(lengths) - 1] = False
-    flat[inner] = hashes.of([w for words in lists for w in words])
-    return flat, lengths
-
-
-def level_keys(flat: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    # Some texts at a time, since words as objects take many times the bytes of their hashes.
+    parts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo, hi in chunks(texts, SPLIT_BYTES):
+        lists = [t.lower().split() for t in texts[lo:hi]]
+        lengths = np.array([len(words) + 1 for words in lists], np.int64)
+        flat = np.full(int(lengths.sum()), END)
+        inner = np.ones(len(flat), bool)
+        inner[np.cumsum(lengths) - 1] = False
+        flat[inner] = hashes.of([w for words in lists for w in words])
+        parts.append(flat)
+        counts.append(lengths)
+    return np.concatenate(parts), np.concatenate(counts)
+
+
+def level_keys(flat: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(keys, rests) of the 1-, 2- and 3-gram that ends at each token; context in the key's high half, word in the low half.
 
     The rest is the half of the context's hash that the key lacks; it deals the contexts over the shards.
@@ -71,9 +77,11 @@ def level_keys(flat: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray,
     one[first] = BEGIN
     two = np.concatenate([[BEGIN], one[:-1]])
     two[first] = BEGIN
-    word = mix(flat) >> HALF
-    single, context, pair = mix(flat + ODD), mix(one * ODD), mix(mix(two) * ODD + one)
-    return [(single, single >> HALF), *(((h >> HALF << HALF) | word, h & LOW) for h in (context, pair))]
+    single, word = mix(flat + ODD), mix(flat) >> HALF
+    yield single, single >> HALF
+    for context in (one * ODD, mix(two) * ODD + one):
+        h = mix(context)
+        yield (h >> HALF << HALF) | word, h & LOW
 
 
 def shard_of(keys: np.ndarray, rests: np.ndarray, shards: int) -> np.ndarray:
@@ -104,23 +112,20 @@ def unpacked(blob: bytes, kind: type) -> np.ndarray:
 
 def _by_shard(keys: np.ndarray, rests: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (shard, key) in this order, where each shard begins, and the place of every given key among them."""
-    shard = shard_of(keys, rests, shards)
-    by_key = np.argsort(keys)
-    found, dealt = keys[by_key], shard[by_key]
-    mixed = np.flatnonzero((found[1:] == found[:-1]) & (dealt[1:] != dealt[:-1]))
-    if len(mixed):  # contexts with one code in several shards
-        at = np.flatnonzero(np.isin(found, found[mixed]))
-        by_key[at] = by_key[at][np.lexsort((dealt[at], found[at]))]
-        dealt = shard[by_key]
-    new = np.ones(len(found), bool)
-    new[1:] = (found[1:] != found[:-1]) | (dealt[1:] != dealt[:-1])
-    inverse = np.empty(len(found), np.int64)
-    inverse[by_key] = np.cumsum(new) - 1
-    distinct, shard = found[new], dealt[new]
+    shard = shard_of(keys, rests, shards).astype(np.min_scalar_type(shards))
     order = np.argsort(shard, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return distinct[order], np.searchsorted(shard[order], np.arange(shards + 1)), place[inverse]
+    edges = np.searchsorted(shard[order], np.arange(shards + 1))
+    found = keys[order]
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if b > a:
+            by_key = np.argsort(found[a:b])
+            found[a:b], order[a:b] = found[a:b][by_key], order[a:b][by_key]
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    new[edges[edges < len(found)]] = True
+    place = np.empty(len(found), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return found[new], np.searchsorted(np.flatnonzero(new), edges), place
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, list, list[bytes], list[bool]]]:
@@ -196,7 +201,7 @@ def scores(docs: DataFrame, learn: Column, weights: tuple[float, float] = (2.0,
             flat, lengths = tokens(parts, WordHashes())
             found = []
             for level, (keys, rests) in enumerate(level_keys(flat, lengths)):
-                distinct, begin, place = _by_shard(keys, rests, shards)
+                _, begin, place = _by_shard(keys, rests, shards)
                 full = np.flatnonzero(begin[1:] > begin[:-1])
                 if any(level * shards + s not in codes for s in full.tolist()):
                     raise ValueError("the texts came in another order than before: store them first")
