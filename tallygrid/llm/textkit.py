@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +38,20 @@ def byte_strings(column: pa.Array) -> list[bytes]:
 
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` bytes; a longer text has a range of its own."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > limit:
+    return ranges(map(len, texts), limit)
+
+
+def ranges(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive items whose sizes add up to ``limit`` at most; a larger item has a range of its own."""
+    start = total = end = 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > limit:
             yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += size
+        end = i + 1
+    if start < end:
+        yield start, end
 
 
 class WordHashes(dict):
@@ -60,6 +66,11 @@ class WordHashes(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+    @staticmethod
+    def plain(words: list[bytes]) -> np.ndarray:
+        """The same hashes, none of them remembered."""
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
 
 def mix(h: np.ndarray) -> np.ndarray:
     """The finalizer of a 64-bit hash, elementwise."""

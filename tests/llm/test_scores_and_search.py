@@ -1,8 +1,10 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,40 @@ def test_contexts_of_one_code_are_told_apart(spark, monkeypatch):
     assert got == sorted(brute_scores(rows), key=lambda r: r[0])
 
 
+class Steps:
+    """Takes the place of a table and gives the function that a task runs."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+    def groupBy(self, *names):
+        return self
+
+    def applyInArrow(self, run, schema):
+        return run
+
+
+def test_a_block_of_text_takes_little_memory():
+    """Beyond its input, a task holds a few numbers for each token of a block or of a shard, not dozens."""
+    rng, shards = np.random.default_rng(0), 4
+    texts = [" ".join(f"w{i}" for i in (300_000 * rng.random(1_000) ** 3).astype(int)) for _ in range(1_000)]
+    docs = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts, "learn": [i % 10 > 0 for i in range(len(texts))]})
+    asked, tokens = ngrams._queries(Steps(), shards), 1_001_000
+    tracemalloc.start()
+    cells = pa.Table.from_batches(asked(iter([docs])))
+    assert tracemalloc.get_traced_memory()[1] < 100 * tokens
+    answer = ngrams._answers(Steps(), shards)
+    for level in range(3):
+        cell = cells.slice(level * shards, 1)
+        assert cell.column("cell")[0].as_py() == level * shards
+        keys = sum(len(ngrams.unpacked(b.as_py(), np.uint32)) for b in cell.column("counts"))
+        begun = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        answer(cell)
+        assert tracemalloc.get_traced_memory()[1] - begun < 180 * keys
+    tracemalloc.stop()
+
+
 def test_scores_of_nothing(odd_docs):
     assert ngrams.scores(odd_docs.limit(0), learnt()).count() == 0
     rows = ngrams.scores(odd_docs.coalesce(1), F.lit(False)).collect()
